@@ -66,6 +66,25 @@ def psi(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10, grou
                                      F.count(F.lit(1)).alias("n_bins"))
 
 
+def psi_over_periods(df: DataFrame, period: str, value: str, reference: str, bins: int = 10) -> DataFrame:
+    """PSI of every period against a reference period: one pass, bins cut on the reference."""
+    known = df.filter(F.col(value).isNotNull())
+    edges = small_table(quantile_edges(known.filter(F.col(period) == reference), value, bins))
+    rows = attach(known, edges, ())
+    counts = rows.groupBy(period, bin_number(F.col(value), "_edges", bins - 1).alias("bin")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    # from here on: periods x bins rows
+    totals = counts.groupBy(period).agg(F.sum("_c").alias("n"))
+    n_bins = edges.select("n_bins").first()[0]
+    grid = totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(max(n_bins, 1)))).alias("bin"))
+    base = counts.filter(F.col(period) == reference).select("bin", F.col("_c").alias("_b"))
+    base_total = totals.filter(F.col(period) == reference).select(F.col("n").alias("_bn"))
+    full = attach(attach(attach(grid, counts, [period, "bin"]), base, ["bin"]), base_total, ())
+    share = lambda c, n: F.greatest(F.coalesce(F.col(c), F.lit(0)) / F.col(n), F.lit(SHARE_FLOOR))
+    e, a = share("_b", "_bn"), share("_c", "n")
+    return full.groupBy(period, "n").agg(F.sum((a - e) * F.log(a / e)).alias("psi"))
+
+
 def psi_verdict(c: str) -> Column:
     return F.when(F.col(c) < 0.1, "Stable").when(F.col(c) < 0.25, "Monitor").otherwise("Significant shift")
 
