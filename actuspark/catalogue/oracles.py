@@ -475,10 +475,10 @@ VIEWS["week_values"] = """
 SELECT w.period, n, m / (SELECT AVG(value) FROM weekly WHERE period = (SELECT MIN(period) FROM weekly)) AS ratio, psi
 FROM (SELECT period, COUNT(*) AS n, AVG(value) AS m FROM weekly GROUP BY 1) AS w JOIN week_psi ON week_psi.period = w.period"""
 
-_corr = ", ".join(f"corr({f}, {C.TARGET}) AS {f}" for f in C.FEATURES)
+_corr = ", ".join(f"corr({f}, {C.TARGET})" for f in C.FEATURES)
 VIEWS["corrs"] = (
-    f"SELECT feature, CASE WHEN isnan(c) THEN NULL ELSE c END AS corr FROM (UNPIVOT INCLUDE NULLS (SELECT {_corr} FROM msampled "
-    f"WHERE sample = {q(C.TRAIN)}) ON COLUMNS(*) INTO NAME feature VALUE c)")
+    f"SELECT feature, CASE WHEN isnan(c) THEN NULL ELSE c END AS corr FROM (SELECT unnest(fs) AS feature, unnest(cs) AS c FROM ("
+    f"SELECT [{', '.join(q(f) for f in C.FEATURES)}] AS fs, [{_corr}] AS cs FROM msampled WHERE sample = {q(C.TRAIN)}) AS w) AS u")
 
 _shocks = {"Prior-year costs -10%": -0.10, "Prior-year costs +10%": 0.10, "Prior-year costs +25%": 0.25}
 _lines = "SELECT l_shipdate, o_orderdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey"

@@ -100,8 +100,7 @@ MEMBER_EXTRA = ("age", "is_female", "race_cd", "esrd", "n_chronic", "paid_total"
 
 @query
 def scan_counts(spark, d):
-    parts = {f"bene_{y}": spark.sql(starviews.member_file_sql(y, starviews.SPARK), **starviews._tables(
-        spark, d, "customer", "orders")) for y in CFG.years}
+    parts = {f"bene_{y}": df for y, df in starviews.star_member_files(spark, d).items()}
     return readers.source_counts({**parts, "inpatient": inpatient(spark, d), "outpatient": outpatient(spark, d)})
 
 
@@ -242,7 +241,7 @@ def dq_shares(spark, d):
 @query
 def dq_date_order(spark, d):
     """Date order of the order lines: ship date against order date, by order year."""
-    t = starviews._tables(spark, d, "orders", "lineitem")
+    t = starviews.tables(spark, d, "orders", "lineitem")
     lines = t["lineitem"].select("l_orderkey", "l_shipdate").join(
         t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     early = (F.col("l_shipdate") < F.col("o_orderdate")).cast("int")
@@ -525,7 +524,7 @@ def findings_rating(spark, d):
 @query
 def monitoring_status(spark, d):
     """Weekly monitoring of event values: PSI against the first week and the ratio of means to it."""
-    events = starviews._tables(spark, d, "events")["events"].select(
+    events = starviews.tables(spark, d, "events")["events"].select(
         F.date_trunc("week", "ts").cast("date").cast("string").alias("period"), "value")
     events = materialize(events, "events")
     first = events.agg(F.min("period")).first()[0]

@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from actuspark import config as C
 
@@ -123,9 +122,10 @@ def finish(name: str, df: DataFrame) -> DataFrame:
     """Project a result to its declared columns."""
     out = []
     for c, kind in _columns(name):
-        value = F.col(c).cast(_SPARK[kind]) if kind in _SPARK else F.round(F.col(c).cast("double"), int(kind)) + F.lit(0.0)
-        out.append(value.alias(c))
-    return df.select(out)
+        value = (f"CAST(`{c}` AS {_SPARK[kind]})" if kind in _SPARK
+                 else f"round(CAST(`{c}` AS double), {kind}) + CAST(0.0 AS double)")
+        out.append(f"{value} AS `{c}`")
+    return df.selectExpr(out)
 
 
 def finish_sql(name: str, body: str) -> str:

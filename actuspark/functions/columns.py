@@ -19,24 +19,26 @@ def as_col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _prefix_cast(c: ColumnOrName, pattern: str, kind: str, junk: str) -> Column:
+def quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def _prefix_cast(c: str, pattern: str, kind: str, junk: str) -> Column:
     if junk not in ("zero", "null"):
         raise ValueError("junk must be 'zero' or 'null'")
-    text = as_col(c).cast("string")
-    value = F.regexp_extract(text, pattern, 1).try_cast(kind)
-    if junk == "zero":
-        value = F.coalesce(value, F.lit(0).cast(kind))
-    return F.when(text.isNotNull(), value)
+    default = "0" if junk == "zero" else "NULL"
+    return F.expr(f"CASE WHEN {c} IS NOT NULL THEN coalesce(try_cast(regexp_extract({c}, r'{pattern}', 1) AS {kind}), "
+                  f"CAST({default} AS {kind})) END")
 
 
-def lenient_int(c: ColumnOrName, junk: str = "zero") -> Column:
-    """Leading integer of a text. Text without one gives 0 (or NULL with ``junk='null'``); NULL stays NULL."""
-    return _prefix_cast(c, INTEGER_PREFIX, "bigint", junk)
+def lenient_int(c: str, junk: str = "zero") -> Column:
+    """Leading integer of a text column. Text without one gives 0 (or NULL with ``junk='null'``); NULL stays NULL."""
+    return _prefix_cast(quoted(c), INTEGER_PREFIX, "bigint", junk)
 
 
-def lenient_real(c: ColumnOrName, junk: str = "zero") -> Column:
-    """Leading decimal number of a text, under the same rules as :func:`lenient_int`."""
-    return _prefix_cast(c, REAL_PREFIX, "double", junk)
+def lenient_real(c: str, junk: str = "zero") -> Column:
+    """Leading decimal number of a text column, under the same rules as :func:`lenient_int`."""
+    return _prefix_cast(quoted(c), REAL_PREFIX, "double", junk)
 
 
 def number_or_zero(c: ColumnOrName) -> Column:
@@ -60,19 +62,19 @@ def money_sum(c: ColumnOrName) -> Column:
 
 def filled(c: ColumnOrName) -> Column:
     """True where the text is neither NULL nor empty."""
-    c = as_col(c)
+    if isinstance(c, str):
+        return F.expr(f"({c} IS NOT NULL AND {c} <> '')")
     return c.isNotNull() & (c != "")
 
 
-def blank(c: ColumnOrName) -> Column:
+def blank(c: str) -> Column:
     """True where the text is NULL or empty."""
-    c = as_col(c)
-    return c.isNull() | (c == "")
+    return F.expr(f"({c} IS NULL OR {c} = '')")
 
 
-def or_else(c: ColumnOrName, default: ColumnOrName) -> Column:
-    """``c`` unless NULL or empty, else ``default``."""
-    return F.coalesce(F.nullif(as_col(c), F.lit("")), as_col(default))
+def or_else(c: str, default: str) -> str:
+    """SQL text: ``c`` unless NULL or empty, else ``default``."""
+    return f"coalesce(nullif({c}, ''), {default})"
 
 
 def flag(condition: Column) -> Column:
@@ -89,18 +91,20 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(or_, conditions)
 
 
-def year_of(c: ColumnOrName) -> Column:
-    """Year prefix of a ``yyyymmdd`` text."""
-    return lenient_int(F.substring(as_col(c), 1, 4))
+def year_of(c: str) -> Column:
+    """Year prefix of a ``yyyymmdd`` text; NULL stays NULL."""
+    return _prefix_cast(f"substring({quoted(c)}, 1, 4)", INTEGER_PREFIX, "bigint", "zero")
+
 
+def calendar_day(c: str) -> Column:
+    """``yyyymmdd`` text (a column or SQL expression) to a date.
 
-def calendar_day(c: ColumnOrName) -> Column:
-    """``yyyymmdd`` text to a date. Days 1-31 are accepted in every month and roll over; the rest gives NULL."""
-    text = as_col(c)
-    part = lambda start, n: F.substring(text, start, n).try_cast("int")
-    y, m, d = part(1, 4), part(5, 2), part(7, 2)
-    valid = text.rlike(r"^\d{8}") & m.between(1, 12) & d.between(1, 31)
-    return F.when(valid, F.date_add(F.make_date(y, m, F.lit(1)), d - 1))
+    Days 1-31 are accepted in every month and roll over; anything else gives NULL.
+    """
+    part = lambda start, n: f"try_cast(substring({c}, {start}, {n}) AS int)"
+    return F.expr(
+        f"CASE WHEN {c} RLIKE r'^\\d{{8}}' AND {part(5, 2)} BETWEEN 1 AND 12 AND {part(7, 2)} BETWEEN 1 AND 31 "
+        f"THEN date_add(make_date({part(1, 4)}, {part(5, 2)}, 1), {part(7, 2)} - 1) END")
 
 
 def larger(a: ColumnOrName, b: ColumnOrName) -> Column:
@@ -109,26 +113,13 @@ def larger(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b))
 
 
-def has_prefix(c: ColumnOrName, prefixes: Sequence[str]) -> Column:
-    """Prefix test that ignores ASCII case."""
-    upper = F.upper(as_col(c))
-    return any_of(upper.startswith(p.upper()) for p in prefixes)
-
-
-def head_between(c: ColumnOrName, low: str, high: str, length: int = 3) -> Column:
-    """Lexical range test on the first characters of a code."""
-    return F.substring(as_col(c), 1, length).between(low, high)
-
-
-def band(c: ColumnOrName, edges: Sequence[float], labels: Sequence[str], outside: str = "nan") -> Column:
+def band(c: str, edges: Sequence[float], labels: Sequence[str], outside: str = "nan") -> Column:
     """Label of the interval ``(edge, next edge]`` that holds the value; ``outside`` elsewhere and for NULL."""
     if len(edges) != len(labels) + 1:
         raise ValueError("need one more edge than labels")
-    c = as_col(c)
-    chain = F.when(c.isNull() | F.isnan(c.cast("double")) | (c <= edges[0]) | (c > edges[-1]), F.lit(outside))
-    for upper, label in zip(edges[1:], labels):
-        chain = chain.when(c <= upper, F.lit(label))
-    return chain
+    steps = " ".join(f"WHEN {c} <= {e} THEN '{label}'" for e, label in zip(edges[1:], labels))
+    beyond = f"{c} IS NULL OR isnan(CAST({c} AS double)) OR {c} <= {edges[0]} OR {c} > {edges[-1]}"
+    return F.expr(f"CASE WHEN {beyond} THEN '{outside}' {steps} END")
 
 
 def labelled(c: ColumnOrName, labels: Mapping[object, str], default: str | Column) -> Column:

@@ -86,7 +86,7 @@ def duplicates(raw: RawTables) -> DataFrame:
 
 def member_shares(members: DataFrame) -> DataFrame:
     """DQ-07 to DQ-09 in one scan of the member table."""
-    age = F.col("FILE_YEAR") - F.when(F.col("BENE_BIRTH_DT").isNotNull(), year_of("BENE_BIRTH_DT"))
+    age = F.col("FILE_YEAR") - year_of("BENE_BIRTH_DT")
     low = [lenient_real(f"MEDREIMB_{s}") < 0 for s in C.SETTINGS]
     return shares(members, {
         "DQ-07": blank("BENE_BIRTH_DT"), "DQ-08": ~age.between(18, 110), "DQ-09": low[0] | low[1] | low[2]})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actuspark.config import CodeGroup
-from actuspark.functions.columns import any_of, filled, flag, has_prefix, head_between
+from actuspark.functions.columns import filled, flag
 
 
 def distinct_counts(df: DataFrame, keys: Sequence[str], counts: Mapping[str, Column]) -> DataFrame:
@@ -24,14 +24,13 @@ def unpivot_codes(df: DataFrame, ids: Sequence[str], slots: Sequence[str], out:
 
 
 def code_condition(code: str, group: CodeGroup) -> Column:
-    tests = []
-    if group.prefixes:
-        tests.append(has_prefix(code, group.prefixes))
+    """Whether a code belongs to a group: prefixes ignore ASCII case, codes and heads do not."""
+    tests = [f"startswith(upper({code}), '{p.upper()}')" for p in group.prefixes]
     if group.codes:
-        tests.append(F.col(code).isin(*group.codes))
+        tests.append(f"{code} IN ({', '.join(repr(c) for c in group.codes)})")
     if group.heads:
-        tests.append(head_between(code, *group.heads))
-    return any_of(tests)
+        tests.append(f"substring({code}, 1, 3) BETWEEN '{group.heads[0]}' AND '{group.heads[1]}'")
+    return F.expr(" OR ".join(tests))
 
 
 def code_group_flags(df: DataFrame, keys: Sequence[str], code: str, groups: Sequence[CodeGroup],
@@ -57,8 +56,7 @@ def star_join(base: DataFrame, sides: Iterable[DataFrame], keys: Sequence[str],
     if not zero_fill:
         return joined
     added = {c for side in sides for c in side.columns if c not in keys}
-    return joined.select([F.coalesce(F.col(c), F.lit(0)).alias(c) if c in added else F.col(c)
-                          for c in joined.columns])
+    return joined.selectExpr([f"coalesce(`{c}`, 0) AS `{c}`" if c in added else f"`{c}`" for c in joined.columns])
 
 
 def waterfall(df: DataFrame, period: str, flags: Sequence[str], rules: Sequence[str],

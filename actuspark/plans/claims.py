@@ -23,13 +23,12 @@ WHOLE = "int"
 def member_year(members: DataFrame) -> DataFrame:
     """One typed row per member and year: demographics, coverage, condition flags and amounts."""
     amount = lambda kind: row_sum(lenient_real(f"{kind}_{s}") for s in C.SETTINGS)
-    conditions = {c: flag(F.col(c) == "1") for c in C.CHRONIC_COLUMNS}
-    birth_year = F.when(F.col("BENE_BIRTH_DT").isNotNull(), year_of("BENE_BIRTH_DT"))
+    conditions = {c: F.expr(f"CAST({c} = '1' AS int)") for c in C.CHRONIC_COLUMNS}
     death = F.when(filled("BENE_DEATH_DT"), lenient_int("BENE_DEATH_DT"))
     return members.select(
         F.col(C.ID).alias("bene_id"),
         F.col("FILE_YEAR").cast(WHOLE).alias("year"),
-        (F.col("FILE_YEAR") - birth_year).cast(WHOLE).alias("age"),
+        (F.col("FILE_YEAR") - year_of("BENE_BIRTH_DT")).cast(WHOLE).alias("age"),
         F.when(F.col("BENE_SEX_IDENT_CD") == "2", 1).otherwise(0).alias("is_female"),
         lenient_int("BENE_RACE_CD").cast(WHOLE).alias("race_cd"),
         F.when(F.col("BENE_ESRD_IND") == "Y", 1).otherwise(0).alias("esrd"),
@@ -52,7 +51,7 @@ def inpatient_stays(inpatient: DataFrame) -> DataFrame:
         year_of("CLM_FROM_DT").cast(WHOLE).alias("year"),
         calendar_day(or_else("CLM_ADMSN_DT", "CLM_FROM_DT")).alias("admit_date"),
         calendar_day("CLM_THRU_DT").alias("discharge_date"),
-        F.coalesce(lenient_int(F.nullif("CLM_UTLZTN_DAY_CNT", F.lit(""))), F.lit(0)).cast(WHOLE).alias("util_days"),
+        F.coalesce(lenient_int("CLM_UTLZTN_DAY_CNT"), F.lit(0)).cast(WHOLE).alias("util_days"),
         F.col("PRVDR_NUM").alias("provider"),
     ).distinct()
 
