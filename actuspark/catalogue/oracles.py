@@ -591,7 +591,9 @@ SELECT printf('F-%02d', row_number() OVER (ORDER BY rule_, order_)) AS id, area,
   ELSE 'Red' END AS status FROM week_values UNION ALL SELECT period, n, 'ratio', ratio, CASE WHEN ratio BETWEEN 0.95 AND 1.05 THEN 'Green'
   WHEN ratio BETWEEN 0.90 AND 1.10 THEN 'Amber' ELSE 'Red' END FROM week_values""",
     "bootstrap_ci": _ci(("r2", "cpm", "predictive_ratio", "r2_norm", "cpm_norm"), "boot"),
-    "bootstrap_auc": _ci(("auc",), f"({auc_sql('SELECT grp, label AS y, q AS p, w FROM replicates', 'w')}) AS b"),
+    # replicates that drew one class only have no AUC
+    "bootstrap_auc": _ci(("auc",), f"({auc_sql('SELECT grp, label AS y, q AS p, w FROM replicates', 'w')}) AS b "
+                                   "WHERE n_pos > 0 AND n_neg > 0"),
 }
 
 

@@ -154,6 +154,12 @@ def divide(a: ColumnOrName, b: ColumnOrName) -> Column:
     return F.try_divide(as_col(a), as_col(b))
 
 
+def correlation(a: ColumnOrName, b: ColumnOrName) -> Column:
+    """Pearson correlation aggregate; NULL (not an error) when a side is constant."""
+    a, b = as_col(a).cast("double"), as_col(b).cast("double")
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def finite(c: ColumnOrName) -> Column:
     """NULL in place of infinities."""
     c = as_col(c)

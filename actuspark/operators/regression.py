@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actuspark.functions.columns import divide
+from actuspark.functions.columns import correlation, divide
 from actuspark.operators.ranking import (
     attach, equal_frequency_bins, exact_quantiles, global_rank, running_totals,
 )
@@ -93,12 +93,12 @@ def summarise_bins(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFram
 
 
 def squared_correlation(df: DataFrame, y: str, p: str, out: str = "rsq") -> DataFrame:
-    return df.agg(F.pow(F.corr(F.col(y).cast("double"), F.col(p).cast("double")), 2).alias(out))
+    return df.agg(F.pow(correlation(y, p), 2).alias(out))
 
 
 def feature_target_correlation(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     """Pearson correlation of every feature with the target, long form, from one scan. Constant features give NULL."""
-    wide = df.agg(*[F.corr(F.col(f).cast("double"), F.col(y).cast("double")).alias(f) for f in features])
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.nanvl(F.col(f), F.lit(None)).alias("corr"))
+    wide = df.agg(*[correlation(f, y).alias(f) for f in features])
+    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("corr"))
                       for f in features])
     return wide.select(F.explode(pairs).alias("_x")).select("_x.feature", "_x.corr")

@@ -1,6 +1,6 @@
 """Raw member and claim tables derived from the star-schema test tables.
 
-The same SQL text serves Spark and any other engine; only three names differ between dialects. The raw tables are
+The same SQL text serves Spark and any other engine; only a few names differ between dialects. The raw tables are
 text with ``yyyymmdd`` dates and carry deliberate defects: missing and junk values, impossible dates, repeated
 rows, claimants without a member row.
 """
@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from actuspark import config as C
+from actuspark.session import materialize
 from actuspark.sources.readers import RawTables, stack_tagged
 
 STAR_CONFIG = C.ClaimsConfig(years=(1999, 2000, 2001), dev_year=1999, oot_year=2000)
 
-SPARK = {"@EXPLODE": "explode", "@ARRAY": "array", "@customer": "{customer}", "@orders": "{orders}",
+SPARK = {"@EXPLODE": "explode", "@ARRAY": "array", "@ELEMENT": "element_at", "@customer": "{customer}", "@orders": "{orders}",
          "@lineitem": "{lineitem}"}
-GENERIC = {"@EXPLODE": "unnest", "@ARRAY": "list_value", "@customer": "customer", "@orders": "orders",
+GENERIC = {"@EXPLODE": "unnest", "@ARRAY": "list_value", "@ELEMENT": "list_extract", "@customer": "customer", "@orders": "orders",
            "@lineitem": "lineitem"}
 
 # Diagnosis codes handed out by part key.
@@ -79,17 +80,23 @@ WHERE {k} % 19 <> {year % 19}""", dialect)
 
 
 def _codes_sql() -> str:
-    code = "CASE l_partkey % 17 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(STAR_CODES)) + " END"
-    slots = ", ".join(f"MAX(CASE WHEN l_linenumber = {i} THEN {code} END) AS d{i}" for i in range(1, 8))
+    """Per order: supplier and code number by line number. Numbers keep the aggregation a hash aggregation."""
+    slots = ", ".join(f"MAX(CASE WHEN l_linenumber = {i} THEN l_partkey % {len(STAR_CODES)} END) AS c{i}"
+                      for i in range(1, 8))
     return f"SELECT l_orderkey, MIN(l_suppkey) AS supplier, {slots} FROM @lineitem GROUP BY l_orderkey"
 
 
+def _code(slot: int) -> str:
+    codes = ", ".join(f"'{c}'" for c in STAR_CODES)
+    return f"CASE WHEN c{slot} IS NOT NULL THEN @ELEMENT(@ARRAY({codes}), CAST(c{slot} + 1 AS INT)) END"
+
+
 def claims_sql(kind: str, dialect: dict[str, str] = GENERIC) -> str:
     """Inpatient claims from orders of status F, outpatient claims from status O; codes from the order lines."""
     k = "o_orderkey"
     start = _ymd("o_orderdate")
     thru = _ymd(f"(CAST(o_orderdate AS DATE) + CAST(1 + {k} % 9 AS INT))")
-    dx = ", ".join([f"d{i} AS {c}" if i < 8 else f"CAST(NULL AS STRING) AS {c}"
+    dx = ", ".join([f"{_code(i)} AS {c}" if i < 8 else f"CAST(NULL AS STRING) AS {c}"
                     for i, c in enumerate(C.DX_COLUMNS, start=1)])
     if kind == "inpatient":
         status, extra = "F", (
@@ -149,6 +156,12 @@ def star_raw(spark: SparkSession, sf_dir: str) -> RawTables:
                      star_claims(spark, sf_dir, "outpatient"))
 
 
+def staged_raw(spark: SparkSession, sf_dir: str) -> RawTables:
+    """:func:`star_raw` with the claim tables stored, for work that reads them several times."""
+    raw = star_raw(spark, sf_dir)
+    return RawTables(raw.members, materialize(raw.inpatient, "stg_ip"), materialize(raw.outpatient, "stg_op"))
+
+
 def generic_views(cfg: C.ClaimsConfig = STAR_CONFIG) -> dict[str, str]:
     """The same three tables as SQL for another engine: name to query text."""
     members = "\nUNION ALL\n".join(

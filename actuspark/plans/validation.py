@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from actuspark import config as C
-from actuspark.functions.columns import divide, labelled
+from actuspark.functions.columns import correlation, divide, labelled
 from actuspark.ml.boosting import BoostedCost
 from actuspark.ml.registry import BoostingBudget, class_estimators, cost_estimators, fit_all, score_all
 from actuspark.operators import bootstrap, classification, explain, quality, regression, segments, stability
@@ -105,7 +105,7 @@ def summary_kpis(members: DataFrame) -> DataFrame:
     """Headline numbers of the scored members on one row."""
     return members.agg(
         F.count("predicted_cost").alias("members"), F.sum("predicted_cost").alias("predicted"),
-        F.sum("actual_cost").alias("actual"), F.pow(F.corr("actual_cost", "predicted_cost"), 2).alias("rsq"),
+        F.sum("actual_cost").alias("actual"), F.pow(correlation("actual_cost", "predicted_cost"), 2).alias("rsq"),
     ).select("members", "predicted", "actual", divide("predicted", "actual").alias("predictive_ratio"),
              divide("actual", "predicted").alias("norm_factor"), "rsq")
 
