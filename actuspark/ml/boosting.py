@@ -142,6 +142,7 @@ class BoostedCost:
         trees: list[FlatTree] = []
         losses: list[float] = []
         best, waited = math.inf, 0
+        older = None
         mu = self._mean(F.col("_f"))
         for round_no in range(self.max_iter):
             weight = mu if poisson else F.lit(1.0)
@@ -181,16 +182,20 @@ class BoostedCost:
                 state_next = materialize(state_next, "boost")
             state_next = state_next.persist()
             previous, state = state, state_next
-            if losses[-1] < best - 1e-7 * abs(best) if best < math.inf else True:
+            if best == math.inf or losses[-1] < best - 1e-7 * abs(best):
                 best, waited = losses[-1], 0
             else:
                 waited += 1
             if self.validation_share > 0 and waited >= self.patience:
                 previous.unpersist()
                 break
-            state.count()  # fill the new cache before its parent is dropped
-            previous.unpersist()
-        state.unpersist()
+            # the cache two rounds back is no longer read: the last round filled its successor
+            if older is not None:
+                older.unpersist()
+            older = previous
+        for cached in (older, state):
+            if cached is not None:
+                cached.unpersist()
         return BoostedCostModel(tuple(self.features), start, trees, self.loss, losses)
 
 

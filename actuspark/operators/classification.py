@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actuspark.functions.columns import divide
-from actuspark.operators.ranking import attach, equal_frequency_bins, exact_quantiles, running_totals
+from actuspark.operators.ranking import attach, equal_frequency_bins, exact_quantiles, join_groups, running_totals
 
 
 def score_table(df: DataFrame, y: str, p: str, group: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def auc_and_ks(df: DataFrame, y: str, p: str, group: Sequence[str] = ()) -> Data
     rows = attach(scores, areas, group)
     gap = divide(F.col("tp").cast("double"), F.col("n_pos")) - divide(F.col("fp").cast("double"), F.col("n_neg"))
     ks = rows.groupBy(*group).agg(F.greatest(F.max(gap), F.lit(0.0)).alias("ks"))
-    joined = attach(areas, ks, group)
+    joined = join_groups(areas, ks, group)
     return joined.select(*group, "auc", (2 * F.col("auc") - 1).alias("gini"), "ks", "n_pos", "n_neg")
 
 
@@ -110,5 +110,5 @@ def classification_metrics(df: DataFrame, y: str, p: str, key: str, group: Seque
         divide(F.col("_pt").cast("double"), F.col("_pos")).alias("recall_top"),
         divide(precision, rate).alias("lift_top"), rate.alias("event_rate"),
         (F.col("_sp") / F.col("n")).alias("mean_probability"))
-    metrics = attach(metrics, auc_and_ks(slim, "_y", "_p", group).drop("n_pos", "n_neg"), group)
-    return attach(metrics, hosmer_lemeshow(slim, "_y", "_p", "_id", 10, group), group)
+    metrics = join_groups(metrics, auc_and_ks(slim, "_y", "_p", group).drop("n_pos", "n_neg"), group)
+    return join_groups(metrics, hosmer_lemeshow(slim, "_y", "_p", "_id", 10, group), group)

@@ -43,8 +43,8 @@ def _with_offsets(blocks: DataFrame, group: Sequence[str], totals: Mapping[str,
         *[F.col(g).alias(f"_g_{g}") for g in group], F.col(BLOCK).alias("_g_block"), "_first",
         *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}") for name in totals],
     )
-    # one row per block plus one per group change: bounded by the number of blocks and groups
-    offsets = small_table(offsets)
+    # one row per block plus one per group change; without groups the number of blocks bounds it
+    offsets = small_table(offsets) if group else F.broadcast(offsets)
     on = F.col(BLOCK) == F.col("_g_block")
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
@@ -95,13 +95,19 @@ def attach(df: DataFrame, per_group: DataFrame, group: Sequence[str]) -> DataFra
         row = per_group.first()
         return df.select("*", *[F.lit(row[f.name] if row else None).cast(f.dataType).alias(f.name)
                                 for f in per_group.schema.fields])
-    small = small_table(per_group)
-    renamed = small.select([F.col(c).alias(f"_k_{c}") if c in group else F.col(c) for c in small.columns])
+    return join_groups(df, small_table(per_group), group)
+
+
+def join_groups(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
+    """:func:`attach` for two tables that are both already aggregated: a plain lazy join, no size check needed."""
+    if not group:
+        return attach(left, right, ())
+    renamed = right.select([F.col(c).alias(f"_k_{c}") if c in group else F.col(c) for c in right.columns])
     on = None
     for g in group:
         test = F.col(g).eqNullSafe(F.col(f"_k_{g}"))
         on = test if on is None else on & test
-    return df.join(renamed, on, "left").drop(*[f"_k_{g}" for g in group])
+    return left.join(renamed, on, "left").drop(*[f"_k_{g}" for g in group])
 
 
 def _positions(df: DataFrame, value: str, probs: Sequence[float], group: Sequence[str],
@@ -148,19 +154,17 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Se
     pass, so that only rows near a quantile are sorted; a bracket that misses its position triggers a full sort.
     """
     probs = [float(p) for p in probs]
-    step = 2.0 / accuracy
-    marks = [m for p in probs for m in (max(p - step, 0.0), min(p + step, 1.0))]
     v = F.col(value).cast("double")
-    stats = df.groupBy(*group).agg(
-        F.count(v).alias("_n"), F.percentile_approx(v, F.lit(marks), accuracy).alias("_edges"))
-    stats = stats.filter(F.col("_n") > 0)
-    brackets = small_table(stats)
-    largest = brackets.agg(F.sum("_n")).first()[0] or 0
-    if largest <= single_pass_rows:
+    df = df.filter(F.col(value).isNotNull())
+    if df.count() <= single_pass_rows:
         exact = df.groupBy(*group).agg(F.percentile(v, F.lit(probs)).alias("_q"))
         rows = exact.select(*group, F.posexplode("_q").alias("_i", out)).select(
             *group, F.element_at(F.lit(probs), F.col("_i") + 1).alias("prob"), out)
         return rows.filter(F.col(out).isNotNull())
+    step = 2.0 / accuracy
+    marks = [m for p in probs for m in (max(p - step, 0.0), min(p + step, 1.0))]
+    brackets = small_table(df.groupBy(*group).agg(
+        F.count(v).alias("_n"), F.percentile_approx(v, F.lit(marks), accuracy).alias("_edges")).filter("_n > 0"))
     found = small_table(_positions(df, value, probs, group, brackets))
     if found.filter("_missed = 1").limit(1).count():
         found = small_table(_positions(df, value, probs, group, None))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from actuspark.functions.columns import correlation, divide
 from actuspark.operators.ranking import (
-    attach, equal_frequency_bins, exact_quantiles, global_rank, running_totals,
+    attach, equal_frequency_bins, exact_quantiles, global_rank, join_groups, running_totals,
 )
 
 
@@ -34,7 +34,7 @@ def gini_norm(df: DataFrame, y: str, p: str, key: str, group: Sequence[str] = ()
     upto = running_totals(values, [F.col("_y").desc()], {"_upto": "_c"}, group)
     rank_sum = F.col("_c") * (2 * F.col("_upto") - F.col("_c") + 1) / 2
     perfect = upto.groupBy(*group).agg(F.sum(F.col("_y") * rank_sum).alias("_best"))
-    both = attach(by_score, perfect, group)
+    both = join_groups(by_score, perfect, group)
     area = lambda w: _lift_area(F.col("_n"), F.col("_total"), F.col(w))
     return both.select(*group, divide(area("_weighted"), area("_best")).alias(out))
 
@@ -64,7 +64,7 @@ def regression_metrics(df: DataFrame, y: str, p: str, key: str, group: Sequence[
         divide("_top", "_sy").alias("top_capture"),
         (F.col("_sy") / F.col("n")).alias("mean_actual"),
         (F.col("_sp") / F.col("n")).alias("mean_predicted"))
-    return attach(metrics, gini_norm(slim, "_y", "_p", "_id", group), group)
+    return join_groups(metrics, gini_norm(slim, "_y", "_p", "_id", group), group)
 
 
 def normalise(df: DataFrame, y: str, p: str, group: Sequence[str] = (), out: str | None = None,

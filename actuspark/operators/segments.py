@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from actuspark.functions.columns import divide
 from actuspark.operators.classification import auc
-from actuspark.operators.ranking import attach, quantile_value
+from actuspark.operators.ranking import join_groups, quantile_value
 from actuspark.operators.shaping import grouped_sets
 
 
@@ -49,7 +49,7 @@ def fairness(df: DataFrame, dimensions: Sequence[str], y: str, p: str, top_share
         F.avg(flagged.cast("int")).alias("flag_rate_top"),
         (F.sum((flagged & (F.col("_y") == 1)).cast("int")) / F.greatest(F.sum("_y"), F.lit(1))).alias("tpr_top"))
     areas = auc(rows, "_y", "_p", by).filter("n_pos > 0 AND n_neg > 0").select(*by, "auc")
-    return attach(sums, areas, by).filter(F.col("auc").isNotNull()).select(
+    return join_groups(sums, areas, by).filter(F.col("auc").isNotNull()).select(
         *by, "n", "event_rate", "auc", "flag_rate_top", "tpr_top")
 
 

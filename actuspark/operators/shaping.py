@@ -12,9 +12,11 @@ from actuspark.config import CodeGroup
 from actuspark.functions.columns import filled, flag
 
 
-def distinct_counts(df: DataFrame, keys: Sequence[str], counts: Mapping[str, Column]) -> DataFrame:
-    """Distinct non-NULL values per key, several at once."""
-    return df.groupBy(*keys).agg(*[F.countDistinct(c).alias(out) for out, c in counts.items()])
+def distinct_counts(df: DataFrame, keys: Sequence[str], counts: Mapping[str, Column],
+                    max_error: float | None = None) -> DataFrame:
+    """Distinct non-NULL values per key, several at once; ``max_error`` switches to sketches of that relative error."""
+    count = F.countDistinct if max_error is None else lambda c: F.approx_count_distinct(c, max_error)
+    return df.groupBy(*keys).agg(*[count(c).alias(out) for out, c in counts.items()])
 
 
 def unpivot_codes(df: DataFrame, ids: Sequence[str], slots: Sequence[str], out: str = "code") -> DataFrame:
@@ -23,9 +25,12 @@ def unpivot_codes(df: DataFrame, ids: Sequence[str], slots: Sequence[str], out:
     return df.select(*ids, F.explode(codes).alias(out))
 
 
-def code_condition(code: str, group: CodeGroup) -> Column:
-    """Whether a code belongs to a group: prefixes ignore ASCII case, codes and heads do not."""
-    tests = [f"startswith(upper({code}), '{p.upper()}')" for p in group.prefixes]
+def code_condition(code: str, group: CodeGroup, upper: str | None = None) -> Column:
+    """Whether a code belongs to a group: prefixes ignore ASCII case, codes and heads do not.
+
+    ``upper`` may name a column that already holds the upper-case code.
+    """
+    tests = [f"startswith({upper or f'upper({code})'}, '{p.upper()}')" for p in group.prefixes]
     if group.codes:
         tests.append(f"{code} IN ({', '.join(repr(c) for c in group.codes)})")
     if group.heads:
@@ -36,10 +41,11 @@ def code_condition(code: str, group: CodeGroup) -> Column:
 def code_group_flags(df: DataFrame, keys: Sequence[str], code: str, groups: Sequence[CodeGroup],
                      distinct: str | None = None) -> DataFrame:
     """Per key: one 0/1 flag per code group. ``distinct`` also counts rows, for input distinct on (keys, code)."""
-    aggs = [F.max(flag(code_condition(code, g))).alias(g.name) for g in groups]
+    rows = df.select(*keys, code, F.upper(code).alias("_upper"))
+    aggs = [F.max(flag(code_condition(code, g, "_upper"))).alias(g.name) for g in groups]
     if distinct:
         aggs.insert(0, F.count(code).alias(distinct))
-    return df.groupBy(*keys).agg(*aggs)
+    return rows.groupBy(*keys).agg(*aggs)
 
 
 def next_period(df: DataFrame, key: str, period: str, carried: Mapping[str, str]) -> DataFrame:

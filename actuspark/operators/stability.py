@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actuspark.functions.columns import divide
-from actuspark.operators.ranking import attach, exact_quantiles
+from actuspark.operators.ranking import attach, exact_quantiles, join_groups
 from actuspark.session import small_table
 
 SHARE_FLOOR = 1e-6
@@ -42,11 +42,10 @@ def psi_table(expected: DataFrame, actual: DataFrame, value: str, bins: int = 10
     rows = attach(sides.filter(F.col(value).isNotNull()), edges, group)
     counts = rows.groupBy(*group, bin_number(F.col(value), "_edges", bins - 1).alias("bin")).agg(
         F.sum("_e").alias("_ne"), F.sum(1 - F.col("_e")).alias("_na"))
-    whole = sides.filter(F.col(value).isNotNull()).groupBy(*group).agg(
-        F.sum("_e").alias("_te"), F.sum(1 - F.col("_e")).alias("_ta"))
+    whole = counts.groupBy(*group).agg(F.sum("_ne").alias("_te"), F.sum("_na").alias("_ta"))
     grid = edges.filter("n_bins > 0").select(
         *group, "_edges", "n_bins", F.explode(F.sequence(F.lit(1), F.col("n_bins"))).alias("bin"))
-    full = attach(attach(grid, counts, [*group, "bin"]), whole, group)
+    full = join_groups(join_groups(grid, counts, [*group, "bin"]), whole, group)
     share = lambda n, t: F.greatest(divide(F.coalesce(n, F.lit(0)).cast("double"), t), F.lit(SHARE_FLOOR))
     full = full.select(
         *group, "bin",
@@ -79,7 +78,7 @@ def psi_over_periods(df: DataFrame, period: str, value: str, reference: str, bin
     grid = totals.select("*", F.explode(F.sequence(F.lit(1), F.lit(max(n_bins, 1)))).alias("bin"))
     base = counts.filter(F.col(period) == reference).select("bin", F.col("_c").alias("_b"))
     base_total = totals.filter(F.col(period) == reference).select(F.col("n").alias("_bn"))
-    full = attach(attach(attach(grid, counts, [period, "bin"]), base, ["bin"]), base_total, ())
+    full = attach(join_groups(join_groups(grid, counts, [period, "bin"]), base, ["bin"]), base_total, ())
     share = lambda c, n: F.greatest(F.coalesce(F.col(c), F.lit(0)) / F.col(n), F.lit(SHARE_FLOOR))
     e, a = share("_b", "_bn"), share("_c", "n")
     return full.groupBy(period, "n").agg(F.sum((a - e) * F.log(a / e)).alias("psi"))

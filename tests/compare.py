@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -47,7 +48,12 @@ def main(argv: list[str]) -> int:
 
     sf = argv[0] if argv else "0.01"
     sf_dir = str(DATA / f"sf{sf}")
-    spark = local_session(8)
+    if os.environ.get("PLAIN_SESSION"):  # Spark's own defaults, as a caller without our settings has them
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+    else:
+        spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     queries, oracles = entry.queries(), entry.oracle_sql()
     con, failed = connect(sf_dir), 0
