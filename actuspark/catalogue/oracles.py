@@ -475,6 +475,19 @@ VIEWS["week_values"] = """
 SELECT w.period, n, m / (SELECT AVG(value) FROM weekly WHERE period = (SELECT MIN(period) FROM weekly)) AS ratio, psi
 FROM (SELECT period, COUNT(*) AS n, AVG(value) AS m FROM weekly GROUP BY 1) AS w JOIN week_psi ON week_psi.period = w.period"""
 
+VIEWS["explained"] = f"""
+SELECT *, row_number() OVER (ORDER BY bene_id) AS i FROM (
+  SELECT bene_id, {C.TARGET} AS y, paid_total FROM labelled WHERE sample = {q(C.TEST)}
+  ORDER BY {hash_number(f"bene_id || {q(f'|{CFG.seed}')}")}, bene_id LIMIT 6000) AS s"""
+_m0 = lambda x: f"greatest({x} * trend, floor_)"
+_donors = " UNION ALL ".join(
+    f"SELECT {r} AS r, paid_total AS given, row_number() OVER (ORDER BY {hash_number(f'bene_id || {q(f'|{CFG.seed}|{r}')}')}, bene_id) AS i "
+    "FROM explained" for r in range(3))
+VIEWS["shuffled"] = f"""
+SELECT AVG(mae) - MAX(plain) AS importance, stddev_pop(mae) AS std FROM (
+  SELECT r, AVG(abs(y - {_m0('given')})) AS mae, AVG(abs(y - {_m0('paid_total')})) AS plain
+  FROM explained AS e JOIN ({_donors}) AS d ON d.i = e.i, m0 GROUP BY r) AS x"""
+
 _corr = ", ".join(f"corr({f}, {C.TARGET})" for f in C.FEATURES)
 VIEWS["corrs"] = (
     f"SELECT feature, CASE WHEN isnan(c) THEN NULL ELSE c END AS corr FROM (SELECT unnest(fs) AS feature, unnest(cs) AS c FROM ("
@@ -590,6 +603,15 @@ SELECT printf('F-%02d', row_number() OVER (ORDER BY rule_, order_)) AS id, area,
     "monitoring_status": """SELECT period, n, 'psi' AS metric, psi AS value, CASE WHEN psi < 0.1 THEN 'Green' WHEN psi <= 0.25 THEN 'Amber'
   ELSE 'Red' END AS status FROM week_values UNION ALL SELECT period, n, 'ratio', ratio, CASE WHEN ratio BETWEEN 0.95 AND 1.05 THEN 'Green'
   WHEN ratio BETWEEN 0.90 AND 1.10 THEN 'Amber' ELSE 'Red' END FROM week_values""",
+    "benchmark_comparison": "SELECT split_part(grp, '|', 1) AS model, split_part(grp, '|', 2) AS sample, * FROM ("
+                            + reg_sql("SELECT * FROM duel_rows") + ") AS m",
+    # persistence looks at one input only: shuffling the others changes nothing
+    "importance_of_persistence": "SELECT 'paid_total' AS feature, importance, std FROM shuffled UNION ALL "
+                                 "SELECT unnest(['paid_ip', 'benres_total']), 0.0, 0.0",
+    "dependence_of_persistence": f"""SELECT 'paid_total' AS feature, v AS value, AVG({_m0('v')}) AS avg_pred FROM explained, m0, (
+  SELECT DISTINCT CASE WHEN k >= 20 THEN low + (high - low) * step / 19 ELSE u END AS v FROM (
+    SELECT COUNT(DISTINCT paid_total) AS k, quantile_cont(paid_total, 0.05) AS low, quantile_cont(paid_total, 0.95) AS high,
+      list(DISTINCT paid_total) AS us FROM explained) AS q, unnest(range(0, 20)) AS g(step), unnest(us) AS w(u)) AS grid GROUP BY v""",
     "bootstrap_ci": _ci(("r2", "cpm", "predictive_ratio", "r2_norm", "cpm_norm"), "boot"),
     # replicates that drew one class only have no AUC
     "bootstrap_auc": _ci(("auc",), f"({auc_sql('SELECT grp, label AS y, q AS p, w FROM replicates', 'w')}) AS b "

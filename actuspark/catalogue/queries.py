@@ -65,11 +65,19 @@ def matrix(spark, d) -> DataFrame:
     return materialize(claims.feature_matrix(claims.eligible(base(spark, d)), CFG), "matrix")
 
 
+def outcomes(spark, d) -> DataFrame:
+    """Member-years next to the following year; the typed member table is stored once and read twice."""
+    return claims.next_year(materialize(claims.member_year(members(spark, d)), "member_year"))
+
+
+def kept_members(spark, d) -> DataFrame:
+    joined = claims.with_eligibility(outcomes(spark, d))
+    return claims.eligible(joined.filter(F.col("year").isin(CFG.dev_year, CFG.oot_year)))
+
+
 def member_outcomes(spark, d) -> DataFrame:
     """The member-level part of the modelling dataset: everything that needs no claim features."""
-    joined = claims.with_eligibility(claims.next_year(claims.member_year(members(spark, d))))
-    kept = claims.eligible(joined.filter(F.col("year").isin(CFG.dev_year, CFG.oot_year)))
-    return claims.floor_amounts(kept)
+    return claims.floor_amounts(kept_members(spark, d))
 
 
 def split(spark, d) -> claims.Split:
@@ -179,7 +187,7 @@ def code_groups(spark, d):
 
 @query
 def next_year_join(spark, d):
-    return claims.next_year(claims.member_year(members(spark, d)))
+    return outcomes(spark, d)
 
 
 @query
@@ -206,8 +214,7 @@ def model_dataset(spark, d):
 
 @query
 def floor_target(spark, d):
-    joined = claims.with_eligibility(claims.next_year(claims.member_year(members(spark, d))))
-    kept = claims.eligible(joined.filter(F.col("year").isin(CFG.dev_year, CFG.oot_year)))
+    kept = kept_members(spark, d)
     return ranking.attach(claims.floor_amounts(kept), claims.count_negative_targets(kept), ())
 
 
@@ -554,6 +561,35 @@ def bootstrap_auc(spark, d):
     return bootstrap.interval(reps, ["auc"])
 
 
+# ---- comparison and explanation of the closed-form models
+
+@query
+def benchmark_comparison(spark, d):
+    parts = split(spark, d)
+    models = fit_all(parts.train, {C.M0: NaivePersistence(), C.M1: CredibilityRate()})
+    long = validation.with_normalised(score_all(parts.all_rows, models, [KEY, "sample", Y]), CFG.oot_sample)
+    return validation.cost_comparison(materialize(long, "cost"))
+
+
+def _persistence_sample(spark, d):
+    parts = split(spark, d)
+    inputs = ["paid_total", "paid_ip", "benres_total"]
+    sample = explain.explain_sample(parts.test.select(KEY, Y, *inputs), KEY, CFG.seed)
+    return NaivePersistence().fit(parts.train), sample, inputs
+
+
+@query
+def importance_of_persistence(spark, d):
+    model, sample, inputs = _persistence_sample(spark, d)
+    return explain.permutation_importance(model, sample, inputs, Y, KEY, 3, CFG.seed)
+
+
+@query
+def dependence_of_persistence(spark, d):
+    model, sample, inputs = _persistence_sample(spark, d)
+    return explain.partial_dependence(model, sample, ["paid_total"], inputs)
+
+
 # ---- fitted models
 
 def _scored_by(estimators, spark, d, features=C.FEATURES):

@@ -103,6 +103,9 @@ SHAPES: dict[str, str] = {
     "logit_clf": f"sample:s {_CLF}",
     "gbt_clf": f"sample:s {_CLF}",
     "model_comparison": f"model:s sample:s {_REG}",
+    "benchmark_comparison": f"model:s sample:s {_REG}",
+    "importance_of_persistence": "feature:s importance:4 std:4",
+    "dependence_of_persistence": "feature:s value:4 avg_pred:4",
     "permutation_importance": "feature:s importance:4 std:4",
     "partial_dependence": "feature:s value:4 avg_pred:4",
     "sensitivity": "test:s mean_pred_change:6",

@@ -14,6 +14,7 @@ from actuspark.functions.columns import (
 )
 from actuspark.operators import sequences, shaping
 from actuspark.operators.ranking import quantile_value
+from actuspark.session import materialize
 from actuspark.sources.readers import RawTables
 
 KEYS = ["bene_id", "year"]
@@ -131,9 +132,9 @@ def model_base(raw: RawTables, cfg: C.ClaimsConfig, stays: DataFrame | None = No
     """Member-years of the feature years with utilisation, diagnosis flags, outcome and eligibility flags.
 
     Every side is aggregated on (bene_id, year) before it is joined on the same keys, so each side arrives
-    already partitioned for the join.
+    already partitioned for the join. The typed member table is stored once, because the join reads it twice.
     """
-    members = member_year(raw.members)
+    members = materialize(member_year(raw.members), "member_year")
     stays = inpatient_stays(raw.inpatient) if stays is None else stays
     base = next_year(members).filter(F.col("year").isin(cfg.dev_year, cfg.oot_year))
     sides = [
