@@ -12,6 +12,7 @@ from actuspark import config as C
 from actuspark.ml.baselines import CredibilityRate, NaivePersistence
 from actuspark.ml.boosting import BoostedClassifier, BoostedCost
 from actuspark.ml.linear import LogisticClassifier, TweedieGLM
+from actuspark.session import concurrently
 
 
 @dataclass(frozen=True)
@@ -42,11 +43,12 @@ def class_estimators(cfg: C.ClaimsConfig, budget: BoostingBudget = BoostingBudge
     }
 
 
-def fit_all(train: DataFrame, estimators: Mapping[str, object]) -> dict:
-    """Fit every estimator on the same cached rows."""
+def fit_all(train: DataFrame, estimators: Mapping[str, object], parallelism: int = 8) -> dict:
+    """Fit every estimator on the same cached rows, several at a time."""
     rows = train.persist()
     try:
-        return {name: e.fit(rows) for name, e in estimators.items()}
+        fitted = concurrently([lambda e=e: e.fit(rows) for e in estimators.values()], parallelism)
+        return dict(zip(estimators, fitted))
     finally:
         rows.unpersist()
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from actuspark.functions.columns import divide
 from actuspark.operators.ranking import attach, equal_frequency_bins, exact_quantiles, join_groups, running_totals
+from actuspark.session import concurrently
 
 
 def score_table(df: DataFrame, y: str, p: str, group: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -98,7 +99,10 @@ def classification_metrics(df: DataFrame, y: str, p: str, key: str, group: Seque
     """AUC, Gini, KS, Brier, precision / recall / lift in the top share, Hosmer-Lemeshow and rates."""
     slim = df.select(*group, F.col(y).cast("int").alias("_y"), F.col(p).cast("double").alias("_p"),
                      F.col(key).alias("_id"))
-    cut = exact_quantiles(slim, "_p", [1 - top_share], group, "_cut").drop("prob")
+    cut, areas, hl = concurrently([
+        lambda: exact_quantiles(slim, "_p", [1 - top_share], group, "_cut").drop("prob"),
+        lambda: auc_and_ks(slim, "_y", "_p", group).drop("n_pos", "n_neg"),
+        lambda: hosmer_lemeshow(slim, "_y", "_p", "_id", 10, group)])
     top = F.col("_p") >= F.col("_cut")
     sums = attach(slim, cut, group).groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_pos"), F.sum("_p").alias("_sp"),
@@ -110,5 +114,4 @@ def classification_metrics(df: DataFrame, y: str, p: str, key: str, group: Seque
         divide(F.col("_pt").cast("double"), F.col("_pos")).alias("recall_top"),
         divide(precision, rate).alias("lift_top"), rate.alias("event_rate"),
         (F.col("_sp") / F.col("n")).alias("mean_probability"))
-    metrics = join_groups(metrics, auc_and_ks(slim, "_y", "_p", group).drop("n_pos", "n_neg"), group)
-    return join_groups(metrics, hosmer_lemeshow(slim, "_y", "_p", "_id", 10, group), group)
+    return join_groups(join_groups(metrics, areas, group), hl, group)

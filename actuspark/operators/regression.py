@@ -15,6 +15,7 @@ from actuspark.functions.columns import correlation, divide
 from actuspark.operators.ranking import (
     attach, equal_frequency_bins, exact_quantiles, global_rank, join_groups, running_totals,
 )
+from actuspark.session import concurrently
 
 
 def _lift_area(n: Column, total: Column, weighted: Column) -> Column:
@@ -25,13 +26,14 @@ def _lift_area(n: Column, total: Column, weighted: Column) -> Column:
 def gini_norm(df: DataFrame, y: str, p: str, key: str, group: Sequence[str] = (), out: str = "gini") -> DataFrame:
     """Normalised Gini: ordering quality of ``p``, relative to the perfect ordering by ``y`` itself."""
     slim = df.select(*group, F.col(y).cast("double").alias("_y"), F.col(p).alias("_p"), F.col(key).alias("_id"))
-    ranked = global_rank(slim, [F.col("_p").desc(), F.col("_id")], "_rk", group)
+    values = slim.groupBy(*group, "_y").agg(F.count(F.lit(1)).alias("_c"))
+    ranked, upto = concurrently([
+        lambda: global_rank(slim, [F.col("_p").desc(), F.col("_id")], "_rk", group),
+        # the perfect ordering needs no tie-break: equal outcomes are one row with a count
+        lambda: running_totals(values, [F.col("_y").desc()], {"_upto": "_c"}, group)])
     by_score = ranked.groupBy(*group).agg(
         F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_total"),
         F.sum(F.col("_y") * F.col("_rk")).alias("_weighted"))
-    # the perfect ordering needs no tie-break: equal outcomes are one row with a count
-    values = slim.groupBy(*group, "_y").agg(F.count(F.lit(1)).alias("_c"))
-    upto = running_totals(values, [F.col("_y").desc()], {"_upto": "_c"}, group)
     rank_sum = F.col("_c") * (2 * F.col("_upto") - F.col("_c") + 1) / 2
     perfect = upto.groupBy(*group).agg(F.sum(F.col("_y") * rank_sum).alias("_best"))
     both = join_groups(by_score, perfect, group)
@@ -46,7 +48,9 @@ def regression_metrics(df: DataFrame, y: str, p: str, key: str, group: Sequence[
                      F.col(key).alias("_id"))
     totals = slim.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_y").alias("_sy"), F.sum("_p").alias("_sp"))
-    cut = exact_quantiles(slim, "_p", [1 - top_share], group, "_cut").drop("prob")
+    cut, gini = concurrently([
+        lambda: exact_quantiles(slim, "_p", [1 - top_share], group, "_cut").drop("prob"),
+        lambda: gini_norm(slim, "_y", "_p", "_id", group)])
     rows = attach(attach(slim, totals, group), cut, group)
     mean = F.col("_sy") / F.col("n")
     err, dev = F.col("_y") - F.col("_p"), F.col("_y") - mean
@@ -64,7 +68,7 @@ def regression_metrics(df: DataFrame, y: str, p: str, key: str, group: Sequence[
         divide("_top", "_sy").alias("top_capture"),
         (F.col("_sy") / F.col("n")).alias("mean_actual"),
         (F.col("_sp") / F.col("n")).alias("mean_predicted"))
-    return join_groups(metrics, gini_norm(slim, "_y", "_p", "_id", group), group)
+    return join_groups(metrics, gini, group)
 
 
 def normalise(df: DataFrame, y: str, p: str, group: Sequence[str] = (), out: str | None = None,

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from actuspark import config as C
-from actuspark.session import materialize
+from actuspark.session import concurrently, materialize
 from actuspark.sources.readers import RawTables, stack_tagged
 
 STAR_CONFIG = C.ClaimsConfig(years=(1999, 2000, 2001), dev_year=1999, oot_year=2000)
@@ -159,7 +159,9 @@ def star_raw(spark: SparkSession, sf_dir: str) -> RawTables:
 def staged_raw(spark: SparkSession, sf_dir: str) -> RawTables:
     """:func:`star_raw` with the claim tables stored, for work that reads them several times."""
     raw = star_raw(spark, sf_dir)
-    return RawTables(raw.members, materialize(raw.inpatient, "stg_ip"), materialize(raw.outpatient, "stg_op"))
+    inpatient, outpatient = concurrently([
+        lambda: materialize(raw.inpatient, "stg_ip"), lambda: materialize(raw.outpatient, "stg_op")])
+    return RawTables(raw.members, inpatient, outpatient)
 
 
 def generic_views(cfg: C.ClaimsConfig = STAR_CONFIG) -> dict[str, str]:

@@ -167,7 +167,9 @@ class Models:
 
 
 def fit_models(train: DataFrame, cfg: C.ClaimsConfig, budget: BoostingBudget = BoostingBudget()) -> Models:
-    return Models(fit_all(train, cost_estimators(cfg, budget)), fit_all(train, class_estimators(cfg, budget)))
+    cost, classes = cost_estimators(cfg, budget), class_estimators(cfg, budget)
+    fitted = fit_all(train, {**cost, **classes})
+    return Models({n: fitted[n] for n in cost}, {n: fitted[n] for n in classes})
 
 
 def validate(parts: claims.Split, models: Models, cfg: C.ClaimsConfig, dq: DataFrame,

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 SMALL_TABLE_ROWS = 20_000
 
@@ -61,6 +67,10 @@ def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
-def one_row(df: DataFrame):
-    """The only row of a global aggregate."""
-    return df.first()
+def concurrently(tasks: Sequence[Callable[[], T]], parallelism: int = 4) -> list[T]:
+    """Run independent driver-side steps (fits, stage writes) side by side, so their jobs share the executors."""
+    if len(tasks) < 2 or parallelism < 2:
+        return [task() for task in tasks]
+    wrapped = [inheritable_thread_target(task) for task in tasks]
+    with ThreadPoolExecutor(min(parallelism, len(tasks))) as pool:
+        return list(pool.map(lambda task: task(), wrapped))
