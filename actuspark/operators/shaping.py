@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actuspark.config import CodeGroup
-from actuspark.functions.columns import filled, flag
+from actuspark.functions.columns import filled, flag, hash_number, hash_share
 
 
 def distinct_counts(df: DataFrame, keys: Sequence[str], counts: Mapping[str, Column],
@@ -115,14 +115,10 @@ def columns_starting(columns: Iterable[str], prefixes: Sequence[str], exact: Seq
 
 def hash_split(df: DataFrame, keys: Sequence[str], seed: int, test_share: float, out: str = "is_test") -> DataFrame:
     """Repeatable random split: each key falls on the test side with the given probability."""
-    from actuspark.functions.columns import hash_share
-
     return df.withColumn(out, (hash_share(keys, seed) < test_share).cast("int"))
 
 
 def hash_sample(df: DataFrame, keys: Sequence[str], seed: int, size: int) -> DataFrame:
     """Repeatable random sample without replacement of at most ``size`` rows."""
-    from actuspark.functions.columns import hash_number
-
     picked = df.withColumn("_h", hash_number(keys, seed))
     return picked.orderBy("_h", *keys).limit(size).drop("_h")

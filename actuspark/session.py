@@ -18,6 +18,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 SMALL_TABLE_ROWS = 20_000
 
 _local_roots: dict[str, str] = {}
+_stages: dict[str, list[str]] = {}
 
 
 def local_session(cpus: int | str = "*", memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -53,9 +54,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{checkpoint_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stages.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the tables this application has materialized; call it once their readers are written out."""
+    paths = _stages.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    return len(paths)
+
+
 def small_table(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
     """A table expected to be small, as broadcast constants when it is and unchanged when it is not.
 

@@ -72,6 +72,18 @@ def test_stage_is_replaced_and_provenance_marked(spark, tmp_path):
     assert meta["generated_data"] is False and meta["n_train"] == 7
 
 
+def test_own_stages_can_be_dropped(spark, tmp_path):
+    from actuspark import session
+
+    kept = sinks.write_stage(spark.range(4), str(tmp_path / "kept"))
+    stage = session.materialize(spark.range(9), "gone")
+    files = stage.inputFiles()
+    assert stage.count() == 9 and session.drop_stages(spark) >= 1
+    assert session.drop_stages(spark) == 0 and kept.count() == 4
+    with pytest.raises(Exception):
+        spark.read.parquet(*files).count()
+
+
 def test_status_rule(spark):
     rows = [(0.0, 0.0, "max"), (0.1, 0.0, "max"), (0.05, 0.05, "max"), (0.25, 0.05, "max"), (0.2501, 0.05, "max"),
             (8.0, 10.0, "min"), (7.9, 10.0, "min"), (10.0, 10.0, "min"), (5.0, 0.0, "info")]
