@@ -4,6 +4,8 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from actuspark.catalogue import oracles
+from actuspark.catalogue import queries as registered
 from actuspark.catalogue.shapes import SHAPES
 
 SF = "/root/testdata/sf0.001"
@@ -13,8 +15,8 @@ QUICK = ["member_year", "lenient_cast", "yyyymmdd_parse", "readmissions", "visit
 
 
 def test_every_query_has_a_shape():
-    assert set(entry.queries()) == set(SHAPES)
-    assert set(entry.oracle_sql()) <= set(SHAPES)
+    assert set(registered.queries()) == set(SHAPES)
+    assert set(oracles.oracle_sql()) <= set(SHAPES)
 
 
 def test_entry_has_rows(spark):
