@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actuspark.llm import decontaminate, mixing, simhash, suffixes, toxicity
+from actuspark.llm import decontaminate, language, links, mixing, simhash, suffixes, syncmers, tokencounts, toxicity
 from actuspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,11 +28,28 @@ def mix_weights(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(WEIGHTS, "level string, node string, weight double")
 
 
+#: (host, path, verdict)
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
+             ("net", "/fr/", "block")]
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeated_spans(table(spark, sf_dir, "documents"), threshold=400)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.filtered(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,12 +63,17 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), mix_weights(spark), domain=domain(), **MIX)
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op2_suffix_dedup, op6_toxicity, op7_simhash, op8_decontaminate, op10_mixing)}
+    return {q.__name__: q for q in (op1_language_id, op2_suffix_dedup, op3_url_filters, op4_token_counts, op6_toxicity, op7_simhash,
+                                       op8_decontaminate, op9_syncmers, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

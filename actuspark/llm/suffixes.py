@@ -38,12 +38,13 @@ ANSWER = pa.schema([("text_key", pa.binary()), ("copies", pa.int64()), ("body",
 ENTRY = np.dtype([("major", "<u8"), ("minor", "<u8"), ("doc", "<u4"), ("many", "u1")])
 
 
-def anchors(data: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, threshold: int, rolling: Rolling | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of a text, and the first and last start of the windows that each owns."""
     n_windows = len(data) - threshold + 1
     if n_windows <= 0:
         return (np.zeros(0, np.int64),) * 3
     half = threshold // 2
+    rolling = rolling or Rolling(data, 1)
     gram = min(GRAM, max(1, half // 2))
     span = half - gram + 1
     place = np.arange(len(data) - gram + 1, dtype=np.int64)
@@ -56,7 +57,7 @@ def anchors(data: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, n
             parts.append((a + first, s + first, e + first))
             first = last
         return tuple(np.concatenate(x) for x in zip(*parts))
-    keys = (Rolling(data, 1).every(gram) & U64(~low & (2**64 - 1))) | (U64(low) - place.astype(U64))
+    keys = (rolling.every(gram) & U64(~low & (2**64 - 1))) | (U64(low) - place.astype(U64))
     best = (low - (sliding_min(keys, span)[:n_windows] & U64(low)).astype(np.int64))
     change = np.flatnonzero(np.diff(best)) + 1
     starts = np.concatenate([[0], change])
@@ -65,10 +66,11 @@ def anchors(data: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, n
 
 def stretches(data: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
     """(first digit, hash of the owned stretch, first start, last start) of each anchor of a text."""
-    at, first, last = anchors(data, threshold)
+    rolling = Rolling(data, 1)
+    at, first, last = anchors(data, threshold, rolling)
     if not len(at):
         return np.zeros(0, U64), np.zeros(0, U64), first, last
-    rolling, second = Rolling(data, 2), Rolling(data, 3)
+    second = Rolling(data, 3)
     digit = rolling.at(at, at + threshold // 2)
     shape = (at - first).astype(U64) * U64(1 << 32) + (at - last).astype(U64)
     return digit, second.at(first, last + threshold) ^ (shape * U64(0x9E3779B97F4A7C15)), first, last
