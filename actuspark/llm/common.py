@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15  # 2^64 / golden ratio, an odd multiplier
 
@@ -19,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def constants(spark: SparkSession, rows: list[tuple], columns: dict[str, pa.DataType]) -> DataFrame:
+    """A few rows of the configuration as a table (through Arrow, so that no Python worker is started for them)."""
+    schema = pa.schema(list(columns.items()))
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(columns, r)) for r in rows], schema))
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the value as text, modulo; null for null."""
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))
@@ -42,6 +49,39 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             base, first = int(sizes[last - 1]), last
 
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def mapped(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with small batches: texts of a batch exist in the JVM, its Arrow buffers and the worker at once.
+
+    Lowers the session's limit of bytes in an Arrow batch, and leaves a limit that is lower still.
+    """
+    conf = df.sparkSession.conf
+    now = int("".join(c for c in conf.get(BATCH_KEY) if c.isdigit() or c == "-"))
+    if not 0 < now <= BATCH_BYTES:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(tidy(run), schema)
+
+
+def tidy(run: Callable) -> Callable:
+    """A task function that hands freed memory back when it ends: workers are reused and several may be kept idle."""
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    def over_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return over_batches
+
+
 def lengths(column: pa.Array) -> np.ndarray:
     """Bytes of each text, 0 for null."""
     return np.array([0 if n is None else n for n in pc.binary_length(column).to_pylist()], dtype=np.int64)

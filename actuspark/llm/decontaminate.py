@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actuspark.llm.common import U64, Rolling, cover, joined, mix, slices
+from actuspark.llm.common import U64, Rolling, cover, joined, mapped, mix, slices
 
 
 WINDOW, SHINGLE = 13, 3
@@ -140,9 +140,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
 
 def clean_only(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows whose text is not contaminated, with all their columns; the same rules and edge cases as ``contamination``."""
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("string").alias("text"))
-    found = _matched(held, ["row"], items, item_id, item_text, 20, BLOCK_BYTES)
-    return found.where(~F.col("contaminated")).select("row.*")
+    others = [c for c in docs.columns if c != text]
+    held = docs.select(F.struct(*others).alias("row"), F.col(text).cast("string").alias("text"))
+    found = _matched(held, ["row", "text"], items, item_id, item_text, 20, BLOCK_BYTES)
+    return found.where(~F.col("contaminated")).select("row.*", F.col("text").alias(text)).select(docs.columns)
 
 
 def _matched(base: DataFrame, carry: list[str], items: DataFrame, item_id: str, item_text: str, share: int, limit: int) -> DataFrame:
@@ -174,7 +175,7 @@ def _matched(base: DataFrame, carry: list[str], items: DataFrame, item_id: str,
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in carry), *own],
                                              [*carry, "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return base.mapInArrow(run, f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return mapped(base, run, f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _rarity(base: DataFrame, part: Items) -> np.ndarray:
@@ -197,7 +198,7 @@ def _rarity(base: DataFrame, part: Items) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["shingle", "n"])
 
-    counts = base.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    counts = mapped(base.select("text"), run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(part.vocabulary), np.int64)
     out[counts.column("shingle").to_numpy()] = counts.column("n").to_numpy()
     vocabulary.unpersist()

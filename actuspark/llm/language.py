@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actuspark.llm.common import U64, crc_mod, mix, slices
+from actuspark.llm.common import U64, crc_mod, mapped, mix, slices
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 14
@@ -76,7 +76,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", smoothing: floa
         row, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(row * BUCKETS + bucket, pa.int64()), pa.array(total[row, bucket])], ["cell", "n"])
 
-    cells = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = mapped(rows, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.full(len(languages) * BUCKETS, smoothing)
     counts[cells.column("cell").to_numpy()] += cells.column("n").to_numpy()
     counts = counts.reshape(len(languages), BUCKETS)
@@ -106,7 +106,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", carry: tuple[s
                                               pa.array([x for _, x in found], pa.float64())], [*names, "lang_pred", "score"])
 
     kept = ", ".join(f"{n} {base.schema[n].dataType.simpleString()}" for n in names)
-    return base.mapInArrow(run, f"{kept}, lang_pred string, score double").withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
+    return mapped(base, run, f"{kept}, lang_pred string, score double").withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

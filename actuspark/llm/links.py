@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actuspark.llm.common import constants
 from actuspark.session import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,7 +77,7 @@ def filtered(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: s
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url).cast("string"))
     base = pages.select(F.col(page_id).alias("id"), host.alias("host"), path.alias("path"))
-    table = spark.createDataFrame([tuple(r) for r in rules], "host string, path string, verdict string")
+    table = constants(spark, [tuple(r) for r in rules], dict.fromkeys(("host", "path", "verdict"), pa.string()))
     judged = materialize(apply_rules(base, table), "pages")
     counts = judged.groupBy("host").agg(F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad"))
     counts = materialize(counts, "hosts")

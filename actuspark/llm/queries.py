@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from actuspark.llm import decontaminate, language, links, mixing, simhash, suffixes, syncmers, tokencounts, toxicity
-from actuspark.llm.common import table
+from actuspark.llm.common import constants, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +26,7 @@ def domain() -> Column:
 
 
 def mix_weights(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(WEIGHTS, "level string, node string, weight double")
+    return constants(spark, WEIGHTS, {"level": pa.string(), "node": pa.string(), "weight": pa.float64()})
 
 
 #: (host, path, verdict)

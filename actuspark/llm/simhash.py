@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actuspark.llm.common import slices, texts
+from actuspark.llm.common import mapped, slices, texts
 from actuspark.llm.components import components
 from actuspark.session import materialize
 
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(bits.view(np.int64))], [*names, "simhash"])
 
     kept = ", ".join(f"{n} {base.schema[n].dataType.simpleString()}" for n in names)
-    out = base.mapInArrow(run, f"{kept}, simhash long")
+    out = mapped(base, run, f"{kept}, simhash long")
     return out.withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
 
 
@@ -152,7 +152,7 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> D
         pairs.where(~same).select("block", "value", F.col("ones2"), F.col("salt2"), pair, F.lit(1)))
     dense = crowded.join(roles, ["block", "value", "ones", "salt"]).select("tile", "side", "simhash")
     # Two groups whose 64-bit names agree would only be compared needlessly.
-    return usual.union(dense).repartition("tile").sortWithinPartitions("tile").mapInArrow(compare(radius), "a long, b long")
+    return mapped(usual.union(dense).repartition("tile").sortWithinPartitions("tile"), compare(radius), "a long, b long")
 
 
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, shingle: int = 3,

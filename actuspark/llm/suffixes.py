@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actuspark.llm.common import U64, Rolling, cover, runs, slices, sliding_min, text_key, texts
+from actuspark.llm.common import U64, Rolling, cover, mapped, runs, slices, sliding_min, text_key, texts
 from actuspark.session import materialize
 
 GRAM = 16
-FLUSH_ROWS = 1 << 20
+FLUSH_ROWS = 1 << 19
 #: Asked entries that one bucket is to hold, for the number of buckets.
 BUCKET_ROWS = 1 << 21
 
@@ -281,23 +281,23 @@ def spans(text: bytes, copies: int, bodies: list[bytes], windows: list[bytes], t
 
 OWN = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
                  ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+KEPT = pa.field("kept_text", pa.string())
 
 
-def finish(threshold: int, passed: list[str]):
+def finish(threshold: int, passed: list[str], keep_text: bool):
+    own = OWN.append(KEPT) if keep_text else OWN
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             rows = []
             answers = zip(*(piece.column(c).to_pylist() for c in ("copies", "bodies", "windows")))
             for (copies, bodies, windows), text in zip(answers, texts(piece.column("text"))):
                 lo, hi = spans(text, copies, bodies or [], windows or [], threshold)
-                kept, at = hashlib.sha256(), 0
-                for a, b in zip(lo, hi):
-                    kept.update(text[at:a])
-                    at = b
-                kept.update(text[at:])
-                rows.append((len(text), int((hi - lo).sum()), len(lo), kept.hexdigest(), lo.tolist(), hi.tolist()))
-            own = pa.RecordBatch.from_pylist([dict(zip(OWN.names, r)) for r in rows], OWN)
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in passed), *own.columns], [*passed, *OWN.names])
+                kept = b"".join(text[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(text)]))
+                rows.append((len(text), int((hi - lo).sum()), len(lo), hashlib.sha256(kept).hexdigest(), lo.tolist(), hi.tolist(),
+                             kept.decode("utf-8", "ignore") if keep_text else None))
+            found = pa.RecordBatch.from_pylist([dict(zip(own.names, r)) for r in rows], own)
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in passed), *found.columns], [*passed, *own.names])
 
     return run
 
@@ -308,8 +308,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
 
     A byte is removed if a string of ``threshold`` bytes that covers it also starts elsewhere in any text, its own included.
     Null and empty texts have no bytes; texts shorter than ``threshold`` stay; of repeated rows each is a text of its own, so
-    both lose everything; an empty table gives an empty result. Only the columns in ``carry`` are passed on (with
-    ``keep_text`` also the text), other columns may have any names. A task holds one text and its hashes at a time (about
+    both lose everything; an empty table gives an empty result. Only the columns in ``carry`` are passed on (``keep_text`` adds
+    ``kept_text``, what is left without characters that a cut splits), other columns may have any names. A task holds one text and its hashes at a time (about
     60 bytes for each of its bytes), and of the exchanged strings one bucket.
     """
     spark = docs.sparkSession
@@ -318,20 +318,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
     # An anchor stands for about a quarter of the threshold; the bytes of the texts give the number of buckets.
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = int(max(8, 1 + 4 * size // max(threshold, 1) // BUCKET_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    asked = base.select("text_key", "text").mapInArrow(first_pass(threshold, buckets), "bucket long, keys binary, body binary")
+    asked = mapped(base.select("text_key", "text"), first_pass(threshold, buckets), "bucket long, keys binary, body binary")
     replies = asked.groupBy("bucket").applyInArrow(judge(True), "text_key binary, copies long, body binary")
     info = replies.groupBy("text_key").agg(F.sum("copies").alias("copies"), F.collect_list(
         F.when(F.octet_length("body") > 8, F.col("body"))).alias("bodies"))
     # Every text is in info; all columns are fixed here, so later passes read only texts with something to compare.
     first = materialize(base.join(info, "text_key"), "repeats")
     to_compare = F.exists("bodies", lambda b: F.substring(b, 1, 1) == F.unhex(F.lit("02")))
-    again = first.where(to_compare).select("text_key", "text", "bodies").mapInArrow(
-        second_pass(threshold, buckets), "bucket long, keys binary, body binary")
+    again = mapped(
+        first.where(to_compare).select("text_key", "text", "bodies"), second_pass(threshold, buckets), "bucket long, keys binary, body binary")
     windows = (again.groupBy("bucket").applyInArrow(judge(False), "text_key binary, copies long, body binary")
                .where(F.octet_length("body") > 8).groupBy("text_key").agg(F.collect_list("body").alias("windows")))
     rest = first.where(to_compare & (F.col("copies") == 1)).join(windows, "text_key", "left")
     done = first.where(~(to_compare & (F.col("copies") == 1))).withColumn("windows", F.lit(None).cast("array<binary>"))
-    names = [f"carry_{i}" for i in range(len(carry))] + (["text"] if keep_text else [])
+    names = [f"carry_{i}" for i in range(len(carry))]
     out_type = ", ".join(f"{n} {base.schema[n].dataType.simpleString()}" for n in names) + ", " + RESULT
-    result = done.unionByName(rest).mapInArrow(finish(threshold, names), out_type)
+    out_type += ", kept_text string" if keep_text else ""
+    result = mapped(done.unionByName(rest), finish(threshold, names, keep_text), out_type)
     return result.withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})

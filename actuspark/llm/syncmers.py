@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actuspark.llm.common import Rolling, slices, sliding_min, texts
+from actuspark.llm.common import Rolling, constants, mapped, slices, sliding_min, texts
 
 K, S = 16, 8
 ANCHORS = 64
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = (
             yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(found, pa.string())], [*names, "fingerprint"])
 
     kept = ", ".join(f"{n} {base.schema[n].dataType.simpleString()}" for n in names)
-    return base.mapInArrow(run, f"{kept}, fingerprint string").withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
+    return mapped(base, run, f"{kept}, fingerprint string").withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
 
 
 PAIRED = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
@@ -150,14 +150,14 @@ def neighbours(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part
     firsts = rows.groupBy("part").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tie")).alias("first")).collect()
     order = sorted(firsts, key=lambda r: r.part)
     guests = [(order[i].part, order[(i + 1) % len(order)].first["id"], order[(i + 1) % len(order)].first["tie"]) for i in range(len(order))]
-    wanted = base.sparkSession.createDataFrame(guests, "host int, gid long, gtie long")
+    wanted = constants(base.sparkSession, guests, {"host": pa.int32(), "gid": pa.int64(), "gtie": pa.int64()})
     # One row for each range: bounded by the number of ranges, not by the data of any.
     heads = rows.join(F.broadcast(wanted), rows.id.eqNullSafe(wanted.gid) & (rows.tie == wanted.gtie)).groupBy("host").agg(
         F.first("id").alias("id"), F.first("text").alias("text"))
     all_rows = rows.select("part", F.lit(False).alias("guest"), "id", "text", "tie").union(
         heads.select(F.col("host").alias("part"), F.lit(True), "id", "text", F.lit(0).cast("long")))
     dealt = all_rows.repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("id").asc_nulls_first(), "tie")
-    out = dealt.select("part", "guest", "id", "text").mapInArrow(paired, "id long, n_chars long, edited_sha256 string, fingerprint string, "
+    out = mapped(dealt.select("part", "guest", "id", "text"), paired, "id long, n_chars long, edited_sha256 string, fingerprint string, "
                                                                "edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("id", doc_id)
 

@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actuspark.llm.common import slices, texts
+from actuspark.llm.common import mapped, slices, texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how these vocabularies cut a text into words before merging.
@@ -120,4 +120,4 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     kind = base.schema["id"].dataType.simpleString()
     own = "section long, start long, end long, n_tokens long, n_crossing long"
-    return base.mapInArrow(run, f"id {kind}, {own}").withColumnRenamed("id", doc_id)
+    return mapped(base, run, f"id {kind}, {own}").withColumnRenamed("id", doc_id)

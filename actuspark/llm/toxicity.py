@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actuspark.llm.common import crc_mod, slices
+from actuspark.llm.common import crc_mod, mapped, slices
 from actuspark.session import materialize, small_table
 
 #: Labelled rows that the grammar is fitted on, chosen by a hash of their id.
@@ -177,7 +177,7 @@ def weigh(grammar: Grammar, rows: DataFrame, rate: float) -> None:
         yield pa.RecordBatch.from_pylist([{"kind": k, "n": n, "pos": p} for k, (n, p) in tally.items()],
                                          pa.schema([("kind", pa.string()), ("n", pa.int64()), ("pos", pa.int64())]))
 
-    found = {r.kind: (r.n, r.pos) for r in rows.mapInArrow(run, "kind string, n long, pos long").groupBy("kind").agg(
+    found = {r.kind: (r.n, r.pos) for r in mapped(rows, run, "kind string, n long, pos long").groupBy("kind").agg(
         F.sum("n").alias("n"), F.sum("pos").alias("pos")).collect()}
     # Two fictitious documents, one of them toxic, stand for what is not known of a kind.
     share = {k: (pos + 1) / (n + 2) for k, (n, pos) in found.items()}
@@ -189,15 +189,16 @@ def weigh(grammar: Grammar, rows: DataFrame, rate: float) -> None:
     grammar.unmatched = min(0.49, share.get("none", rate))
 
 
-def scored(docs: DataFrame, grammar: Grammar, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of each row.
+def scored(docs: DataFrame, grammar: Grammar, text: str = "text", carry: tuple[str, ...] = ("doc_id",),
+           keep_text: bool = False) -> DataFrame:
+    """``carry``, with ``keep_text`` the text, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of each row.
 
     Null and empty texts have no match and get the score of such texts. Repeated rows come out as often as they come in, an
     empty table gives an empty result, other columns may have any names. Long texts are read in pieces; a word or clause that
     a piece's end cuts counts as two.
     """
     base = docs.select(*[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)], F.col(text).cast("string").alias("text"))
-    names = [f"carry_{i}" for i in range(len(carry))]
+    names = [f"carry_{i}" for i in range(len(carry))] + ["text"] * keep_text
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +209,7 @@ def scored(docs: DataFrame, grammar: Grammar, text: str = "text", carry: tuple[s
                                               pa.array([int(s >= 0.5) for s in score], pa.int32())], [*names, "score", "predicted"])
 
     kept = ", ".join(f"{n} {base.schema[n].dataType.simpleString()}" for n in names)
-    return base.mapInArrow(run, f"{kept}, score double, predicted int").withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
+    return mapped(base, run, f"{kept}, score double, predicted int").withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic",
@@ -221,5 +222,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
     """The rows that are not predicted toxic, with all their columns; edge cases as in ``scored``."""
-    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    return scored(held, fit(docs, labels, doc_id, text, toxic), "text", ("row",)).where("predicted = 0").select("row.*")
+    held = docs.select(F.struct(*[c for c in docs.columns if c != text]).alias("row"), F.col(text).alias("text"))
+    kept = scored(held, fit(docs, labels, doc_id, text, toxic), "text", ("row",), keep_text=True).where("predicted = 0")
+    return kept.select("row.*", F.col("text").alias(text)).select(docs.columns)

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actuspark.llm.common import slices, table, texts
+from actuspark.llm.common import table
 from actuspark.llm.decontaminate import clean_only
 from actuspark.llm.mixing import mixed
 from actuspark.llm.queries import MIX, domain, mix_weights
@@ -35,25 +34,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ``text`` is what is left (characters that a cut splits go, too) and ``n_chars`` its length; a document of which nothing
     is left goes. Documents without such passages, empty and null ones among them, stay as they are.
     """
-    held = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = repeated_spans(held, "text", ("row",), REPEAT_BYTES, keep_text=True)
-
-    def cut(batches):
-        for piece in slices(batches, "text"):
-            out = []
-            for text, starts, ends in zip(texts(piece.column("text")), piece.column("starts").to_pylist(), piece.column("ends").to_pylist()):
-                kept, at = [], 0
-                for a, b in zip(starts, ends):
-                    kept.append(text[at:a])
-                    at = b
-                out.append(b"".join([*kept, text[at:]]).decode("utf-8", "ignore"))
-            yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(out, pa.string())], ["row", "kept"])
-
-    row = docs.select(F.struct(*docs.columns).alias("row")).schema["row"].dataType.simpleString()
-    changed = found.where("n_removed > 0 and n_removed < n_bytes").select("row", "text", "starts", "ends").mapInArrow(cut, f"row {row}, kept string")
-    changed = changed.where("kept != ''").select(F.col("row").withField("text", F.col("kept")).withField(
-        "n_chars", F.length("kept").cast("long")).alias("row"))
-    return found.where("n_removed = 0").select("row").union(changed).select("row.*")
+    others = [c for c in docs.columns if c != "text"]
+    held = docs.select(F.struct(*others).alias("row"), "text", F.col("text").isNotNull().alias("known"))
+    found = repeated_spans(held, "text", ("row", "known"), REPEAT_BYTES, keep_text=True)
+    cut = F.col("n_removed") > 0
+    found = found.where(~cut | (F.col("kept_text") != "")).withColumn(
+        "row", F.when(cut, F.col("row").withField("n_chars", F.length("kept_text").cast("long"))).otherwise(F.col("row")))
+    text = F.when(cut | F.col("known"), F.col("kept_text")).alias("text")
+    return found.select("row.*", text).select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
