@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actuspark.llm import decontaminate, language, links, mixing, simhash, suffixes, syncmers, tokencounts, toxicity
+from actuspark.llm import decontaminate, language, links, mixing, passages, simhash, suffixes, syncmers, tokencounts, toxicity
 from actuspark.llm.common import constants, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.section_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -73,8 +77,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_language_id, op2_suffix_dedup, op3_url_filters, op4_token_counts, op6_toxicity, op7_simhash,
-                                       op8_decontaminate, op9_syncmers, op10_mixing)}
+    return {q.__name__: q for q in (op1_language_id, op2_suffix_dedup, op3_url_filters, op4_token_counts, op5_substring_dedup,
+                                       op6_toxicity, op7_simhash, op8_decontaminate, op9_syncmers, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,7 +24,7 @@ ANCHORS = 64
 #: Places are kept in steps of this many bytes, and displacements may differ by one step.
 STEP = 64
 PIECE = 1 << 20
-ENTRY = np.dtype([("hash", ">u4"), ("place", ">u4")])
+ENTRY = np.dtype([("hash", "<u4"), ("place", "<u4")])
 
 
 def syncmers(data: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
