@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -289,20 +290,33 @@ OWN = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans",
 KEPT = pa.field("kept_text", pa.string())
 
 
-def finish(threshold: int, passed: list[str], keep_text: bool):
+def finish(threshold: int, passed: list[str], keep_text: bool, settle: bool):
+    """Results of each row. ``settle``: the first time, when rows with stretches to compare still wait (no result, if single)
+    or answer for others (text and answers stay); the others need their text no more."""
     own = OWN.append(KEPT) if keep_text else OWN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
-            rows = []
-            answers = zip(*(piece.column(c).to_pylist() for c in ("copies", "bodies", "windows")))
-            for (copies, bodies, windows), text in zip(answers, texts(piece.column("text"))):
-                lo, hi = spans(text, copies, bodies or [], windows or [], threshold)
+            rows, stay = [], []
+            raw = texts(piece.column("text"))
+            windows = [None] * len(raw) if settle else piece.column("windows").to_pylist()
+            for text, copies, bodies, more in zip(raw, piece.column("copies").to_pylist(), piece.column("bodies").to_pylist(), windows):
+                stay.append(settle and any(b[0] == COMPARE for b in bodies))
+                if stay[-1] and copies == 1:
+                    rows.append((None,) * len(own))
+                    continue
+                lo, hi = spans(text, copies, bodies, more or [], threshold)
                 kept = b"".join(text[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(text)]))
                 rows.append((len(text), int((hi - lo).sum()), len(lo), hashlib.sha256(kept).hexdigest(), lo.tolist(), hi.tolist(),
                              kept.decode("utf-8", "ignore") if keep_text else None))
             found = pa.RecordBatch.from_pylist([dict(zip(own.names, r)) for r in rows], own)
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in passed), *found.columns], [*passed, *own.names])
+            columns, names = [*(piece.column(c) for c in passed), *found.columns], [*passed, *own.names]
+            if settle:
+                columns += [pc.if_else(pa.array(stay), piece.column(c), None) for c in ("text",)]
+                columns += [pa.array([b if k else None for b, k in zip(piece.column("bodies").to_pylist(), stay)], pa.list_(pa.binary())),
+                            piece.column("text_key"), piece.column("copies")]
+                names += ["text", "bodies", "text_key", "copies"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -327,17 +341,17 @@ def repeated_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
     replies = asked.groupBy("bucket").applyInArrow(judge(True), "text_key binary, copies long, body binary")
     info = replies.groupBy("text_key").agg(F.sum("copies").alias("copies"), F.collect_list(
         F.when(F.octet_length("body") > 8, F.col("body"))).alias("bodies"))
-    # Every text is in info; all columns are fixed here, so later passes read only texts with something to compare.
-    first = materialize(base.join(info, "text_key"), "repeats")
-    to_compare = F.exists("bodies", lambda b: F.substring(b, 1, 1) == F.unhex(F.lit("02")))
-    again = mapped(
-        first.where(to_compare).select("text_key", "text", "bodies"), second_pass(threshold, buckets), "bucket long, keys binary, body binary")
-    windows = (again.groupBy("bucket").applyInArrow(judge(False), "text_key binary, copies long, body binary")
-               .where(F.octet_length("body") > 8).groupBy("text_key").agg(F.collect_list("body").alias("windows")))
-    rest = first.where(to_compare & (F.col("copies") == 1)).join(windows, "text_key", "left")
-    done = first.where(~(to_compare & (F.col("copies") == 1))).withColumn("windows", F.lit(None).cast("array<binary>"))
     names = [f"carry_{i}" for i in range(len(carry))]
     out_type = ", ".join(f"{n} {base.schema[n].dataType.simpleString()}" for n in names) + ", " + RESULT
     out_type += ", kept_text string" if keep_text else ""
-    result = mapped(done.unionByName(rest), finish(threshold, names, keep_text), out_type)
-    return result.withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
+    # Every text is in info. Most rows are settled here; only texts with something to compare are stored and read again.
+    first = materialize(mapped(base.join(info, "text_key"), finish(threshold, names, keep_text, True),
+                               f"{out_type}, text string, bodies array<binary>, text_key binary, copies long"), "repeats")
+    again = mapped(first.where("bodies is not null").select("text_key", "text", "bodies"), second_pass(threshold, buckets),
+                   "bucket long, keys binary, body binary")
+    windows = (again.groupBy("bucket").applyInArrow(judge(False), "text_key binary, copies long, body binary")
+               .where(F.octet_length("body") > 8).groupBy("text_key").agg(F.collect_list("body").alias("windows")))
+    waiting = first.where("n_bytes is null").select(*names, "text_key", "copies", "text", "bodies").join(windows, "text_key", "left")
+    done = first.where("n_bytes is not null")
+    rest = mapped(waiting, finish(threshold, names, keep_text, False), out_type)
+    return done.select(rest.columns).union(rest).withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
