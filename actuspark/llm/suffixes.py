@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -312,8 +311,8 @@ def finish(threshold: int, passed: list[str], keep_text: bool, settle: bool):
             found = pa.RecordBatch.from_pylist([dict(zip(own.names, r)) for r in rows], own)
             columns, names = [*(piece.column(c) for c in passed), *found.columns], [*passed, *own.names]
             if settle:
-                columns += [pc.if_else(pa.array(stay), piece.column(c), None) for c in ("text",)]
-                columns += [pa.array([b if k else None for b, k in zip(piece.column("bodies").to_pylist(), stay)], pa.list_(pa.binary())),
+                columns += [pa.array([t if k else None for t, k in zip(raw, stay)], pa.binary()).cast(pa.string()),
+                            pa.array([b if k else None for b, k in zip(piece.column("bodies").to_pylist(), stay)], pa.list_(pa.binary())),
                             piece.column("text_key"), piece.column("copies")]
                 names += ["text", "bodies", "text_key", "copies"]
             yield pa.RecordBatch.from_arrays(columns, names)
