@@ -30,8 +30,8 @@ from actuspark.session import materialize
 
 GRAM = 16
 FLUSH_ROWS = 1 << 19
-#: Asked entries that one bucket is to hold, for the number of buckets.
-BUCKET_ROWS = 1 << 21
+#: Asked entries that one bucket is to hold. Each bucket answers every text it knows, so their number follows the data alone.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 24
 
 PACKET = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("body", pa.binary())])
 ANSWER = pa.schema([("text_key", pa.binary()), ("copies", pa.int64()), ("body", pa.binary())])
@@ -330,12 +330,11 @@ def repeated_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
     ``kept_text``, what is left without characters that a cut splits), other columns may have any names. A task holds one text and its hashes at a time (about
     60 bytes for each of its bytes), and of the exchanged strings one bucket.
     """
-    spark = docs.sparkSession
     base = docs.select(*[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)], F.col(text).cast("string").alias("text"))
     base = base.withColumn("text_key", text_key("text"))
     # An anchor stands for about a quarter of the threshold; the bytes of the texts give the number of buckets.
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = int(max(8, 1 + 4 * size // max(threshold, 1) // BUCKET_ROWS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = int(max(LEAST_BUCKETS, 1 + 4 * size // max(threshold, 1) // BUCKET_ROWS))
     asked = mapped(base.select("text_key", "text"), first_pass(threshold, buckets), "bucket long, keys binary, body binary")
     replies = asked.groupBy("bucket").applyInArrow(judge(True), "text_key binary, copies long, body binary")
     info = replies.groupBy("text_key").agg(F.sum("copies").alias("copies"), F.collect_list(
