@@ -7,7 +7,6 @@ import re
 from actuspark import config as C
 from actuspark.catalogue.shapes import finish_sql
 from actuspark.operators import quality
-from actuspark.operators.bootstrap import POISSON_CUTS
 from actuspark.plans import findings, starviews
 
 CFG = starviews.STAR_CONFIG
@@ -150,8 +149,9 @@ VIEWS["waterfall"] = " UNION ALL ".join(
 
 _FLOORED = ", ".join([f"greatest({C.TARGET}, 0.0) AS {C.TARGET}",
                       *[f"greatest(COALESCE({c}, 0.0), 0.0) AS {c}" for c in C.COST_FEATURES]])
+_FILLED = ", ".join(f"COALESCE({c}, 0) AS {c}" for c in ("n_chronic", *C.CHRONIC_FEATURES))
 VIEWS["people"] = f"""
-SELECT * REPLACE ({_FLOORED}), {C.TARGET} AS target_paid_raw FROM outcome
+SELECT * REPLACE ({_FLOORED}, {_FILLED}), {C.TARGET} AS target_paid_raw FROM outcome
 WHERE year IN ({CFG.dev_year}, {CFG.oot_year}) AND {ELIGIBLE}"""
 VIEWS["matrix"] = f"""
 SELECT * REPLACE ({', '.join(f'CAST(COALESCE({c}, 0) AS DOUBLE) AS {c}' for c in C.FEATURES if c != 'log_paid_total')}),
@@ -302,7 +302,7 @@ VIEWS["segs"] = " UNION ALL ".join(
     f"SUM(p_norm) / greatest(SUM({C.TARGET}), 1.0) AS predictive_ratio FROM banded GROUP BY {d}" for d in SEGMENTS)
 _FAIR_SRC = (f"SELECT 'race' || '|' || ({RACE} ELSE CAST(race_cd AS VARCHAR) END) AS grp, bene_id AS id, {C.LABEL} AS y, p "
              f"FROM scored WHERE sample = {q(OOT)} AND race_cd IS NOT NULL UNION ALL SELECT 'sex|' || {SEX}, bene_id, {C.LABEL}, p "
-             f"FROM scored WHERE sample = {q(OOT)} AND race_cd IS NOT NULL")
+             f"FROM scored WHERE sample = {q(OOT)}")
 VIEWS["fair"] = f"""
 SELECT split_part(m.grp, '|', 1) AS dimension, split_part(m.grp, '|', 2) AS level, n, event_rate, auc, flag_rate_top, tpr_top
 FROM (SELECT grp, COUNT(*) AS n, AVG(y) AS event_rate, AVG(CAST(p >= cut AS INT)) AS flag_rate_top,
@@ -311,7 +311,7 @@ FROM (SELECT grp, COUNT(*) AS n, AVG(y) AS event_rate, AVG(CAST(p >= cut AS INT)
 JOIN ({auc_sql(_FAIR_SRC)}) AS a ON a.grp = m.grp WHERE n_pos > 0 AND n_neg > 0"""
 VIEWS["mono"] = f"""
 SELECT level, mean_pred, mean_pred - lag(mean_pred) OVER (ORDER BY level) AS step FROM (
-  SELECT least(n_chronic, 8) AS level, AVG(p) AS mean_pred FROM scored WHERE sample = {q(OOT)} AND n_chronic IS NOT NULL
+  SELECT least(n_chronic, 8) AS level, AVG(p) AS mean_pred FROM scored WHERE sample = {q(OOT)}
   GROUP BY 1) AS m"""
 VIEWS["roster"] = f"""
 SELECT *, {decile('rk', 'n')} AS risk_decile FROM (
@@ -451,11 +451,13 @@ VIEWS["found"] = " UNION ALL ".join([
              "'The model has not been monitored in production.'", "(SELECT 1) AS s"),
 ])
 
+# 2^32 times the distribution function of a Poisson variable of mean 1, rounded up
+POISSON_CUTS = [1580030169, 3160060338, 3950075422, 4213413784, 4279248374, 4292415292, 4294609778, 4294923277, 4294962464]
 _weights = " + ".join(f"CAST(draw >= {c} AS INT)" for c in POISSON_CUTS)
 VIEWS["replicates"] = f"""
 SELECT r AS grp, y, label, p, q, {_weights} AS w FROM (
   SELECT r, {C.TARGET} AS y, {C.LABEL} AS label, p, q,
-    CAST('0x' || substr(md5(bene_id || {q(f'|{CFG.seed}|')} || CAST(r // 8 AS VARCHAR)), 4 * (r % 8) + 1, 4) AS BIGINT) AS draw
+    CAST('0x' || substr(md5(bene_id || {q(f'|{CFG.seed}|')} || CAST(r // 4 AS VARCHAR)), 8 * (r % 4) + 1, 8) AS BIGINT) AS draw
   FROM scored, (SELECT unnest(range(0, 40)) AS r) AS n WHERE sample = {q(OOT)}) AS d WHERE draw >= {POISSON_CUTS[0]}"""
 _ci = lambda cols, src: " UNION ALL ".join(
     f"SELECT '{c}' AS metric, quantile_cont({c}, 0.025) AS lower, quantile_cont({c}, 0.975) AS upper FROM {src}" for c in cols)

@@ -77,7 +77,8 @@ def kept_members(spark, d) -> DataFrame:
 
 def member_outcomes(spark, d) -> DataFrame:
     """The member-level part of the modelling dataset: everything that needs no claim features."""
-    return claims.floor_amounts(kept_members(spark, d))
+    filled = {c: 0 for c in ("n_chronic", *C.CHRONIC_FEATURES)}
+    return claims.floor_amounts(kept_members(spark, d)).fillna(filled)
 
 
 def split(spark, d) -> claims.Split:
@@ -463,7 +464,7 @@ def ratio_crosstab(spark, d):
 @query
 def monotonicity(spark, d):
     table = materialize(segments.monotonicity(
-        oot(scored(spark, d, *MEMBER_EXTRA)).filter(F.col("n_chronic").isNotNull()), "n_chronic", P), "mono")
+        oot(scored(spark, d, *MEMBER_EXTRA)), "n_chronic", P), "mono")
     return ranking.attach(table, segments.is_monotonic(table), ())
 
 
@@ -524,7 +525,7 @@ def findings_rating(spark, d):
         findings.from_fairness(validation.fairness_table(full, P)),
         findings.from_benchmark(row),
         findings.from_monotonicity(segments.is_monotonic(segments.monotonicity(
-            full.filter(F.col("n_chronic").isNotNull()), "n_chronic", P))),
+            full, "n_chronic", P))),
         findings.standing(spark),
     ]), "evidence")
     return ranking.attach(found, findings.rating(found), ())

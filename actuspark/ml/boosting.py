@@ -114,7 +114,7 @@ class BoostedCost:
     learning_rate: float = 0.05
     max_iter: int = 600
     max_depth: int = 4
-    max_bins: int = 64
+    max_bins: int = 255
     min_leaf: int = 200
     l2: float = 1.0
     validation_share: float = 0.15
@@ -219,7 +219,7 @@ class BoostedClassifier:
     learning_rate: float = 0.05
     max_iter: int = 500
     max_depth: int = 5
-    max_bins: int = 64
+    max_bins: int = 255
     min_leaf: int = 100
     validation_share: float = 0.15
     seed: int = 2024

@@ -17,11 +17,11 @@ from actuspark.functions.columns import divide
 from actuspark.operators.classification import auc
 from actuspark.operators.ranking import attach
 
-DRAWS_PER_HASH = 8  # 16-bit draws in one md5
+DRAWS_PER_HASH = 4  # 32-bit draws in one md5
 LEVELS = 9
 # smallest draw that reaches weight k + 1
 POISSON_CUTS = tuple(
-    math.ceil(65536 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(LEVELS))
+    math.ceil(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(LEVELS))
 
 
 def replicate_weights(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
@@ -32,7 +32,7 @@ def replicate_weights(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     spread = spread.withColumn("_hex", digest)
     draws = F.explode(F.array(*[
         F.struct((F.col("_h") * DRAWS_PER_HASH + j).alias("replicate"),
-                 F.conv(F.substring("_hex", 4 * j + 1, 4), 16, 10).cast("int").alias("draw"))
+                 F.conv(F.substring("_hex", 8 * j + 1, 8), 16, 10).cast("long").alias("draw"))
         for j in range(DRAWS_PER_HASH)])).alias("_d")
     rows = spread.select(*df.columns, draws).select(*df.columns, "_d.replicate", "_d.draw")
     weight = F.lit(0)

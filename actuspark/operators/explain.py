@@ -13,31 +13,28 @@ from pyspark.sql import functions as F
 
 from actuspark import config as C
 from actuspark.functions.columns import hash_number
+from actuspark.operators.ranking import exact_quantiles, global_rank
 from actuspark.operators.shaping import hash_sample
 from actuspark.session import materialize
 
-SAMPLE_ROWS = 6000
-
-
-def explain_sample(df: DataFrame, key: str, seed: int = 2024, size: int = SAMPLE_ROWS) -> DataFrame:
-    """The bounded sample that importance and dependence work on."""
-    return materialize(hash_sample(df, [key], seed, size), "sample")
+def explain_sample(df: DataFrame, key: str, seed: int = 2024, size: int | None = None) -> DataFrame:
+    """The rows that importance and dependence work on: all of them, or a keyed-hash sample of ``size`` rows."""
+    return materialize(df if size is None else hash_sample(df, [key], seed, size), "sample")
 
 
 def permutation_importance(model, sample: DataFrame, features: Sequence[str], y: str, key: str, repeats: int = 3,
                            seed: int = 2024) -> DataFrame:
     """Rise of the mean absolute error when one feature is shuffled: mean and deviation over the repeats.
 
-    Row i borrows the feature from the row at position i of a keyed-hash order. ``sample`` is bounded, so the
-    orders are plain windows.
+    Row i borrows the feature from the row at position i of a keyed-hash order; both orders are distributed ranks.
     """
     base = sample.select(F.col(key).alias("_id"), F.col(y).cast("double").alias("_y"), *features)
-    base = base.withColumn("_i", F.row_number().over(W.orderBy("_id")))
+    base = global_rank(base, [F.col("_id")], "_i")
     donors = None
     for r in range(repeats):
-        by_hash = W.orderBy(hash_number("_id", f"{seed}|{r}"), "_id")
-        one = base.select(F.lit(r).alias("_r"), F.row_number().over(by_hash).alias("_i"),
-                          *[F.col(f).alias(f"_d_{f}") for f in features])
+        mine = base.drop("_i", "_y").withColumn("_order", hash_number("_id", f"{seed}|{r}"))
+        ranked = global_rank(mine, [F.col("_order"), F.col("_id")], "_i")
+        one = ranked.select(F.lit(r).alias("_r"), "_i", *[F.col(f).alias(f"_d_{f}") for f in features])
         donors = one if donors is None else donors.unionByName(one)
     which = F.explode(F.array(*[F.lit(f) for f in features]))
     rows = base.join(donors, "_i").select("*", which.alias("_f"))
@@ -56,13 +53,12 @@ def top_features(importance: DataFrame, n: int = 4) -> list[str]:
 def partial_dependence(model, sample: DataFrame, features: Sequence[str], inputs: Sequence[str],
                        points: int = 20) -> DataFrame:
     """Mean prediction as one feature runs over an even grid of its 5-95 % range (or its few distinct values)."""
-    stats = sample.agg(*[x for f in features for x in (
-        F.percentile(f, F.lit([0.05, 0.95])).alias(f"q_{f}"), F.array_sort(F.collect_set(f)).alias(f"u_{f}"))]).first()
     grid = []
     for f in features:
-        values = stats[f"u_{f}"]
+        known = sample.select(F.col(f).alias("v")).filter(F.col("v").isNotNull())
+        values = sorted(r.v for r in known.distinct().limit(points).collect())
         if len(values) >= points:
-            low, high = stats[f"q_{f}"]
+            low, high = (r["quantile"] for r in exact_quantiles(known, "v", [0.05, 0.95]).orderBy("prob").collect())
             values = [low + (high - low) * i / (points - 1) for i in range(points)]
         grid += [(f, float(v)) for v in values]
     at = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(v).alias("value")) for f, v in grid]))

@@ -168,9 +168,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], group: Se
     found = small_table(_positions(df, value, probs, group, brackets))
     if found.filter("_missed = 1").limit(1).count():
         found = small_table(_positions(df, value, probs, group, None))
-    # same arithmetic as a two-sided lerp: low + part * (high - low)
-    return found.select(
-        *group, "prob", (F.col("_low") + F.col("_part") * (F.col("_high") - F.col("_low"))).alias(out))
+    # The built-in's arithmetic, so that a value does not depend on the path taken.
+    between = (1 - F.col("_part")) * F.col("_low") + F.col("_part") * F.col("_high")
+    return found.select(*group, "prob", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(between).alias(out))
 
 
 def quantile_value(df: DataFrame, value: str, prob: float, **options) -> float:

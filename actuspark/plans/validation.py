@@ -111,7 +111,8 @@ def summary_kpis(members: DataFrame) -> DataFrame:
 
 
 def fairness_table(oot: DataFrame, probability: str) -> DataFrame:
-    named = oot.filter(F.col("race_cd").isNotNull()).withColumns({
+    # rows of unknown race count for the other dimensions and for the cut; their own level is null and skipped
+    named = oot.withColumns({
         "race": labelled("race_cd", C.RACE_LABELS, F.col("race_cd").cast("string")),
         "sex": F.when(F.col("is_female") == 1, "Female").otherwise("Male")})
     return segments.fairness(named, ["race", "sex"], C.LABEL, probability)
