@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from actuspark.llm.components import components
-from actuspark.llm.passages import near_passages
+from actuspark.llm.passages import alike, earlier, forest, near_passages
 from actuspark.llm.simhash import fingerprint, keep_one, links, near_groups
 from actuspark.llm.suffixes import anchors, repeated_spans
 
@@ -188,3 +188,39 @@ def test_near_passages_against_brute_force(spark):
     assert hit > 500 and missed <= 0.05 * hit and wrong <= 0.01 * hit
     by_id = {r.doc_id: r for r in rows}
     assert by_id[36].component_id == by_id[3].component_id and by_id[37].n_repeated == 0
+
+
+def test_contexts_alike_against_sets():
+    rng = np.random.default_rng(2)
+    least, width = 12, 23
+    for kinds in (6, 10_000):  # tokens that repeat, tokens that do not
+        base = rng.choice(kinds, (40, width), replace=True) if kinds < width else np.stack([rng.permutation(kinds)[:width] for _ in range(40)])
+        a = (2 * base + 1).astype(np.uint32)
+        b = a.copy()
+        for row in b:
+            row[rng.integers(0, width, rng.integers(0, 4))] = 2 * (kinds + rng.integers(0, 3)) + 1
+        a[::5, :4], b[1::5, -5:] = 0, 0
+        plain = not any((earlier(x) >= 0)[x > 0].any() for x in (a, b))
+        for before in [(earlier(a).astype(np.int8), earlier(b).astype(np.int8))] + [None] * plain:
+            got = alike(a, b, before, least)
+            for x, y, bits in zip(a.tolist(), b.tolist(), got.tolist()):
+                for s in range(least):
+                    p, q = x[s: s + least], y[s: s + least]
+                    near = all(p) and all(q) and len({*p} & {*q}) >= 0.8 * len({*p} | {*q})
+                    assert bool(bits >> s & 1) == near
+
+
+def test_forest_names_the_smallest_node():
+    node, root = forest(np.array([5, 3, 7, 8, 2]), np.array([3, 1, 5, 8, 6]), 9)
+    assert dict(zip(node.tolist(), root.tolist())) == {3: 1, 5: 1, 7: 1, 6: 2}
+    assert len(forest(np.zeros(0, int), np.zeros(0, int), 0)[0]) == 0
+
+
+def test_near_passages_of_repetitive_and_empty_tables(spark):
+    line = " ".join(f"w{i}" for i in range(9))
+    texts = [" ".join(["la"] * 80), " ".join(["la"] * 70), " ".join([line] * 9), " ".join([line] * 9) + " end", None, ""]
+    rows = {r.doc_id: r for r in near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    # The stretch up to the last word has nine shingles of ten in common with the others, so that word counts.
+    assert [rows[i].n_repeated for i in range(6)] == [80, 70, 81, 82, 0, 0]
+    assert rows[0].component_id == rows[1].component_id == 0 and rows[2].component_id == rows[3].component_id == 2
+    assert near_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
