@@ -458,7 +458,7 @@ VIEWS["replicates"] = f"""
 SELECT r AS grp, y, label, p, q, {_weights} AS w FROM (
   SELECT r, {C.TARGET} AS y, {C.LABEL} AS label, p, q,
     CAST('0x' || substr(md5(bene_id || {q(f'|{CFG.seed}|')} || CAST(r // 4 AS VARCHAR)), 8 * (r % 4) + 1, 8) AS BIGINT) AS draw
-  FROM scored, (SELECT unnest(range(0, 40)) AS r) AS n WHERE sample = {q(OOT)}) AS d WHERE draw >= {POISSON_CUTS[0]}"""
+  FROM scored, (SELECT unnest(range(0, 200)) AS r) AS n WHERE sample = {q(OOT)}) AS d WHERE draw >= {POISSON_CUTS[0]}"""
 _ci = lambda cols, src: " UNION ALL ".join(
     f"SELECT '{c}' AS metric, quantile_cont({c}, 0.025) AS lower, quantile_cont({c}, 0.975) AS upper FROM {src}" for c in cols)
 VIEWS["boot"] = """

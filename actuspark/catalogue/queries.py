@@ -552,13 +552,13 @@ def monitoring_status(spark, d):
 
 @query
 def bootstrap_ci(spark, d):
-    reps = bootstrap.bootstrap_regression(oot(scored(spark, d)), Y, P, KEY, 40, CFG.seed)
+    reps = bootstrap.bootstrap_regression(oot(scored(spark, d)), Y, P, KEY, 200, CFG.seed)
     return bootstrap.interval(materialize(reps, "boot"), ["r2", "cpm", "predictive_ratio", "r2_norm", "cpm_norm"])
 
 
 @query
 def bootstrap_auc(spark, d):
-    reps = bootstrap.bootstrap_auc(oot(scored(spark, d)), LABEL, Q, KEY, 40, CFG.seed)
+    reps = bootstrap.bootstrap_auc(oot(scored(spark, d)), LABEL, Q, KEY, 200, CFG.seed)
     return bootstrap.interval(reps, ["auc"])
 
 
