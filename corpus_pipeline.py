@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from actuspark.llm.common import table
 from actuspark.llm.decontaminate import clean_only
 from actuspark.llm.mixing import mixed
+from actuspark.llm.nearcopies import keep_one
 from actuspark.llm.queries import MIX, domain, mix_weights
-from actuspark.llm.simhash import keep_one
 from actuspark.llm.suffixes import repeated_spans
 from actuspark.llm.toxicity import drop_toxic
 from actuspark.session import materialize
@@ -24,7 +24,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that is linked by close SimHash fingerprints: the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 and more): the one with the smallest id."""
     return keep_one(docs)
 
 
