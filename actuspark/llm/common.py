@@ -108,7 +108,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any substrings of one byte array, from prefix sums of b[i] * p^i modulo 2^64."""
+    """Hashes of any substrings of one array of bytes or of 64-bit hashes, from prefix sums of b[i] * p^i modulo 2^64."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -116,9 +116,12 @@ class Rolling:
         self._data, self._seed = data, seed
         multiplier = (_ODD * (2 * seed + 1)) % 2**64 | 1
         self._up, self._down = self._power(multiplier, len(data) + 1)
-        letters = mix(np.arange(1, 257, dtype=U64) * U64(_ODD) + U64(seed))
+        if data.dtype == np.uint8:
+            letters = mix(np.arange(1, 257, dtype=U64) * U64(_ODD) + U64(seed))[data]
+        else:
+            letters = mix(data * U64(_ODD) + U64(seed))
         self._sums = np.zeros(len(data) + 1, U64)
-        np.cumsum(letters[data] * self._up[: len(data)], out=self._sums[1:])
+        np.cumsum(letters * self._up[: len(data)], out=self._sums[1:])
 
     @classmethod
     def _power(cls, multiplier: int, n: int) -> tuple[np.ndarray, np.ndarray]:

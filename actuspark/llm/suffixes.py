@@ -32,6 +32,7 @@ GRAM = 16
 FLUSH_ROWS = 1 << 19
 #: Asked entries that one bucket is to hold. Each bucket answers every text it knows, so their number follows the data alone.
 BUCKET_ROWS, LEAST_BUCKETS = 1 << 20, 24
+WORD_BYTES = 6  # of a usual word, for the number of buckets only
 
 PACKET = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("body", pa.binary())])
 ANSWER = pa.schema([("text_key", pa.binary()), ("copies", pa.int64()), ("body", pa.binary())])
@@ -64,6 +65,21 @@ def anchors(data: np.ndarray, threshold: int, rolling: Rolling | None = None) ->
     return best[starts], starts, np.concatenate([change, [n_windows]]) - 1
 
 
+BLANKS = np.frombuffer(b" \t\n\r\v\f", np.uint8)
+
+
+def units(text: bytes, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """What is sorted, bytes or hashes of the words between ASCII blanks, and the byte where each unit begins, with the end as last
+    entry. Blanks belong to the word before them, those at the front to the first."""
+    data = np.frombuffer(text, np.uint8)
+    if not words:
+        return data, np.arange(len(data) + 1)
+    starts, ends = runs(~np.isin(data, BLANKS))
+    places = np.append(starts, len(data))
+    places[:1] = 0
+    return Rolling(data, 2).at(starts, ends), places
+
+
 def stretches(data: np.ndarray, threshold: int) -> tuple[np.ndarray, ...]:
     """(first digit, hash of the owned stretch, first start, last start) of each anchor of a text."""
     rolling = Rolling(data, 1)
@@ -207,13 +223,13 @@ def verdicts(e: np.ndarray, keys: np.ndarray, first_pass: bool) -> Iterator[tupl
             yield padded(names[doc]), np.array([kind], "<u8").tobytes() + np.unique(rows["minor"]).astype("<u8").tobytes()
 
 
-def first_pass(threshold: int, buckets: int):
+def first_pass(threshold: int, buckets: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asker = Asker(buckets)
         for piece in slices(batches, "text"):
             for key, text in zip(piece.column("text_key").to_pylist(), texts(piece.column("text"))):
                 if asker.is_new(key):
-                    digit, stretch, _, _ = stretches(np.frombuffer(text, np.uint8), threshold)
+                    digit, stretch, _, _ = stretches(units(text, words)[0], threshold)
                     asker.add(digit, stretch)
             if asker.rows >= FLUSH_ROWS:
                 yield from asker.packets(REPEATED)
@@ -236,7 +252,7 @@ def answers_of(bodies: list[bytes]) -> dict[int, np.ndarray]:
     return {k: np.unique(np.concatenate(v)) if v else np.zeros(0, U64) for k, v in out.items()}
 
 
-def second_pass(threshold: int, buckets: int):
+def second_pass(threshold: int, buckets: int, words: bool):
     """Windows of the stretches to be compared; equal texts ask once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +262,7 @@ def second_pass(threshold: int, buckets: int):
             for key, text, bodies in zip(*columns):
                 if not asker.is_new(key):
                     continue
-                data = np.frombuffer(text, np.uint8)
+                data, _ = units(text, words)
                 _, stretch, first, last = stretches(data, threshold)
                 which = np.isin(stretch, answers_of(bodies)[COMPARE])
                 _, major, minor = window_hashes(data, first[which], last[which], threshold)
@@ -261,16 +277,17 @@ def second_pass(threshold: int, buckets: int):
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 
 
-def spans(text: bytes, copies: int, bodies: list[bytes], windows: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """The removed runs of one text."""
-    n = len(text)
+def spans(text: bytes, copies: int, bodies: list[bytes], windows: list[bytes], threshold: int,
+          words: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The removed runs of one text, in bytes."""
+    data, places = units(text, words)
+    n = len(data)
     if n < threshold:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     if copies > 1:
-        return np.array([0]), np.array([n])
+        return places[:1], places[-1:]
     if not bodies:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(text, np.uint8)
     _, stretch, first, last = stretches(data, threshold)
     known = answers_of(bodies)
     whole = np.isin(stretch, known[REPEATED])
@@ -281,7 +298,8 @@ def spans(text: bytes, copies: int, bodies: list[bytes], windows: list[bytes], t
         starts = starts[np.isin(minor, answers_of(windows)[REPEATED])]
         lo.append(starts)
         hi.append(starts + threshold)
-    return runs(cover(np.concatenate(lo), np.concatenate(hi), n))
+    starts, ends = runs(cover(np.concatenate(lo), np.concatenate(hi), n))
+    return places[starts], places[ends]
 
 
 OWN = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()),
@@ -289,7 +307,7 @@ OWN = pa.schema([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans",
 KEPT = pa.field("kept_text", pa.string())
 
 
-def finish(threshold: int, passed: list[str], keep_text: bool, settle: bool):
+def finish(threshold: int, passed: list[str], keep_text: bool, settle: bool, words: bool):
     """Results of each row. ``settle``: the first time, when rows with stretches to compare still wait (no result, if single)
     or answer for others (text and answers stay); the others need their text no more."""
     own = OWN.append(KEPT) if keep_text else OWN
@@ -304,7 +322,7 @@ def finish(threshold: int, passed: list[str], keep_text: bool, settle: bool):
                 if stay[-1] and copies == 1:
                     rows.append((None,) * len(own))
                     continue
-                lo, hi = spans(text, copies, bodies, more or [], threshold)
+                lo, hi = spans(text, copies, bodies, more or [], threshold, words)
                 kept = b"".join(text[a:b] for a, b in zip([0, *hi.tolist()], [*lo.tolist(), len(text)]))
                 rows.append((len(text), int((hi - lo).sum()), len(lo), hashlib.sha256(kept).hexdigest(), lo.tolist(), hi.tolist(),
                              kept.decode("utf-8", "ignore") if keep_text else None))
@@ -321,10 +339,12 @@ def finish(threshold: int, passed: list[str], keep_text: bool, settle: bool):
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), threshold: int = 400,
-                   keep_text: bool = False) -> DataFrame:
+                   keep_text: bool = False, words: bool = False) -> DataFrame:
     """For each row: bytes, removed bytes and runs, SHA-256 of what is kept, and where the removed runs start and end.
 
     A byte is removed if a string of ``threshold`` bytes that covers it also starts elsewhere in any text, its own included.
+    With ``words`` the threshold counts words: what is removed are words in runs of ``threshold`` words that also start elsewhere,
+    whatever blanks lie between them, together with the blanks up to the next word.
     Null and empty texts have no bytes; texts shorter than ``threshold`` stay; of repeated rows each is a text of its own, so
     both lose everything; an empty table gives an empty result. Only the columns in ``carry`` are passed on (``keep_text`` adds
     ``kept_text``, what is left without characters that a cut splits), other columns may have any names. A task holds one text and its hashes at a time (about
@@ -334,8 +354,9 @@ def repeated_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
     base = base.withColumn("text_key", text_key("text"))
     # An anchor stands for about a quarter of the threshold; the bytes of the texts give the number of buckets.
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    size = size // WORD_BYTES if words else size
     buckets = int(max(LEAST_BUCKETS, 1 + 4 * size // max(threshold, 1) // BUCKET_ROWS))
-    asked = mapped(base.select("text_key", "text"), first_pass(threshold, buckets), "bucket long, keys binary, body binary")
+    asked = mapped(base.select("text_key", "text"), first_pass(threshold, buckets, words), "bucket long, keys binary, body binary")
     replies = asked.groupBy("bucket").applyInArrow(judge(True), "text_key binary, copies long, body binary")
     info = replies.groupBy("text_key").agg(F.sum("copies").alias("copies"), F.collect_list(
         F.when(F.octet_length("body") > 8, F.col("body"))).alias("bodies"))
@@ -343,13 +364,13 @@ def repeated_spans(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
     out_type = ", ".join(f"{n} {base.schema[n].dataType.simpleString()}" for n in names) + ", " + RESULT
     out_type += ", kept_text string" if keep_text else ""
     # Every text is in info. Most rows are settled here; only texts with something to compare are stored and read again.
-    first = materialize(mapped(base.join(info, "text_key"), finish(threshold, names, keep_text, True),
+    first = materialize(mapped(base.join(info, "text_key"), finish(threshold, names, keep_text, True, words),
                                f"{out_type}, text string, bodies array<binary>, text_key binary, copies long"), "repeats")
-    again = mapped(first.where("bodies is not null").select("text_key", "text", "bodies"), second_pass(threshold, buckets),
+    again = mapped(first.where("bodies is not null").select("text_key", "text", "bodies"), second_pass(threshold, buckets, words),
                    "bucket long, keys binary, body binary")
     windows = (again.groupBy("bucket").applyInArrow(judge(False), "text_key binary, copies long, body binary")
                .where(F.octet_length("body") > 8).groupBy("text_key").agg(F.collect_list("body").alias("windows")))
     waiting = first.where("n_bytes is null").select(*names, "text_key", "copies", "text", "bodies").join(windows, "text_key", "left")
     done = first.where("n_bytes is not null")
-    rest = mapped(waiting, finish(threshold, names, keep_text, False), out_type)
+    rest = mapped(waiting, finish(threshold, names, keep_text, False, words), out_type)
     return done.select(rest.columns).union(rest).withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})

@@ -14,8 +14,8 @@ from actuspark.llm.suffixes import repeated_spans
 from actuspark.llm.toxicity import drop_toxic
 from actuspark.session import materialize
 
-#: Bytes from which a passage that repeats is cut out of all documents that hold it.
-REPEAT_BYTES = 400
+#: Words from which a passage that repeats is cut out of all documents that hold it: passages of over 50 words.
+REPEAT_WORDS = 51
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,14 +29,14 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 400 bytes and more that also start elsewhere.
+    """Documents without the passages of 51 words and more that also start elsewhere, whatever blanks lie between the words.
 
     ``text`` is what is left (characters that a cut splits go, too) and ``n_chars`` its length; a document of which nothing
     is left goes. Documents without such passages, empty and null ones among them, stay as they are.
     """
     others = [c for c in docs.columns if c != "text"]
     held = docs.select(F.struct(*others).alias("row"), "text", F.col("text").isNotNull().alias("known"))
-    found = repeated_spans(held, "text", ("row", "known"), REPEAT_BYTES, keep_text=True)
+    found = repeated_spans(held, "text", ("row", "known"), REPEAT_WORDS, keep_text=True, words=True)
     cut = F.col("n_removed") > 0
     found = found.where(~cut | (F.col("kept_text") != "")).withColumn(
         "row", F.when(cut, F.col("row").withField("n_chars", F.length("kept_text").cast("long"))).otherwise(F.col("row")))
