@@ -47,27 +47,28 @@ def apply_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("rule", F.col("chosen.rule")).withColumn("ruled", F.col("chosen.verdict")).drop("rules", "chosen")
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float, tolerance: float) -> DataFrame:
     """(host, rank): personalised PageRank over (src, dst, weight), weights adding up to 1 for each src; seeds (host, seed) add up to 1.
 
-    Rounds stop when no more than ``tolerance`` moves. Rank that ends in hosts without links is not redistributed.
+    Rounds stop when no new host is reached and no host's rank grows by more than ``tolerance`` of itself, so that neither the
+    number of seeds without links nor the length of a chain matters. Ranks only grow, by ``damping`` less each round. Rank that ends in hosts without links is not redistributed.
     """
     start = materialize(seeds.where("seed > 0").select("host", (F.col("seed") * (1 - damping)).alias("rank")), "rank")
     rank = start
-    for _ in range(rounds):
+    while True:
         moved = edges.join(rank, edges.src == rank.host).groupBy("dst").agg(F.sum(F.col("rank") * F.col("weight") * damping).alias("rank"))
         new = start.union(moved.select(F.col("dst"), "rank")).groupBy("host").agg(F.sum("rank").alias("rank"))
         new = materialize(new, "rank")
-        change = new.alias("n").join(rank.alias("o"), "host", "full").agg(
-            F.sum(F.abs(F.coalesce("n.rank", F.lit(0.0)) - F.coalesce("o.rank", F.lit(0.0)))).alias("d")).first().d
+        moving = new.alias("n").join(rank.alias("o"), "host", "left").where(
+            F.col("n.rank") - F.coalesce("o.rank", F.lit(0.0)) > tolerance * F.col("n.rank")).limit(1).count()
         rank = new
-        if (change or 0.0) <= tolerance:
+        if not moving:
             break
     return rank
 
 
 def filtered(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str = "page_id", url: str = "url", html: str = "html",
-             damping: float = 0.85, threshold: float = 0.5, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
+             damping: float = 0.85, threshold: float = 0.5, tolerance: float = 1e-4) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of each page.
 
     ``rules`` are (host, path, allow or block) of the configuration. Pages of hosts that neither trust nor distrust reaches are
@@ -89,8 +90,8 @@ def filtered(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: s
     in_sum = edges.groupBy(F.col("dst").alias("s")).agg(F.sum("n").alias("all"))
     forward = edges.join(out_sum, F.col("src") == F.col("s")).select("src", "dst", (F.col("n") / F.col("all")).alias("weight"))
     backward = edges.join(in_sum, F.col("dst") == F.col("s")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("weight"))
-    trust = spread(forward, counts.select("host", (F.col("good") / F.lit(max(total.good or 0, 1))).alias("seed")), damping, rounds, tolerance)
-    distrust = spread(backward, counts.select("host", (F.col("bad") / F.lit(max(total.bad or 0, 1))).alias("seed")), damping, rounds, tolerance)
+    trust = spread(forward, counts.select("host", (F.col("good") / F.lit(max(total.good or 0, 1))).alias("seed")), damping, tolerance)
+    distrust = spread(backward, counts.select("host", (F.col("bad") / F.lit(max(total.bad or 0, 1))).alias("seed")), damping, tolerance)
     hosts = counts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(
         distrust.withColumnRenamed("rank", "distrust"), "host", "left").fillna(0.0)
     suspect = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
