@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from actuspark.llm import decontaminate, language, links, mixing, passages, simhash, suffixes, syncmers, tokencounts, toxicity
+from actuspark.llm import (convtrie, decontaminate, language, links, mixing, passages, periods, secretscan, simhash, sql,
+                           suffixes, syncmers, tokencounts, toxicity)
 from actuspark.llm.common import constants, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,10 +77,54 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"), mix_weights(spark), domain=domain(), **MIX)
 
 
+def recycled(docs: DataFrame) -> DataFrame:
+    """Texts of documents whose crc32(doc_id) ends in 0, from word a on, repeat the p words from there; others stay as they are."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size(words), F.floor(crc / 10)
+    a = F.pmod(g, F.greatest(n, F.lit(1)))
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    again = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+    edited = F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a.cast("int")), again), F.lit(1), n), " ")
+    return docs.select("doc_id", F.when((crc % 10 == 0) & (n > 0), edited).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(recycled(table(spark, sf_dir, "documents")))
+    best = F.array_sort("runs", lambda x, y: F.when(x.length * y.period != y.length * x.period, F.signum(
+        (y.length * x.period - x.length * y.period).cast("double"))).when(x.start != y.start, F.signum((x.start - y.start).cast(
+            "double"))).otherwise(F.signum((x.period - y.period).cast("double"))).cast("int"))
+    best = F.get(best, F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.start.alias("start"), best.length.alias("length"),
+        best.period.alias("period"), F.floor(1000 * best.length / best.period).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.secrets(table(spark, sf_dir, "documents"))
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    def of(*kinds: str) -> Column:
+        return F.filter("spans", lambda s: s.kind.isin(*kinds))
+
+    base = [r.kind for r in secretscan.BASE]
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in base],
+                        F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Query]:
     return {q.__name__: q for q in (op1_language_id, op2_suffix_dedup, op3_url_filters, op4_token_counts, op5_substring_dedup,
-                                       op6_toxicity, op7_simhash, op8_decontaminate, op9_syncmers, op10_mixing)}
+                                    op6_toxicity, op7_simhash, op8_decontaminate, op9_syncmers, op10_mixing, op11_periodic_runs,
+                                    op12_conversation_trie, op13_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_periodic_runs": sql.PERIODIC_RUNS, "op12_conversation_trie": sql.CONVERSATION_TRIE, "op13_secret_scan": sql.SECRET_SCAN}
