@@ -401,13 +401,30 @@ SELECT {_pick(C.M0, C.TRAIN, {'tr_r2': 'r2'})},
 FROM ({reg_sql('SELECT * FROM duel_rows')}) AS m"""
 _sample_v = lambda name: f"SELECT 'all' AS grp, p AS v FROM scored WHERE sample = {q(name)}"
 VIEWS["score_psi"] = psi_sql(_sample_v(C.TEST), _sample_v(OOT))
-_NUMERIC = ("age", "is_female", "esrd", "n_chronic", *C.COST_FEATURES)
-_filled = lambda name: (f"SELECT {', '.join(f'CAST(COALESCE({f}, 0) AS DOUBLE) AS {f}' for f in _NUMERIC)} "
-                        f"FROM labelled WHERE sample = {q(name)}")
-VIEWS["member_csi"] = csi_sql(_filled(C.TRAIN), _filled(C.TEST), _filled(OOT), _NUMERIC)
 VIEWS["feature_csi"] = csi_sql(*[f"SELECT * FROM msampled WHERE sample = {q(s)}" for s in (C.TRAIN, C.TEST, OOT)], C.FEATURES)
 
 
+_CELLS = {"age_cell": AGE_CELL, "sex_cell": "is_female", "esrd_cell": "esrd"}
+
+
+def _refit(name: str, kind: str, cells: dict[str, str], k: int = 200, rows: str = "TRUE") -> str:
+    train = f"SELECT {C.TARGET} AS y, {', '.join(f'{v} AS {c}' for c, v in cells.items())} FROM labelled WHERE sample = {q(C.TRAIN)} AND {rows}"
+    keys = ", ".join(cells)
+    return f"""SELECT {q(name)} AS grp, {q(kind)} AS kind, o.bene_id AS id, o.{C.TARGET} AS y, COALESCE(r.n / (r.n + {k}) * r.m + {k} / (r.n + {k}) * g.mu, g.mu) AS p
+FROM (SELECT *, {', '.join(f'{v} AS {c}' for c, v in cells.items())} FROM labelled WHERE sample = {q(OOT)}) AS o
+LEFT JOIN (SELECT {keys}, {money('y')} / COUNT(*) AS m, CAST(COUNT(*) AS DOUBLE) AS n FROM ({train}) AS t GROUP BY {keys}) AS r USING ({keys})
+CROSS JOIN (SELECT {money('y')} / COUNT(*) AS mu FROM ({train}) AS t) AS g"""
+
+
+VIEWS["bench_rows"] = " UNION ALL ".join([
+    *(_refit(f"Seed {s}", "seed", _CELLS, rows=f"CAST({hash_number(f'bene_id || {q(f'|refit|{s}')}')} AS DOUBLE) / 4294967296.0 < 0.8") for s in range(1, 6)),
+    *(_refit(f"k={k}", "hyperparameter", _CELLS, k) for k in (50, 800)),
+    *(_refit(f"Drop {c}", "ablation", {x: v for x, v in _CELLS.items() if x != c}) for c in _CELLS)])
+VIEWS["bench_metrics"] = f"""
+SELECT m.*, f.kind, f.raw FROM (SELECT grp, kind, SUM(p) / SUM(y) AS raw FROM bench_rows GROUP BY grp, kind) AS f JOIN (
+{reg_sql("SELECT grp, id, y, p * (SUM(y) OVER (PARTITION BY grp) / SUM(p) OVER (PARTITION BY grp)) AS p FROM bench_rows")}) AS m ON m.grp = f.grp"""
+
+
 def _finding(rule: int, area: str, severity: str, finding: str, evidence: str, source: str, order: str = "''") -> str:
     return (f"SELECT {rule} AS rule_, {order} AS order_, {q(area)} AS area, {severity} AS severity, {finding} AS finding, "
             f"{evidence} AS evidence FROM {source}")
@@ -433,7 +450,7 @@ VIEWS["found"] = " UNION ALL ".join([
     _finding(6, "Stability", "CASE WHEN worst > 0.25 THEN 'Medium' ELSE 'Low' END",
              "'Feature distributions have shifted (CSI above 0.10)'", "line",
              "(SELECT string_agg(printf('%s=%.2f', feature, csi), ', ' ORDER BY csi DESC, feature) AS line, MAX(csi) AS worst "
-             "FROM (SELECT * FROM member_csi WHERE csi > 0.10 ORDER BY csi DESC, feature LIMIT 5) AS t) AS s WHERE line IS NOT NULL"),
+             "FROM (SELECT * FROM feature_csi WHERE csi > 0.10 ORDER BY csi DESC, feature LIMIT 5) AS t) AS s WHERE line IS NOT NULL"),
     _finding(7, _OA, "'Medium'", "'Segments mis-calibrated (ratio outside 0.85-1.15)'", "line",
              "(SELECT string_agg(printf('%s=%s: %.2f', dimension, level, predictive_ratio), '; ' ORDER BY dimension, level) AS line "
              "FROM (SELECT * FROM segs WHERE n >= 500 AND (predictive_ratio < 0.85 OR predictive_ratio > 1.15) "
@@ -443,6 +460,8 @@ VIEWS["found"] = " UNION ALL ".join([
              "WHERE k > 1 AND high - low > 0.05"),
     _finding(9, "Benchmarking", "'Low'", "'Champion hardly better than the simpler challenger'",
              "printf('Normalised CPM %.3f against %.3f', on_cpm, ch_cpm)", "duel_facts WHERE on_cpm - ch_cpm < 0.01"),
+    _finding(10, "Robustness", "'Low'", "'Results depend on the seed'", "printf('Deviation of out-of-time R2 over seeds %.4f', spread)",
+             "(SELECT stddev_samp(r2) AS spread FROM bench_metrics WHERE kind = 'seed') AS s WHERE spread > 0.01"),
     _finding(11, _CS, "'Medium'", "'Prediction not monotonic in the chronic-condition count'", "'See the monotonicity table'",
              "(SELECT MIN(step) AS fall, AVG(mean_pred) AS level FROM mono) AS s WHERE fall <= -0.02 * level"),
     _finding(12, _CS, "'Low'", "'Public sample limits clinical credibility'",
@@ -495,9 +514,17 @@ VIEWS["corrs"] = (
     f"SELECT feature, CASE WHEN isnan(c) THEN NULL ELSE c END AS corr FROM (SELECT unnest(fs) AS feature, unnest(cs) AS c FROM ("
     f"SELECT [{', '.join(q(f) for f in C.FEATURES)}] AS fs, [{_corr}] AS cs FROM msampled WHERE sample = {q(C.TRAIN)}) AS w) AS u")
 
-_shocks = {"Prior-year costs -10%": -0.10, "Prior-year costs +10%": 0.10, "Prior-year costs +25%": 0.25}
+_shocks = {"Prior-year costs -10%": -0.10, "Prior-year costs +10%": 0.10, "Prior-year costs +25%": 0.25,
+           # persistence does not look at these two
+           "n_chronic +1 for all members": 0.0, "ip_admits +1 for all members": 0.0}
 _lines = "SELECT l_shipdate, o_orderdate FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
 
+_CELL_ROWS = (f"SELECT CAST(m.is_female AS BIGINT) AS is_female, m.{C.TARGET} AS y, l.{C.LABEL} AS label FROM msampled AS m JOIN labelled AS l "
+              f"ON l.bene_id = m.bene_id AND l.year = m.year WHERE m.sample = {q(C.TRAIN)}")
+_steps = lambda src: (
+    "SELECT is_female, n, sy, sl, f + 0.5 * (sy - n * exp(f)) / (n * exp(f) + 1) AS f, "
+    "g + 0.5 * (sl - n / (1 + exp(-g))) / (n / (1 + exp(-g)) * (1 - 1 / (1 + exp(-g))) + 1) AS g FROM (" + src + ") AS t")
+
 BODIES: dict[str, str] = {
     "scan_counts": " UNION ALL ".join(
         [f"SELECT 'bene_{y}' AS source, COUNT(*) AS n_rows FROM stg_bene WHERE FILE_YEAR = {y}" for y in CFG.years]
@@ -580,8 +607,8 @@ SELECT position, fpr, tpr FROM r WHERE d <= 199 OR position IN (SELECT position
     "leakage_review": "SELECT '' AS forbidden_features, arg_max(feature, abs(corr)) AS max_abs_corr_feature, "
                       "MAX(abs(corr)) AS max_abs_corr FROM corrs",
     "segment_calibration": "SELECT * FROM segs",
-    "segment_breaches": "SELECT *, CASE WHEN n >= 50 AND (pred_mean / actual_mean < 0.85 OR pred_mean / actual_mean > 1.15) "
-                        "THEN 'BREACH' ELSE 'OK' END AS status FROM segs",
+    **{name: f"SELECT *, CASE WHEN n >= {least} AND (pred_mean / actual_mean < 0.85 OR pred_mean / actual_mean > 1.15) "
+             "THEN 'BREACH' ELSE 'OK' END AS status FROM segs" for name, least in (("segment_breaches", 500), ("segment_breaches_small", 50))},
     "fairness": "SELECT * FROM fair",
     "ratio_crosstab": "SELECT age_band, " + ", ".join(
         f"SUM(CASE WHEN sex = '{s}' THEN p END) / SUM(CASE WHEN sex = '{s}' THEN {C.TARGET} END) * MAX(k.f) AS {s.lower()}_ratio"
@@ -590,7 +617,7 @@ SELECT position, fpr, tpr FROM r WHERE d <= 199 OR position IN (SELECT position
     "monotonicity": "SELECT *, (SELECT COALESCE(MIN(step) > -0.02 * AVG(mean_pred), TRUE) FROM mono) AS monotonic FROM mono",
     "input_shock": " UNION ALL ".join(
         f"SELECT {q(name)} AS test, AVG(greatest(paid_total * (1 + {s}) * trend, floor_)) / AVG(greatest(paid_total * trend, floor_)) - 1 "
-        f"AS mean_pred_change FROM labelled, m0 WHERE sample = {q(OOT)}" for name, s in _shocks.items()),
+        f"AS mean_pred_change FROM msampled, m0 WHERE sample = {q(OOT)}" for name, s in _shocks.items()),
     "scored_members": "SELECT * FROM roster",
     "decile_backtest": "SELECT * FROM backtest",
     "decile_capture": "SELECT * FROM backtest WHERE risk_decile > 0",
@@ -618,6 +645,15 @@ SELECT printf('F-%02d', row_number() OVER (ORDER BY rule_, order_)) AS id, area,
     # replicates that drew one class only have no AUC
     "bootstrap_auc": _ci(("auc",), f"({auc_sql('SELECT grp, label AS y, q AS p, w FROM replicates', 'w')}) AS b "
                                    "WHERE n_pos > 0 AND n_neg > 0"),
+    "bootstrap_auc_relative": _ci(("auc_relative",), "(SELECT auc AS auc_relative FROM (" + auc_sql(
+        f"SELECT grp, CAST(y >= cut AS INT) AS y, q AS p, w FROM replicates, (SELECT quantile_cont({C.TARGET}, {CFG.high_cost_quantile}) AS cut "
+        f"FROM scored WHERE sample = {q(OOT)}) AS k", "w") + ") AS b WHERE n_pos > 0 AND n_neg > 0) AS r"),
+    "benchmark_robustness": 'SELECT grp AS test, kind AS "group", r2 AS r2_norm, cpm AS cpm_norm, gini, raw AS raw_predictive_ratio FROM bench_metrics',
+    "saturated_fits": f"SELECT is_female, AVG(y) AS cost, AVG(label) AS chance FROM ({_CELL_ROWS}) AS c GROUP BY is_female",
+    # start at the mean, then three Newton steps of rate 1/2 with a ridge of 1 in each cell
+    "boosting_steps": "SELECT is_female, exp(f) AS cost, 1 / (1 + exp(-g)) AS chance FROM (" + _steps(_steps(_steps(
+        f"SELECT is_female, COUNT(*) AS n, SUM(y) AS sy, SUM(label) AS sl, ln(MAX(my)) AS f, ln(MAX(ml) / (1 - MAX(ml))) AS g FROM ({_CELL_ROWS}) AS c, "
+        f"(SELECT AVG(y) AS my, AVG(label) AS ml FROM ({_CELL_ROWS}) AS d) AS m GROUP BY is_female"))) + ") AS s",
 }
 
 

@@ -11,9 +11,9 @@ from actuspark import config as C
 from actuspark.catalogue.shapes import finish
 from actuspark.functions.columns import calendar_day, lenient_int, lenient_real, or_else
 from actuspark.ml.baselines import CredibilityRate, NaivePersistence, lookup_table
-from actuspark.ml.boosting import BoostedClassifier, BoostedCost
+from actuspark.ml.boosting import BoostedClassifier, BoostedCost, fit_together
 from actuspark.ml.linear import LogisticClassifier, TweedieGLM
-from actuspark.ml.registry import BoostingBudget, fit_all, score_all
+from actuspark.ml.registry import BoostingBudget, class_estimators, cost_estimators, fit_all, score_all
 from actuspark.operators import (
     bootstrap, classification, explain, quality, ranking, regression, segments, shaping, stability,
 )
@@ -446,6 +446,12 @@ def segment_calibration(spark, d):
 
 @query
 def segment_breaches(spark, d):
+    return segments.segment_status(segment_calibration(spark, d))
+
+
+@query
+def segment_breaches_small(spark, d):
+    """The same with a lower bound of rows, which the test tables reach."""
     return segments.segment_status(segment_calibration(spark, d), min_rows=50)
 
 
@@ -470,10 +476,8 @@ def monotonicity(spark, d):
 
 @query
 def input_shock(spark, d):
-    parts = split(spark, d)
-    model = NaivePersistence().fit(parts.train)
-    shocks = {n: s for n, s in explain.standard_shocks().items() if n.startswith("Prior-year")}
-    return explain.input_shocks(model, parts.oot, [*C.COST_FEATURES, "log_paid_total"], shocks)
+    parts = claims.split(matrix(spark, d), CFG)
+    return explain.input_shocks(NaivePersistence().fit(parts.train), parts.oot, C.FEATURES)
 
 
 # ---- member and workbook tables
@@ -515,15 +519,15 @@ def findings_rating(spark, d):
     dq = materialize(quality.run_suite(starviews.staged_raw(spark, d), CFG.years), "evidence")
     champion = long.filter(F.col("model") == C.M0)
     row = findings.champion_row(metrics, C.M0, C.M1, CFG.oot_sample)
-    numeric = ("age", "is_female", "esrd", "n_chronic", *C.COST_FEATURES)
-    gaps_filled = lambda df: df.select(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in numeric])
+    inputs = claims.split(matrix(spark, d), CFG)
     found = materialize(findings.numbered([
         findings.from_checks(dq),
         findings.from_metrics(row, stability.psi(in_time(champion), oot(champion), "prediction"), dq),
-        findings.from_csi(stability.csi(*[gaps_filled(x) for x in (parts.train, parts.test, parts.oot)], numeric)),
+        findings.from_csi(stability.csi(inputs.train, inputs.test, inputs.oot, C.FEATURES)),
         findings.from_segments(segments.segment_calibration(claims.with_bands(full), claims.SEGMENTS, Y, "p_norm")),
         findings.from_fairness(validation.fairness_table(full, P)),
         findings.from_benchmark(row),
+        findings.from_robustness(validation.robustness(parts.train, parts.oot, validation.benchmark_refits(CFG))),
         findings.from_monotonicity(segments.is_monotonic(segments.monotonicity(
             full, "n_chronic", P))),
         findings.standing(spark),
@@ -562,6 +566,15 @@ def bootstrap_auc(spark, d):
     return bootstrap.interval(reps, ["auc"])
 
 
+@query
+def bootstrap_auc_relative(spark, d):
+    """The label is the top share of the out-of-time outcomes themselves."""
+    rows = oot(scored(spark, d)).withColumns({"model": F.lit("q"), "prediction": F.col(Q)})
+    again = validation.with_relative_label(rows, CFG.oot_sample, CFG.high_cost_quantile).filter(F.col("sample") == C.RELATIVE)
+    reps = bootstrap.bootstrap_auc(again, LABEL, Q, KEY, 200, CFG.seed, "auc_relative")
+    return bootstrap.interval(reps, ["auc_relative"])
+
+
 # ---- comparison and explanation of the closed-form models
 
 @query
@@ -601,41 +614,66 @@ def _scored_by(estimators, spark, d, features=C.FEATURES):
 
 @query
 def tweedie_glm(spark, d):
-    _, _, long = _scored_by({C.M2: TweedieGLM(C.FEATURES, max_iter=25)}, spark, d)
+    _, _, long = _scored_by({C.M2: TweedieGLM()}, spark, d)
     return regression.regression_metrics(long, Y, "prediction", KEY, ["sample"])
 
 
 @query
 def poisson_gbt(spark, d):
-    est = BoostedCost(C.FEATURES, max_iter=8, learning_rate=0.2, min_leaf=20)
-    _, _, long = _scored_by({C.M3: est}, spark, d)
+    _, _, long = _scored_by({C.M3: BoostedCost(seed=CFG.seed)}, spark, d)
     return regression.regression_metrics(long, Y, "prediction", KEY, ["sample"])
 
 
 @query
 def logit_clf(spark, d):
-    _, _, long = _scored_by({C.C1: LogisticClassifier(C.FEATURES)}, spark, d)
+    _, _, long = _scored_by({C.C1: LogisticClassifier()}, spark, d)
     return classification.classification_metrics(long, LABEL, "prediction", KEY, ["sample"])
 
 
 @query
 def gbt_clf(spark, d):
-    est = BoostedClassifier(C.FEATURES, max_iter=5, learning_rate=0.2, min_leaf=20)
-    _, _, long = _scored_by({C.C2: est}, spark, d)
+    _, _, long = _scored_by({C.C2: BoostedClassifier(seed=CFG.seed)}, spark, d)
     return classification.classification_metrics(long, LABEL, "prediction", KEY, ["sample"])
 
 
 @query
 def model_comparison(spark, d):
-    ests = {C.M0: NaivePersistence(), C.M1: CredibilityRate(), C.M2: TweedieGLM(C.FEATURES, max_iter=15, refits=0),
-            C.M3: BoostedCost(C.FEATURES, max_iter=4, learning_rate=0.3, min_leaf=20)}
-    _, _, long = _scored_by(ests, spark, d)
+    """The four cost models at their full budgets."""
+    _, _, long = _scored_by(cost_estimators(CFG), spark, d)
     return validation.cost_comparison(materialize(validation.with_normalised(long, CFG.oot_sample), "cost"))
 
 
+@query
+def classifier_comparison(spark, d):
+    """Both classifiers at their full budgets, out of time also against the top share of that period's own outcomes."""
+    _, _, long = _scored_by(class_estimators(CFG), spark, d)
+    return validation.class_comparison(materialize(
+        validation.with_relative_label(long, CFG.oot_sample, CFG.high_cost_quantile), "class"))
+
+
+@query
+def boosting_steps(spark, d):
+    """Three rounds on one 0/1 input: the leaves are the two cells, the steps can be written out."""
+    parts = claims.split(matrix(spark, d), CFG)
+    plan = [BoostedCost(("is_female",), max_iter=3, learning_rate=0.5, min_leaf=1, validation_share=0.0),
+            BoostedClassifier(("is_female",), max_iter=3, learning_rate=0.5, min_leaf=1, validation_share=0.0)]
+    cost, chance = fit_together(parts.train, plan)
+    cells = parts.train.select("is_female").distinct()
+    return chance.transform(cost.transform(cells, "cost"), "chance")
+
+
+@query
+def saturated_fits(spark, d):
+    """Without penalty and with one 0/1 input both linear models predict the means of the two cells."""
+    parts = claims.split(matrix(spark, d), CFG)
+    cost = TweedieGLM(("is_female",), alpha=0.0).fit(parts.train)
+    chance = LogisticClassifier(("is_female",), c=float("inf")).fit(parts.train)
+    return chance.transform(cost.transform(parts.train.select("is_female").distinct(), "cost"), "chance")
+
+
 def _champion(spark, d):
     parts = claims.split(matrix(spark, d), CFG)
-    return parts, BoostedCost(C.FEATURES, max_iter=4, learning_rate=0.3, min_leaf=20).fit(parts.train)
+    return parts, BoostedCost(seed=CFG.seed).fit(parts.train)
 
 
 @query
@@ -649,7 +687,7 @@ def permutation_importance(spark, d):
 def partial_dependence(spark, d):
     parts, model = _champion(spark, d)
     sample = explain.explain_sample(parts.test.select(KEY, Y, *C.FEATURES), KEY, CFG.seed)
-    importance = explain.permutation_importance(model, sample, C.FEATURES, Y, KEY, 1, CFG.seed)
+    importance = explain.permutation_importance(model, sample, C.FEATURES, Y, KEY, seed=CFG.seed)
     return explain.partial_dependence(model, sample, explain.top_features(importance), C.FEATURES)
 
 
@@ -659,18 +697,22 @@ def sensitivity(spark, d):
     return explain.input_shocks(model, parts.oot, C.FEATURES)
 
 
-def _refits(spark, d, groups):
+@query
+def robustness(spark, d):
+    """All twelve refits of the champion at the full budget."""
     parts = claims.split(matrix(spark, d), CFG)
-    budget = BoostingBudget(cost_rounds=2, cost_rate=0.4, min_leaf_cost=20)
-    plan = [r for r in validation.refits(CFG, budget, seeds=(1, 2)) if r.group in groups]
-    return validation.robustness(parts.train, parts.oot, plan)
+    return validation.robustness(parts.train, parts.oot, validation.refits(CFG, BoostingBudget()))
 
 
 @query
-def robustness(spark, d):
-    return _refits(spark, d, ("seed", "hyperparameter", "ablation"))
+def seed_spread(spark, d):
+    parts = claims.split(matrix(spark, d), CFG)
+    plan = [r for r in validation.refits(CFG, BoostingBudget()) if r.group == "seed"]
+    return findings.seed_spread(validation.robustness(parts.train, parts.oot, plan))
 
 
 @query
-def seed_spread(spark, d):
-    return findings.seed_spread(_refits(spark, d, ("seed",)))
+def benchmark_robustness(spark, d):
+    """The same table over the closed-form rate model: seeds draw the rows, settings and inputs vary."""
+    parts = split(spark, d)
+    return validation.robustness(parts.train, parts.oot, validation.benchmark_refits(CFG))

@@ -84,6 +84,7 @@ SHAPES: dict[str, str] = {
     "leakage_review": "forbidden_features:s max_abs_corr_feature:s max_abs_corr:6",
     "segment_calibration": _SEGMENT,
     "segment_breaches": f"{_SEGMENT} status:s",
+    "segment_breaches_small": f"{_SEGMENT} status:s",
     "fairness": "dimension:s level:s n:i event_rate:6 auc:6 flag_rate_top:6 tpr_top:6",
     "ratio_crosstab": "age_band:s female_ratio:6 male_ratio:6 all_ratio:6 n:i actual_mean:4",
     "monotonicity": "level:i mean_pred:4 step:4 monotonic:b",
@@ -98,7 +99,12 @@ SHAPES: dict[str, str] = {
     "monitoring_status": "period:s n:i metric:s value:6 status:s",
     "bootstrap_ci": "metric:s lower:6 upper:6",
     "bootstrap_auc": "metric:s lower:6 upper:6",
-    "tweedie_glm": "sample:s n:i predictive_ratio:4 gini:4",
+    "bootstrap_auc_relative": "metric:s lower:6 upper:6",
+    "tweedie_glm": f"sample:s {_REG}",
+    "boosting_steps": "is_female:i cost:4 chance:6",
+    "saturated_fits": "is_female:i cost:4 chance:6",
+    "classifier_comparison": f"model:s sample:s {_CLF}",
+    "benchmark_robustness": "test:s group:s r2_norm:6 cpm_norm:6 gini:6 raw_predictive_ratio:6",
     "poisson_gbt": f"sample:s {_REG}",
     "logit_clf": f"sample:s {_CLF}",
     "gbt_clf": f"sample:s {_CLF}",

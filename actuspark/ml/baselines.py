@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from actuspark import config as C
-from actuspark.functions.columns import band, money_sum
+from actuspark.functions.columns import band, hash_share, money_sum
 from actuspark.session import small_table
 
 PREDICTION = "prediction"
@@ -85,5 +85,18 @@ class CredibilityRate:
         return CellRateModel(cells, mean, small_table(rates))
 
 
+@dataclass(frozen=True)
+class Resampled:
+    """An estimator fitted on a share of the rows, dealt by a hash of the key and the seed."""
+
+    estimator: object
+    seed: int
+    share: float = 0.8
+    key: str = "bene_id"
+
+    def fit(self, df: DataFrame):
+        return self.estimator.fit(df.filter(hash_share(self.key, f"refit|{self.seed}") < self.share))
+
+
 def lookup_table(model: CellRateModel, names: Sequence[str] = ("cell_mean", "n", "rate")) -> DataFrame:
     return model.rates.select(*model.cells, *names)

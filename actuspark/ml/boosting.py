@@ -1,35 +1,39 @@
-"""Gradient boosting on Spark decision trees: Poisson (or squared-error) cost model and boosted classifier."""
+"""Gradient boosting on histograms: one learner for the Poisson or squared-error cost model and the classifier.
+
+Features are binned once to bytes and stored in blocks. A round grows one tree, always at the leaf of greatest gain: a pass over
+the blocks adds gradients, hessians and counts per (node, feature, bin) for the smaller children of all leaves that may still be
+split; their siblings follow by subtraction. Any number of models (losses, targets, seeds, settings, feature sets) grow in the
+same passes over the same blocks, each with its own rows and features.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Generator, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actuspark import config as C
 from actuspark.functions.columns import hash_share
 from actuspark.ml.baselines import PREDICTION
-from actuspark.session import materialize
-
-VECTOR = "_vector"
-
+from actuspark.ml.blocks import numbers, packed, records, total
+from actuspark.session import materialize, release
 
-def assemble(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
-    return VectorAssembler(inputCols=list(features), outputCol=VECTOR).transform(df)
+#: A leaf whose hessians add up to less is not split off.
+LEAST_HESSIAN = 1e-3
+TRAIN, VALID = 1, 2
 
 
 @dataclass(frozen=True)
 class FlatTree:
-    """One tree as parallel node arrays; a leaf has feature -1 and holds its step."""
+    """One tree as parallel node arrays; a leaf has feature -1 and holds its step. Rows up to the threshold go left."""
 
     feature: tuple[int, ...]
     threshold: tuple[float, ...]
@@ -37,56 +41,41 @@ class FlatTree:
     right: tuple[int, ...]
     step: tuple[float, ...]
 
+    @property
+    def leaves(self) -> int:
+        return sum(f < 0 for f in self.feature)
 
-def flatten(root, steps: list[float]) -> FlatTree:
-    """Node arrays of a fitted tree; ``steps`` are the leaf values, left to right."""
-    feature, threshold, left, right, step = [], [], [], [], []
-    leaves = iter(steps)
-
-    def visit(node) -> int:
-        at = len(feature)
-        for column in (feature, threshold, left, right, step):
-            column.append(0)
-        if node.subtreeDepth() == 0:
-            feature[at], step[at] = -1, float(next(leaves))
-        else:
-            split = node.split()
-            feature[at], threshold[at] = int(split.featureIndex()), float(split.threshold())
-            left[at] = visit(node.leftChild())
-            right[at] = visit(node.rightChild())
-        return at
 
-    visit(root)
-    return FlatTree(tuple(feature), tuple(threshold), tuple(left), tuple(right), tuple(step))
+def landed(tree: FlatTree, x: np.ndarray) -> np.ndarray:
+    """The node at which each column of ``x`` (features, rows) ends."""
+    feature, threshold, left, right = (np.array(v) for v in (tree.feature, tree.threshold, tree.left, tree.right))
+    node, rows = np.zeros(x.shape[1], np.int64), np.arange(x.shape[1])
+    while len(rows):
+        f = feature[node[rows]]
+        rows, f = rows[f >= 0], f[f >= 0]
+        at = node[rows]
+        node[rows] = np.where(x[f, rows] <= threshold[at], left[at], right[at])
+    return node
 
 
 def ensemble_score(trees: list[FlatTree], start: float):
     """Arrow-batched sum of tree steps. One call replaces hundreds of chained tree transforms in the plan."""
-    arrays = [(np.array(t.feature), np.array(t.threshold), np.array(t.left), np.array(t.right), np.array(t.step))
-              for t in trees]
 
     @F.pandas_udf(T.DoubleType())
     def score(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        total = np.full(len(x), start)
-        rows = np.arange(len(x))
-        for feature, threshold, left, right, step in arrays:
-            node = np.zeros(len(x), dtype=int)
-            while True:
-                f = feature[node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                low = x[rows, np.maximum(f, 0)] <= threshold[node]
-                node = np.where(inner, np.where(low, left[node], right[node]), node)
-            total += step[node]
-        return pd.Series(total)
+        x = np.stack([np.nan_to_num(c.to_numpy(dtype=float), nan=-np.inf, posinf=np.inf, neginf=-np.inf) for c in columns])
+        out = np.full(x.shape[1], start)
+        for tree in trees:
+            out += np.array(tree.step)[landed(tree, x)]
+        return pd.Series(out)
 
     return score
 
 
 @dataclass(frozen=True)
-class BoostedCostModel:
+class BoostedModel:
+    """``validation_losses`` begins with the loss of the constant model."""
+
     features: tuple[str, ...]
     start: float
     trees: list[FlatTree]
@@ -94,18 +83,15 @@ class BoostedCostModel:
     validation_losses: list[float] = field(default_factory=list)
 
     def transform(self, df: DataFrame, out: str = PREDICTION) -> DataFrame:
-        total = ensemble_score(self.trees, self.start)(*[F.col(f).cast("double") for f in self.features])
-        return df.withColumn(out, F.exp(total) if self.loss == "poisson" else total)
+        score = ensemble_score(self.trees, self.start)(*[F.col(f).cast("double") for f in self.features])
+        if self.loss == "logistic":
+            return df.withColumn(out, 1 / (1 + F.exp(-score)))
+        return df.withColumn(out, F.exp(score) if self.loss == "poisson" else score)
 
 
 @dataclass(frozen=True)
-class BoostedCost:
-    """Boosted cost model, fitted by Newton steps.
-
-    Each round fits one tree to the working response (y - mu) / mu with weight mu, whose leaf means are the Newton
-    steps; one aggregation by leaf then gives the ridge-corrected steps and the validation loss together. Scores
-    are written to the checkpoint folder every ``checkpoint_every`` rounds so the lineage stays short.
-    """
+class Boosting:
+    """A model to be fitted. Losses: ``poisson`` (log link), ``squared_error``, ``logistic`` (outcomes 0 and 1)."""
 
     features: tuple[str, ...] = C.FEATURES
     target: str = C.TARGET
@@ -113,125 +99,379 @@ class BoostedCost:
     loss: str = "poisson"
     learning_rate: float = 0.05
     max_iter: int = 600
-    max_depth: int = 4
+    max_leaves: int = 15
     max_bins: int = 255
     min_leaf: int = 200
     l2: float = 1.0
     validation_share: float = 0.15
     patience: int = 30
+    tolerance: float = 1e-7
     seed: int = 2024
-    checkpoint_every: int = 10
-
-    def _mean(self, score: Column) -> Column:
-        return F.exp(score) if self.loss == "poisson" else score
-
-    def _start(self, rows: DataFrame) -> float:
-        mean = rows.filter("NOT _valid").agg(F.avg("_y")).first()[0]
-        return math.log(max(mean, 1e-12)) if self.loss == "poisson" else mean
-
-    def fit(self, df: DataFrame) -> BoostedCostModel:
-        if self.loss not in ("poisson", "squared_error"):
-            raise ValueError("loss must be 'poisson' or 'squared_error'")
-        poisson = self.loss == "poisson"
-        rows = assemble(df, self.features).select(
-            F.col(self.key).alias("_id"), VECTOR, F.col(self.target).cast("double").alias("_y"),
-            (hash_share(self.key, f"valid|{self.seed}") < self.validation_share).alias("_valid"))
-        rows = materialize(rows, "boost")
-        start = self._start(rows)
-        state = rows.withColumn("_f", F.lit(start)).persist()
-        trees: list[FlatTree] = []
-        losses: list[float] = []
-        best, waited = math.inf, 0
-        older = None
-        mu = self._mean(F.col("_f"))
-        for round_no in range(self.max_iter):
-            weight = mu if poisson else F.lit(1.0)
-            response = (F.col("_y") - mu) / weight
-            work = state.filter("NOT _valid").select(VECTOR, response.alias("_z"), weight.alias("_w"))
-            tree = DecisionTreeRegressor(
-                featuresCol=VECTOR, labelCol="_z", weightCol="_w", predictionCol="_step", leafCol="_leaf",
-                maxDepth=self.max_depth, maxBins=self.max_bins, minInstancesPerNode=self.min_leaf, minInfoGain=0.0,
-                seed=self.seed + round_no).fit(work)
-            tree.setLeafCol("_leaf")
-            tree.setPredictionCol("_step")
-            placed = tree.transform(state)
-            residual, hessian = F.col("_y") - mu, weight
-            on = lambda c, side: F.sum(F.when(F.col("_valid") == side, c).otherwise(0.0))
-            # at most 2^depth rows
-            leaves = placed.groupBy("_leaf").agg(
-                on(residual, False).alias("g"), on(hessian, False).alias("h"), on(F.lit(1.0), True).alias("n"),
-                on(F.col("_y"), True).alias("y"), on(F.col("_y") * F.col("_f"), True).alias("yf"),
-                on(mu, True).alias("mu"), on((F.col("_y") - F.col("_f")) * (F.col("_y") - F.col("_f")), True).alias("sq"),
-                on(F.col("_y") - F.col("_f"), True).alias("r")).collect()
-            by_leaf = {int(r["_leaf"]): r for r in leaves}
-            count = max(by_leaf) + 1 if by_leaf else 1
-            step = lambda i: (self.learning_rate * by_leaf[i]["g"] / (by_leaf[i]["h"] + self.l2)
-                              if i in by_leaf and by_leaf[i]["h"] + self.l2 > 0 else 0.0)
-            root = tree._call_java("rootNode")
-            steps = [step(i) for i in range(max(count, int(root.subtreeDepth() == 0)))]
-            steps += [0.0] * (tree.numNodes // 2 + 1 - len(steps))
-            trees.append(flatten(root, steps))
-            if poisson:  # deviance up to a constant, after the update
-                loss = sum(r["mu"] * math.exp(steps[i]) - (r["yf"] + steps[i] * r["y"]) for i, r in by_leaf.items())
-            else:
-                loss = sum(r["sq"] - 2 * steps[i] * r["r"] + r["n"] * steps[i] ** 2 for i, r in by_leaf.items())
-            losses.append(loss / max(sum(r["n"] for r in by_leaf.values()), 1.0))
-            moved = F.element_at(F.lit(steps), F.col("_leaf").cast("int") + 1)
-            state_next = placed.withColumn("_f", F.col("_f") + moved).select(*state.columns)
-            if (round_no + 1) % self.checkpoint_every == 0:
-                state_next = materialize(state_next, "boost")
-            state_next = state_next.persist()
-            previous, state = state, state_next
-            if best == math.inf or losses[-1] < best - 1e-7 * abs(best):
-                best, waited = losses[-1], 0
-            else:
-                waited += 1
-            if self.validation_share > 0 and waited >= self.patience:
-                previous.unpersist()
-                break
-            # the cache two rounds back is no longer read: the last round filled its successor
-            if older is not None:
-                older.unpersist()
-            older = previous
-        for cached in (older, state):
-            if cached is not None:
-                cached.unpersist()
-        return BoostedCostModel(tuple(self.features), start, trees, self.loss, losses)
 
+    def __post_init__(self):
+        if self.loss not in ("poisson", "squared_error", "logistic"):
+            raise ValueError("loss must be 'poisson', 'squared_error' or 'logistic'")
+        if not 2 <= self.max_bins <= 256:
+            raise ValueError("bins are numbered by one byte")
+
+    def fit(self, df: DataFrame) -> BoostedModel:
+        return fit_together(df, [self])[0]
+
+    @property
+    def role(self) -> Column:
+        """Rows without outcome take no part; a share of the others, dealt by a hash of the key, watches over the rounds."""
+        watching = hash_share(self.key, f"valid|{self.seed}") < self.validation_share
+        return F.when(F.col(self.target).isNull(), 0).when(watching, VALID).otherwise(TRAIN)
+
+    def start(self, mean: float | None) -> float:
+        mean = mean or 0.0
+        if self.loss == "squared_error":
+            return mean
+        mean = max(mean, 1e-12)
+        return math.log(mean) if self.loss == "poisson" else math.log(mean / max(1 - mean, 1e-12))
+
+    def slopes(self, y: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and second derivative of the loss."""
+        if self.loss == "squared_error":
+            return score - y, np.ones(len(y))
+        mean = np.exp(score) if self.loss == "poisson" else 1 / (1 + np.exp(-score))
+        return mean - y, mean if self.loss == "poisson" else mean * (1 - mean)
+
+    def losses(self, y: np.ndarray, score: np.ndarray) -> np.ndarray:
+        if self.loss == "squared_error":
+            return (score - y) ** 2 / 2
+        return np.exp(score) - y * score if self.loss == "poisson" else np.logaddexp(0, score) - y * score
+
+    def finished(self, losses: list[float]) -> bool:
+        """No loss of the last ``patience`` rounds is below the one before them."""
+        if self.validation_share <= 0 or len(losses) <= self.patience:
+            return False
+        return min(losses[-self.patience:]) >= losses[-self.patience - 1] - self.tolerance
 
-@dataclass(frozen=True)
-class BoostedClassifierModel:
-    features: tuple[str, ...]
-    model: GBTClassificationModel
 
-    def transform(self, df: DataFrame, out: str = PREDICTION) -> DataFrame:
-        scored = self.model.transform(assemble(df.drop(out), self.features))
-        return scored.withColumn(out, vector_to_array("_prob")[1]).drop(VECTOR, "_raw", "_prob", "_class")
+@dataclass(frozen=True)
+class BoostedCost(Boosting):
+    """Boosted next-year cost."""
 
 
 @dataclass(frozen=True)
-class BoostedClassifier:
-    """Boosted trees on the high-cost label, early-stopped on a keyed-hash validation share."""
+class BoostedClassifier(Boosting):
+    """Boosted probability of the high-cost label."""
 
-    features: tuple[str, ...] = C.FEATURES
     target: str = C.LABEL
-    key: str = "bene_id"
-    learning_rate: float = 0.05
+    loss: str = "logistic"
     max_iter: int = 500
-    max_depth: int = 5
-    max_bins: int = 255
+    max_leaves: int = 31
     min_leaf: int = 100
-    validation_share: float = 0.15
-    seed: int = 2024
 
-    def fit(self, df: DataFrame) -> BoostedClassifierModel:
-        rows = assemble(df, self.features).select(
-            VECTOR, F.col(self.target).cast("double").alias(self.target),
-            (hash_share(self.key, f"valid|{self.seed}") < self.validation_share).alias("_valid"))
-        rows = materialize(rows, "boost")
-        gbt = GBTClassifier(
-            featuresCol=VECTOR, labelCol=self.target, predictionCol="_class", stepSize=self.learning_rate, maxIter=self.max_iter, maxDepth=self.max_depth,
-            maxBins=self.max_bins, minInstancesPerNode=self.min_leaf, validationIndicatorCol="_valid",
-            validationTol=1e-4, seed=self.seed, checkpointInterval=10, cacheNodeIds=True)
-        gbt = gbt.setRawPredictionCol("_raw").setProbabilityCol("_prob")
-        return BoostedClassifierModel(tuple(self.features), gbt.fit(rows))
+
+# --- one tree ---
+
+@dataclass(frozen=True)
+class Split:
+    gain: float
+    feature: int
+    bin: int
+    smaller_left: bool
+    can_go_on: tuple[bool, bool]  # whether the left and the right child are large enough to be split
+
+
+def best_split(sums: np.ndarray, model: Boosting) -> Split | None:
+    """Of (features, bins, 3) sums of gradients, hessians and counts; the first feature and bin win ties."""
+    whole = sums[0].sum(axis=0)
+    left = np.cumsum(sums, axis=1)[:, :-1]
+    right = whole - left
+    fits = np.ones(left.shape[:2], bool)
+    for side in (left, right):
+        fits &= (np.round(side[:, :, 2]) >= model.min_leaf) & (side[:, :, 1] >= LEAST_HESSIAN)
+    worth = lambda s: s[..., 0] ** 2 / (s[..., 1] + model.l2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = np.where(fits, worth(left) + worth(right) - worth(whole), 0.0)
+    if not gain.size or gain.max() <= 1e-12 * max(1.0, float(worth(whole))):
+        return None
+    f, b = np.unravel_index(int(gain.argmax()), gain.shape)
+    counts = float(left[f, b, 2]), float(right[f, b, 2])
+    return Split(float(gain[f, b]), int(f), int(b), counts[0] <= counts[1], tuple(n >= 2 * model.min_leaf for n in counts))
+
+
+def grown(model: Boosting) -> Generator[tuple[FlatTree, list[int]], dict[int, np.ndarray], FlatTree]:
+    """Grow one tree: yields (tree so far, nodes whose sums are needed), is sent the sums, returns the tree of bins and steps.
+
+    Leaves are split in the order of their gain. Where the order depends on children that are not known yet, the sums for all
+    leaves that may be split before the tree is full are asked for at once; what turns out not to be split is a leaf again.
+    """
+    feature, threshold, left, right = [-1], [0], [0], [0]
+    sums: dict[int, np.ndarray] = {}
+    splits: dict[int, Split | None] = {}
+    ends: dict[int, np.ndarray] = {}  # gradient, hessian and count of a node
+
+    def so_far() -> FlatTree:
+        return FlatTree(tuple(feature), tuple(threshold), tuple(left), tuple(right), (0.0,) * len(feature))
+
+    def learn(node: int, found: np.ndarray, worth_splitting: bool = True) -> None:
+        ends[node] = found[0].sum(axis=0)
+        splits[node] = best_split(found, model) if worth_splitting else None
+        if splits[node] is not None:
+            sums[node] = found
+
+    def branch(node: int) -> None:
+        split = splits[node]
+        feature[node], threshold[node] = split.feature, split.bin
+        left[node], right[node] = len(feature), len(feature) + 1
+        for column in (feature, threshold, left, right):
+            column += [-1 if column is feature else 0] * 2
+
+    def halves(node: int) -> tuple[np.ndarray, np.ndarray]:
+        part = sums[node][splits[node].feature, :splits[node].bin + 1].sum(axis=0)
+        return part, ends[node] - part
+
+    learn(0, (yield so_far(), [0])[0])
+    while True:
+        # Replay the order of gains as far as it is known.
+        leaves, kept, wanting = {0}, set(), False
+        while len(leaves) < model.max_leaves:
+            open_ = [n for n in leaves if splits[n] is not None]
+            if not open_:
+                break
+            node = max(open_, key=lambda n: (splits[n].gain, -n))
+            last = len(leaves) + 1 == model.max_leaves
+            if feature[node] < 0 and not last and any(splits[node].can_go_on):
+                wanting = True
+                break
+            if feature[node] < 0:
+                branch(node)
+                for child, end in zip((left[node], right[node]), halves(node)):
+                    ends[child], splits[child] = end, None
+            kept.add(node)
+            leaves.remove(node)
+            if last:
+                break
+            leaves |= {left[node], right[node]}
+        if not wanting:
+            break
+        ahead = sorted((n for n in leaves if splits[n] is not None and feature[n] < 0 and any(splits[n].can_go_on)),
+                       key=lambda n: (-splits[n].gain, n))
+        asked: dict[int, int] = {}
+        for node in ahead[:model.max_leaves - len(leaves)]:
+            branch(node)
+            asked[left[node] if splits[node].smaller_left else right[node]] = node
+        found = yield so_far(), sorted(asked)
+        for child, node in asked.items():
+            other = right[node] if child == left[node] else left[node]
+            on = dict(zip((left[node], right[node]), splits[node].can_go_on))
+            learn(child, found[child], on[child])
+            learn(other, sums.pop(node) - found[child], on[other])
+
+    def value(end: np.ndarray) -> float:
+        return float(-model.learning_rate * end[0] / (end[1] + model.l2)) if end[1] + model.l2 > 0 else 0.0
+
+    out: list[list] = [[], [], [], [], []]
+
+    def copy(node: int) -> int:
+        at = len(out[0])
+        for column, x in zip(out, (-1, 0, 0, 0, 0.0)):
+            column.append(x)
+        if node not in kept:
+            out[4][at] = value(ends[node])
+            return at
+        out[0][at], out[1][at] = feature[node], threshold[node]
+        out[2][at], out[3][at] = copy(left[node]), copy(right[node])
+        return at
+
+    copy(0)
+    return FlatTree(*(tuple(c) for c in out))
+
+
+# --- all models over the blocks ---
+
+def cells(names: list[str]):
+    """Per feature the values that agree in their 12 leading binary digits: number, least and greatest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(numbers(batch, names)):
+                x = np.sort(x[np.isfinite(x)]) + 0.0  # no negative zero
+                first = np.flatnonzero(np.diff(x.view(np.int64) >> 40, prepend=-1)) if len(x) else np.zeros(0, np.int64)
+                last = np.append(first[1:], len(x)) - 1 if len(x) else first
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), i, np.int32)), pa.array(x[first].view(np.int64) >> 40),
+                                                  pa.array(last - first + 1), pa.array(x[first]), pa.array(x[last])],
+                                                 ["feature", "cell", "n", "low", "high"])
+
+    return run
+
+
+def bin_cuts(df: DataFrame, features: Sequence[str], bins: int) -> list[np.ndarray]:
+    """Cuts in the middle between neighbouring values: between all cells of a feature that has few, else at even ranks.
+
+    A cell is the values that agree in 12 leading binary digits, so counts of cells add up to the same cuts however the rows lie.
+    """
+    if not features:
+        return []
+    kinds = "feature int, cell long, n long, low double, high double"
+    found = df.select(*[F.col(f).cast("double").alias(f) for f in features]).mapInArrow(cells(list(features)), kinds)
+    found = found.groupBy("feature", "cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    each = W.partitionBy("feature")
+    up = each.orderBy("low")
+    ranked = found.select(
+        "feature", "low", "n", F.sum("n").over(up).alias("upto"), F.sum("n").over(each).alias("all"), F.count("*").over(each).alias("cells"),
+        F.row_number().over(up).alias("at"), ((F.col("high") + F.lead("low").over(up)) / 2).alias("cut"))
+    step = F.floor(F.col("upto") * bins / F.col("all")) > F.floor((F.col("upto") - F.col("n")) * bins / F.col("all"))
+    kept = ranked.where(F.col("cut").isNotNull() & ((F.col("cells") <= bins) | step)).select("feature", "cut")  # bins rows a feature
+    out = [np.zeros(0)] * len(features)
+    for i, part in kept.toPandas().groupby("feature"):
+        out[i] = np.sort(part.cut.to_numpy())
+    return out
+
+
+@dataclass
+class Progress:
+    """A model on its way: its place among roles, targets and features, trees in bins, the tree that grows."""
+
+    model: Boosting
+    role: int
+    target: int
+    columns: list[int]
+    start: float
+    trees: list[FlatTree] = field(default_factory=list)
+    stored: int = 0  # trees that the stored scores include
+    losses: list[float] = field(default_factory=list)
+    growing: Generator | None = None
+    tree: FlatTree | None = None
+    nodes: list[int] = field(default_factory=list)
+
+    def begin(self) -> None:
+        self.growing = grown(self.model)
+        self.tree, self.nodes = next(self.growing)
+
+    def feed(self, found: dict[int, np.ndarray]) -> bool:
+        """Whether the model goes on."""
+        if -1 in found:
+            self.losses.append(float(found[-1][0] / max(found[-1][1], 1.0)))
+            if self.model.finished(self.losses):
+                return False
+        width = len(self.columns)
+        sums = {n: found[n].reshape(width, -1, 3) if n in found else np.zeros((width, self.model.max_bins, 3)) for n in self.nodes}
+        try:
+            self.tree, self.nodes = self.growing.send(sums)
+        except StopIteration as end:
+            self.trees.append(end.value)
+            if len(self.trees) >= self.model.max_iter or end.value.leaves == 1:
+                return False
+            self.begin()
+        return True
+
+
+def read(record: dict, n_features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = record["n"]
+    return (np.frombuffer(record["codes"], np.uint8).reshape(n_features, n), np.frombuffer(record["targets"]).reshape(-1, n),
+            np.frombuffer(record["roles"], np.uint8).reshape(-1, n), np.frombuffer(record["scores"]).reshape(-1, n))
+
+
+def moved(score: np.ndarray, codes: np.ndarray, trees: list[FlatTree]) -> np.ndarray:
+    for tree in trees:
+        score = score + np.array(tree.step)[landed(tree, codes)]
+    return score
+
+
+def node_sums(n_features: int, work: list[tuple[int, Progress, list[FlatTree]]]):
+    """Per model and asked node the (features, bins, 3) sums of a block; part -1 is the loss of the watching rows."""
+    work = [(i, p.model, p.role, p.target, np.array(p.columns, np.int64), p.tree, p.nodes, trees) for i, p, trees in work]
+
+    def sums(record: dict) -> Iterator[tuple[int, int, np.ndarray]]:
+        codes, targets, roles, scores = read(record, n_features)
+        for i, model, role, target, columns, tree, nodes, trees in work:
+            mine = codes[columns]
+            score, y, role_of = moved(scores[i], mine, trees), targets[target], roles[role]
+            if nodes == [0]:
+                rows = np.flatnonzero(role_of == VALID)
+                yield i, -1, np.array([model.losses(y[rows], score[rows]).sum(), len(rows)])
+            slot = np.full(len(tree.feature), -1)
+            slot[nodes] = np.arange(len(nodes))
+            at = slot[landed(tree, mine)]
+            rows = np.flatnonzero((role_of == TRAIN) & (at >= 0))
+            g, h = model.slopes(y[rows], score[rows])
+            size, begin = len(nodes) * model.max_bins, at[rows] * model.max_bins
+            found = np.empty((len(columns), size, 3))
+            for f in range(len(columns)):
+                cell = begin + mine[f, rows]
+                found[f, :, 0] = np.bincount(cell, g, size)
+                found[f, :, 1] = np.bincount(cell, h, size)
+                found[f, :, 2] = np.bincount(cell, minlength=size)
+            for k, node in enumerate(nodes):
+                yield i, node, np.ascontiguousarray(found[:, k * model.max_bins:(k + 1) * model.max_bins])
+
+    return lambda record: ((i, part, body.reshape(-1)) for i, part, body in sums(record))
+
+
+def rescored(blocks: DataFrame, n_features: int, models: list[Progress]) -> DataFrame:
+    """The blocks with the scores of all trees so far, stored; the table before is deleted."""
+    work = [(np.array(p.columns, np.int64), p.trees[p.stored:]) for p in models]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            after = []
+            for record in records([batch]):
+                codes, _, _, scores = read(record, n_features)
+                after.append(np.stack([moved(s, codes[columns], trees) for s, (columns, trees) in zip(scores, work)]).tobytes())
+            yield batch.set_column(batch.schema.get_field_index("scores"), "scores", pa.array(after, pa.binary()))
+
+    out = materialize(blocks.mapInArrow(run, blocks.schema), "boost")
+    for p in models:
+        p.stored = len(p.trees)
+    release(blocks)
+    return out
+
+
+def fit_together(df: DataFrame, models: Sequence[Boosting], store_every: int = 10) -> list[BoostedModel]:
+    """Fit all ``models`` on the rows of ``df``, in common passes.
+
+    Rows are read once, binned once and stored. Nulls and NaN in a feature count as less than every value; rows without a target
+    take no part in that model. Scores are stored every ``store_every`` trees of the quickest model, so that a pass walks a few
+    trees only and a lost executor costs re-reads. A fit ends after its rounds, when the watching rows say so, or with a tree
+    that has no split. Without rows a model is the constant of its loss.
+    """
+    if not models:
+        return []
+    bins = {m.max_bins for m in models}
+    if len(bins) > 1:
+        raise ValueError("models that are fitted together share their bins")
+    features = list(dict.fromkeys(f for m in models for f in m.features))
+    targets = list(dict.fromkeys(m.target for m in models))
+    kinds = {(m.target, m.key, m.seed, m.validation_share): m.role for m in models}
+    roles, role_names = list(kinds), [f"_role{i}" for i in range(len(kinds))]
+    rows = materialize(df.select(*[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)],
+                                 *[F.col(t).cast("double").alias(f"_t{i}") for i, t in enumerate(targets)],
+                                 *[c.cast("int").alias(n) for n, c in zip(role_names, kinds.values())]), "boost")
+    names, target_names = [f"_f{i}" for i in range(len(features))], [f"_t{i}" for i in range(len(targets))]
+    cuts = bin_cuts(rows, names, bins.pop())
+    at = [roles.index((m.target, m.key, m.seed, m.validation_share)) for m in models]
+    of = [targets.index(m.target) for m in models]
+    means = rows.agg(*[F.avg(F.when(F.col(f"_role{r}") == TRAIN, F.col(f"_t{t}"))) for r, t in zip(at, of)]).first()
+    state = [Progress(m, r, t, [features.index(f) for f in m.features], m.start(mean)) for m, r, t, mean in zip(models, at, of, means)]
+    starts = np.array([[p.start] for p in state])
+
+    def pack(part: pa.RecordBatch) -> dict[str, np.ndarray]:
+        x = np.nan_to_num(numbers(part, names), nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+        codes = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x)]) if names else np.zeros((0, part.num_rows))
+        return {"codes": codes.astype(np.uint8), "targets": np.nan_to_num(numbers(part, target_names)),
+                "roles": numbers(part, role_names).astype(np.uint8), "scores": np.repeat(starts, part.num_rows, axis=1)}
+
+    blocks = packed(rows, pack, ["codes", "targets", "roles", "scores"], "boost")
+    release(rows)
+    active = {i: p for i, p in enumerate(state) if p.model.max_iter > 0 and p.columns and means[i] is not None}
+    for p in active.values():
+        p.begin()
+    while active:
+        found = total(blocks, node_sums(len(features), [(i, p, p.trees[p.stored:]) for i, p in active.items()]))
+        for i, p in list(active.items()):
+            if not p.feed({part: body for (model, part), body in found.items() if model == i}):
+                del active[i]
+        if active and max(len(p.trees) - p.stored for p in active.values()) >= store_every:
+            blocks = rescored(blocks, len(features), state)
+    release(blocks)
+
+    def real(p: Progress, tree: FlatTree) -> FlatTree:
+        threshold = tuple(float(cuts[p.columns[f]][b]) if f >= 0 else 0.0 for f, b in zip(tree.feature, tree.threshold))
+        return FlatTree(tree.feature, threshold, tree.left, tree.right, tree.step)
+
+    return [BoostedModel(tuple(p.model.features), p.start, [real(p, t) for t in p.trees], p.model.loss, p.losses) for p in state]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from actuspark import config as C
 from actuspark.ml.baselines import CredibilityRate, NaivePersistence
-from actuspark.ml.boosting import BoostedClassifier, BoostedCost
+from actuspark.ml.boosting import BoostedClassifier, BoostedCost, Boosting, fit_together
 from actuspark.ml.linear import LogisticClassifier, TweedieGLM
 from actuspark.session import concurrently
 
@@ -44,13 +44,17 @@ def class_estimators(cfg: C.ClaimsConfig, budget: BoostingBudget = BoostingBudge
 
 
 def fit_all(train: DataFrame, estimators: Mapping[str, object], parallelism: int = 8) -> dict:
-    """Fit every estimator on the same cached rows, several at a time."""
+    """Fit every estimator on the same cached rows, several at a time; boosted models grow in common passes."""
+    boosted = [n for n, e in estimators.items() if isinstance(e, Boosting)]
+    alone = [n for n in estimators if n not in boosted]
     rows = train.persist()
     try:
-        fitted = concurrently([lambda e=e: e.fit(rows) for e in estimators.values()], parallelism)
-        return dict(zip(estimators, fitted))
+        together, *single = concurrently(
+            [lambda: fit_together(rows, [estimators[n] for n in boosted]), *[lambda n=n: estimators[n].fit(rows) for n in alone]], parallelism)
     finally:
         rows.unpersist()
+    fitted = {**dict(zip(boosted, together)), **dict(zip(alone, single))}
+    return {n: fitted[n] for n in estimators}
 
 
 def score_all(df: DataFrame, models: Mapping[str, object], keep: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from actuspark import config as C
 from actuspark.functions.columns import correlation, divide, labelled
+from actuspark.ml.baselines import CredibilityRate, Resampled, age_sex_esrd
 from actuspark.ml.boosting import BoostedCost
 from actuspark.ml.registry import BoostingBudget, class_estimators, cost_estimators, fit_all, score_all
 from actuspark.operators import bootstrap, classification, explain, quality, regression, segments, stability
@@ -137,8 +138,8 @@ def refits(cfg: C.ClaimsConfig, budget: BoostingBudget, seeds: tuple[int, ...] =
     out = [Refit(f"Seed {s}", "seed", make(seed=s)) for s in seeds]
     out += [
         Refit("learning_rate=0.10", "hyperparameter", make(learning_rate=0.10)),
-        Refit("max_depth=3", "hyperparameter", make(max_depth=3)),
-        Refit("max_depth=6", "hyperparameter", make(max_depth=6)),
+        Refit("max_leaf_nodes=15", "hyperparameter", make(max_leaves=15)),
+        Refit("max_leaf_nodes=63", "hyperparameter", make(max_leaves=63)),
         Refit("loss=squared_error", "hyperparameter", make(loss="squared_error")),
         Refit("Drop prior-cost features", "ablation", make(without(("paid", "benres", "log_paid")))),
         Refit("Drop claims-derived features", "ablation",
@@ -148,6 +149,14 @@ def refits(cfg: C.ClaimsConfig, budget: BoostingBudget, seeds: tuple[int, ...] =
     return out
 
 
+def benchmark_refits(cfg: C.ClaimsConfig, seeds: tuple[int, ...] = (1, 2, 3, 4, 5)) -> list[Refit]:
+    """The same kinds of variation for the rate model: rows drawn by seed, credibility constant, rating factors."""
+    cells = age_sex_esrd()
+    out = [Refit(f"Seed {s}", "seed", Resampled(CredibilityRate(), s)) for s in seeds]
+    out += [Refit(f"k={k}", "hyperparameter", CredibilityRate(k=k)) for k in (50, 800)]
+    return out + [Refit(f"Drop {name}", "ablation", CredibilityRate(cells={c: v for c, v in cells.items() if c != name})) for name in cells]
+
+
 def robustness(train: DataFrame, oot: DataFrame, plan: list[Refit]) -> DataFrame:
     """Out-of-time metrics of each refit: R2 and CPM after normalisation, Gini, raw predictive ratio."""
     models = fit_all(train, {r.test: r.estimator for r in plan})

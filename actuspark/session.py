@@ -55,15 +55,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _stages.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stage_path = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table behind a result of :func:`materialize` that nothing reads any more."""
+    spark, path = df.sparkSession, df.stage_path
+    _stages[spark.sparkContext.applicationId].remove(path)
+    _delete(spark, path)
 
 
 def drop_stages(spark: SparkSession) -> int:
     """Delete the tables this application has materialized; call it once their readers are written out."""
     paths = _stages.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        _delete(spark, path)
     return len(paths)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from actuspark import config as C
 from actuspark.ml.baselines import CredibilityRate, NaivePersistence
-from actuspark.ml.boosting import BoostedClassifier, BoostedCost
+from actuspark.ml.boosting import BoostedClassifier, BoostedCost, Boosting, bin_cuts, fit_together
 from actuspark.ml.linear import LogisticClassifier, TweedieGLM
 from actuspark.ml.registry import score_all
 from actuspark.operators import explain
@@ -54,16 +54,35 @@ def test_glm_recovers_coefficients(signal):
     assert total[0] == pytest.approx(total[1], rel=0.02)
 
 
-def test_glm_penalty_follows_the_mean_deviance(signal):
-    """At the optimum the gradient of the mean half-deviance equals -alpha * beta."""
+@pytest.mark.parametrize("alpha", [0.0, 0.01, 5.0])
+def test_glm_solves_the_penalised_mean_deviance(signal, alpha):
+    """At the optimum the gradient of half the mean deviance equals -alpha * beta."""
     df, pdf = signal
-    alpha = 5.0
-    m = TweedieGLM(FEATURES, "y", alpha=alpha, refits=4).fit(df)
-    mu = m.transform(df).toPandas().sort_values("bene_id").prediction.to_numpy()
-    d = pdf.sort_values("bene_id")
-    x = ((d[list(FEATURES)] - d[list(FEATURES)].mean()) / d[list(FEATURES)].std()).to_numpy()
-    gradient = (x * ((d.y.to_numpy() - mu) * mu**-0.5)[:, None]).mean(axis=0)
-    assert np.allclose(gradient, alpha * m.coefficients.toArray(), rtol=0.05, atol=0.02)
+    m = TweedieGLM(FEATURES, "y", alpha=alpha).fit(df)
+    assert m.gradient < 1e-8
+    mu = m.transform(df).toPandas().set_index("bene_id").prediction[pdf.bene_id].to_numpy()
+    x = ((pdf[list(FEATURES)] - pdf[list(FEATURES)].mean()) / pdf[list(FEATURES)].std(ddof=0)).to_numpy()
+    slope = (pdf.y.to_numpy() - mu) * mu**-0.5
+    assert np.allclose((x * slope[:, None]).mean(axis=0), alpha * m.coefficients.toArray(), atol=1e-6) and abs(slope.mean()) < 1e-6
+
+
+def test_logistic_solves_the_penalised_loss(signal):
+    df, pdf = signal
+    m = LogisticClassifier(FEATURES, "c", c=0.02).fit(df)
+    p = m.transform(df).toPandas().set_index("bene_id").prediction[pdf.bene_id].to_numpy()
+    x = ((pdf[list(FEATURES)] - pdf[list(FEATURES)].mean()) / pdf[list(FEATURES)].std(ddof=0)).to_numpy()
+    slope = pdf.c.to_numpy() - p
+    assert m.gradient < 1e-8 and abs(slope.sum()) < 1e-5
+    assert np.allclose(0.02 * (x * slope[:, None]).sum(axis=0), m.coefficients.toArray(), atol=1e-6)
+
+
+def test_linear_fits_of_edge_tables(spark):
+    rows = [(1.0, 2.0, 10.0, 1), (None, 2.0, 30.0, 0), (3.0, 2.0, 20.0, 1), (4.0, 2.0, 0.0, 0), (5.0, 2.0, None, None)]
+    df = spark.createDataFrame(rows, "a double, const double, y double, c int")
+    for est in (TweedieGLM(("a", "const"), "y"), LogisticClassifier(("a", "const"), "c")):
+        m = est.fit(df)
+        assert m.weights[1] == 0.0 and m.transform(df).where("prediction > 0").count() == 5
+        assert est.fit(df.limit(0)).transform(df).select("prediction").distinct().count() == 1
 
 
 def poisson_deviance(y, mu):
@@ -73,8 +92,7 @@ def poisson_deviance(y, mu):
 @pytest.mark.parametrize("loss", ["poisson", "squared_error"])
 def test_boosted_cost_learns_and_keeps_the_total(signal, loss):
     df, pdf = signal
-    m = BoostedCost(FEATURES, "y", loss=loss, max_iter=12, learning_rate=0.3, min_leaf=50, checkpoint_every=5,
-                    validation_share=0.1).fit(df)
+    m = fit_together(df, [BoostedCost(FEATURES, "y", loss=loss, max_iter=12, learning_rate=0.3, min_leaf=50, validation_share=0.1)], 5)[0]
     assert len(m.trees) == 12 and len(m.validation_losses) == 12 and m.validation_losses[-1] < m.validation_losses[0]
     out = m.transform(df).toPandas()
     assert out.prediction.sum() == pytest.approx(out.y.sum(), rel=0.05)
@@ -83,8 +101,68 @@ def test_boosted_cost_learns_and_keeps_the_total(signal, loss):
         assert poisson_deviance(out.y, out.prediction) < 0.8 * poisson_deviance(out.y, np.full(len(out), out.y.mean()))
 
 
-def test_flat_trees_agree_with_the_fitted_tree(signal):
-    """One round: score from the node arrays equals the leaf steps computed by hand."""
+def plain_boosting(pdf, m, cuts):
+    """Leaf-wise boosting as written in a textbook: every split of every leaf is tried on the rows themselves."""
+    y = pdf[m.target].to_numpy().astype(float)
+    codes = [np.searchsorted(c, pdf[f].fillna(-np.inf)) for c, f in zip(cuts, m.features)]
+    score, sizes = np.full(len(y), m.start(y.mean())), []
+    for _ in range(m.max_iter):
+        mu = {"poisson": np.exp(score), "logistic": 1 / (1 + np.exp(-score)), "squared_error": score}[m.loss]
+        g, h = mu - y, {"poisson": mu, "logistic": mu * (1 - mu), "squared_error": np.ones(len(y))}[m.loss]
+
+        def worth(rows):
+            return g[rows].sum() ** 2 / (h[rows].sum() + m.l2)
+
+        def best(rows):
+            found = (0.0, None)
+            for code, cut in zip(codes, cuts):
+                for b in range(len(cut)):
+                    low, high = rows[code[rows] <= b], rows[code[rows] > b]
+                    if min(len(low), len(high)) >= m.min_leaf:
+                        gain = worth(low) + worth(high) - worth(rows)
+                        if gain > found[0] * (1 + 1e-9):
+                            found = (gain, (low, high))
+            return found
+
+        leaves = [(best(np.arange(len(y))), np.arange(len(y)))]
+        while len(leaves) < m.max_leaves:
+            k = max(range(len(leaves)), key=lambda i: leaves[i][0][0])
+            if leaves[k][0][1] is None:
+                break
+            leaves[k:k + 1] = [(best(part), part) for part in leaves[k][0][1]]
+        sizes.append(len(leaves))
+        for _, rows in leaves:
+            score[rows] -= m.learning_rate * g[rows].sum() / (h[rows].sum() + m.l2)
+    return score, sizes
+
+
+@pytest.mark.parametrize("loss, leaves", [("poisson", 15), ("squared_error", 6), ("logistic", 31)])
+def test_leaf_wise_growth_equals_plain_boosting(signal, loss, leaves):
+    df, pdf = signal
+    target = "c" if loss == "logistic" else "y"
+    m = Boosting(FEATURES, target, loss=loss, max_iter=3, learning_rate=0.3, min_leaf=40, max_leaves=leaves, max_bins=40, validation_share=0.0)
+    fitted = m.fit(df)
+    score, sizes = plain_boosting(pdf, m, bin_cuts(df, FEATURES, 40))
+    assert [t.leaves for t in fitted.trees] == sizes and max(sizes) == leaves
+    got = fitted.transform(df).toPandas().set_index("bene_id").prediction[pdf.bene_id].to_numpy()
+    want = {"poisson": np.exp(score), "logistic": 1 / (1 + np.exp(-score)), "squared_error": score}[loss]
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_models_that_grow_together_are_those_that_grow_alone(signal):
+    df, _ = signal
+    base = dict(max_iter=4, learning_rate=0.3, min_leaf=60, max_bins=30)
+    plan = [BoostedCost(FEATURES, "y", **base), BoostedCost(("x2", "x3"), "y", seed=7, **base), BoostedClassifier(FEATURES, "c", **base),
+            BoostedCost(FEATURES, "y", loss="squared_error", **{**base, "max_iter": 2})]
+    for one, m in zip(plan, fit_together(df, plan, 2)):
+        alone = one.fit(df)
+        assert [(t.feature, t.threshold) for t in m.trees] == [(t.feature, t.threshold) for t in alone.trees]
+        assert all(np.allclose(t.step, a.step) for t, a in zip(m.trees, alone.trees))
+        assert np.allclose(m.validation_losses, alone.validation_losses)
+
+
+def test_first_tree_by_hand(signal):
+    """One round: leaves are Newton steps with the ridge of 1."""
     df, pdf = signal
     m = BoostedCost(FEATURES, "y", max_iter=1, learning_rate=1.0, min_leaf=50, validation_share=0.0, l2=1.0).fit(df)
     out = m.transform(df).toPandas()
@@ -92,13 +170,31 @@ def test_flat_trees_agree_with_the_fitted_tree(signal):
     for value, leaf in out.groupby(out.prediction.round(6)):
         step = (leaf.y - start).sum() / (start * len(leaf) + 1.0)
         assert value == pytest.approx(start * np.exp(step), rel=1e-6)
-    assert out.prediction.nunique() <= 16
+    assert out.prediction.nunique() <= 15
 
 
 def test_early_stopping(signal):
     df, _ = signal
-    m = BoostedCost(("x3",), "y", max_iter=15, learning_rate=1.0, min_leaf=20, patience=2).fit(df)
-    assert len(m.trees) < 15
+    m = BoostedCost(("x3",), "y", learning_rate=1.0, min_leaf=20, patience=2, max_iter=60).fit(df)
+    assert 2 <= len(m.trees) < 60
+    assert min(m.validation_losses[-2:]) >= m.validation_losses[-3] - 1e-7
+
+
+def test_boosting_edge_tables(spark):
+    rows = [(f"k{i}", None if i % 5 == 0 else float(i % 3), float("nan") if i % 7 == 0 else 1.0, None, None if i == 3 else float(i % 4))
+            for i in range(60)]
+    df = spark.createDataFrame(rows, "bene_id string, a double, b double, nothing double, y double")
+    m = BoostedCost(("a", "b", "nothing"), "y", max_iter=3, min_leaf=5, learning_rate=0.5, validation_share=0.0).fit(df)
+    assert m.trees and {f for t in m.trees for f in t.feature} <= {-1, 0, 1}
+    assert m.transform(df).where("prediction > 0").count() == 60
+    empty = BoostedCost(("a",), "y").fit(df.limit(0))
+    assert not empty.trees and empty.transform(df).count() == 60
+    same = BoostedCost(("nothing",), "y").fit(df)
+    assert len(same.trees) == 1 and same.trees[0].leaves == 1
+    with pytest.raises(ValueError):
+        BoostedCost(("a",), "y", loss="huber")
+    with pytest.raises(ValueError):
+        fit_together(df, [BoostedCost(("a",), "y"), BoostedCost(("a",), "y", max_bins=9)])
 
 
 def test_classifiers_rank_the_label(signal):
