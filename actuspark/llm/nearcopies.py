@@ -1,20 +1,19 @@
 """Near copies of whole documents: pairs whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Documents with equal sets are one class. SimHash fingerprints over the set's 64 bits, compared in tiles with exclusive-or and
-bit counts, name candidates: a radius of 16 bits holds the distances seen at similarity 0.8 (mean 9.7, deviation 2.9 bits). No
-block of bits has to agree at that radius, so tiles are dealt by the size of the sets: similar sets differ by a quarter at most
-and lie in the same or in neighbouring bands. Inside a pair of tiles, population counts further apart than the radius are
-skipped, and counts of shingles in 64 ranges of their hash bound the overlap from above, which loses nothing. Every candidate
-is then verified on the sets themselves.
-
-A large group of near copies would name a pair for each two of its members. So the first rounds emit a spanning forest of the
-candidates, whose verified links merge classes to components; the last round emits all candidates between components.
+Documents with equal sets are one class. SimHash fingerprints over the set's 64 bits are compared in tiles with exclusive-or and
+bit counts, and population counts further apart than the radius are skipped; 20 bits are 3.5 deviations above the mean distance at
+similarity 0.8 (9.7, 2.9 bits). No block of bits has to agree at that radius, so tiles are dealt by min-hashes: twenty keys of
+three each, of which a pair at 0.8 shares none once in a million. A tile sends a row on only in links of a spanning forest.
+
+These links are candidates. Their components, as a rule a few documents, are the units of verification: the sets of a component
+come together, every pair in reach is counted exactly, and again only a spanning forest of verified links leaves the task, less
+than one link a row; what is refuted never does. Crowded keys and large components are split by salts into tiles of bounded size,
+which meet in pairs.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actuspark.llm.common import mapped, slices, texts
+from actuspark.llm.common import U64, mapped, mix, slices, texts
 from actuspark.llm.components import components
-from actuspark.session import materialize, small_table
+from actuspark.session import materialize
 
-SHINGLE, RADIUS = 5, 16
-#: Fingerprints of a tile; a row of a tile has about 130 bytes.
-TILE_ROWS = 1 << 17
-#: Sets of similarity 0.8 differ in size by a factor of 1.25 at most; a little more keeps rounding from mattering.
-BAND = math.log(1.26)
-FOREST_ROUNDS = 2
-SEED, RANGES, FULL = 42, 64, 255
+SHINGLE, RADIUS = 5, 20
+BANDS, PER_BAND = 20, 3
+#: Rows of a tile, and shingles of a tile of whole sets.
+TILE_ROWS, TILE_SHINGLES = 4096, 1 << 21
+#: Groups up to this size are compared all at once, larger ones row by row.
+FEW = 8
+SEED = 42
+_ODDS = mix(np.arange(1, BANDS * PER_BAND + 1, dtype=U64)) | U64(1)
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -57,119 +57,183 @@ def simhash(hashes: np.ndarray) -> int:
     return sum(1 << int(b) for b in np.flatnonzero(2 * counts > len(hashes)))
 
 
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set, none for an empty one: for each band its number and three minima over multiplied hashes."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_ODDS), np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[i:i + (1 << 12), None] * _ODDS).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=U64)
+    for column in least.reshape(BANDS, PER_BAND).T:
+        keys = mix(keys * U64(0x9E3779B97F4A7C15) ^ column)
+    return keys.view(np.int64)
+
+
 def sketches(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "text"):
             rows = []
             for text in texts(piece.column("text")):
                 h = shingles(text)
-                spread = np.minimum(np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=RANGES), FULL)
                 bits = int(np.array([simhash(h)], np.uint64).view(np.int64)[0])
-                rows.append((xxhash.xxh3_128_digest(h.tobytes()), bits, len(h), spread.astype(np.uint8).tobytes()))
-            made = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), *made], [*names, "key", "simhash", "n", "counts"])
+                rows.append((xxhash.xxh3_128_digest(h.tobytes()), bits, len(h), band_keys(h)))
+            made = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), *made], [*names, "key", "simhash", "n", "bands"])
 
     return run
 
 
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in slices(batches, "text"):
-        found = [shingles(t).view("<i8") for t in texts(piece.column("text"))]
-        yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array(found, pa.list_(pa.int64()))], ["key", "hashes"])
+        found = [shingles(t).tobytes() for t in texts(piece.column("text"))]
+        yield pa.RecordBatch.from_arrays([piece.column("key"), pa.array(found, pa.binary())], ["key", "hashes"])
 
 
-def candidates(radius: int, forest: int):
-    """Candidate pairs of different components in a tile (side 2) or between two tiles (sides 0 and 1).
+def by_tile(run: Callable[[pa.Table], np.ndarray], few: Callable[[pa.RecordBatch, np.ndarray], np.ndarray] | None = None):
+    """``run`` on the rows of each tile, which arrive together; gives pairs of row numbers. ``few``: on all small tiles of a batch."""
 
-    ``forest`` 0: all of them; else a spanning set of links between the components, rows taken in an order of that number.
-    """
+    def pairs(table: pa.Table | pa.RecordBatch, rows: np.ndarray) -> pa.RecordBatch:
+        key = table.column("key")
+        key = key.combine_chunks() if isinstance(key, pa.ChunkedArray) else key
+        return pa.RecordBatch.from_arrays([key.take(pa.array(side)) for side in rows], ["a", "b"])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        side, bits, n = (table.column(c).to_numpy() for c in ("side", "simhash", "n"))
-        bits = bits.view(np.uint64)
-        ones = np.bitwise_count(bits).astype(np.int64)
-        order = np.argsort(ones, kind="stable")
-        side, bits, n, ones = side[order], bits[order], n[order], ones[order]
-        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8).reshape(-1, RANGES)[order].astype(np.uint16)
-        counts[counts == FULL] = 1 << 15  # 255 and more: no bound
-        label = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)[1][order] if len(order) else order
-        within = bool(len(side)) and side[0] == 2
-        left = np.arange(len(side)) if within else np.flatnonzero(side == 0)
-        right = np.arange(len(side)) if within else np.flatnonzero(side == 1)
-        bits_r, ones_r = bits[right], ones[right]
-        if forest:
-            left = np.random.default_rng(forest).permutation(left)
-        found: list[np.ndarray] = []
-        for i in left:
-            lo, hi = np.searchsorted(ones_r, [ones[i] - radius, ones[i] + radius + 1])
-            if within and not forest:
-                lo = max(lo, i + 1)
-            hit = right[lo:hi][np.bitwise_count(bits_r[lo:hi] ^ bits[i]) <= radius]
-            hit = hit[label[hit] != label[i]]
-            least, most = np.minimum(n[hit], n[i]), np.maximum(n[hit], n[i])
-            hit = hit[5 * least >= 4 * most]
-            if not len(hit):
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not table.num_rows:
                 continue
-            hit = hit[9 * np.minimum(counts[hit], counts[i]).sum(axis=1, dtype=np.int64) >= 4 * (n[hit] + n[i])]
-            if forest and len(hit):
-                others, at = np.unique(label[hit], return_index=True)
-                hit = hit[at]
-                label[np.isin(label, others)] = label[i]
-            if len(hit):
-                found.append(np.stack([np.full(len(hit), i), hit]))
-        pairs = order[np.concatenate(found, axis=1)] if found else np.zeros((2, 0), np.int64)
-        keys = table.column("key")
-        return pa.table({"a": keys.take(pa.array(pairs[0])), "b": keys.take(pa.array(pairs[1]))})
+            whole, held = split(table)
+            yield from done(whole)
+        if held is not None:
+            yield from done(held)
+
+    def starts(table: pa.Table) -> np.ndarray:
+        keys = np.stack([table.column(c).to_numpy() for c in TILE])
+        return np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+
+    def split(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+        last = int(starts(table)[-1])
+        return table.slice(0, last), table.slice(last)
+
+    def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not table.num_rows:
+            return
+        first = starts(table)
+        sizes = np.diff(np.append(first, table.num_rows))
+        if few is not None:
+            yield pairs(table, few(table, np.repeat(np.where(sizes <= FEW, np.arange(len(first)), -1), sizes)))
+        for a, n in zip(first.tolist(), sizes.tolist()):
+            if n > FEW or few is None and n > 1:
+                part = table.slice(a, n)
+                yield pairs(part, run(part))
+
+    return over
+
+
+def in_reach(bits: np.ndarray, n: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+    """Whether fingerprints are within the radius and sizes can belong to sets of similarity 0.8."""
+    return (np.bitwise_count(bits[i] ^ bits[j]) <= RADIUS) & (5 * np.minimum(n[i], n[j]) >= 4 * np.maximum(n[i], n[j]))
+
+
+def columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    side, bits, n = (table.column(c).to_numpy() for c in ("side", "simhash", "n"))
+    return side, np.ascontiguousarray(bits).view(np.uint64), n
+
+
+def small_tiles(table: pa.Table, tile: np.ndarray) -> np.ndarray:
+    """All candidate pairs of tiles of a few rows; -1 marks rows of larger ones. A tile this small is never split."""
+    _, bits, n = columns(table)
+    found = [np.zeros((2, 0), np.int64)]
+    for d in range(1, FEW):
+        i = np.flatnonzero((tile[:-d] == tile[d:]) & (tile[d:] >= 0)) if len(tile) > d else np.zeros(0, np.int64)
+        i = i[in_reach(bits, n, i, i + d)]
+        found.append(np.stack([i, i + d]))
+    return np.concatenate(found, axis=1)
 
-    return run
 
+def forest(table: pa.Table, similar: Callable[[int, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """A spanning forest of the links within a tile (side 2) or between two (sides 0 and 1): fewer links than rows.
 
-def tiled(classes: DataFrame, tile_rows: int) -> DataFrame:
-    """Each class in all pairs of tiles it has a part in: (tile, side) and its columns."""
-    rows = classes.where("n > 0").withColumn("band", F.floor(F.log("n") / BAND).cast("int"))
-    sizes = rows.groupBy("band").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("salts"))
-    tiles = small_table(materialize(sizes, "bands"))
-    rows = rows.join(tiles, "band").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
-    every = tiles.select("band", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    other = every.select(F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"), F.col("band").alias("band2"), F.col("salt").alias("salt2"))
-    pairs = every.join(other, "band").where("band < band2 or salt <= salt2")
-    tile = F.concat_ws("/", "band", "salt", "band2", "salt2").alias("tile")
-    same = (F.col("band") == F.col("band2")) & (F.col("salt") == F.col("salt2"))
-    roles = pairs.select("band", "salt", tile, F.when(same, 2).otherwise(0).alias("side")).union(
-        pairs.where(~same).select(F.col("band2"), F.col("salt2"), tile, F.lit(1)))
-    return rows.join(small_table(roles), ["band", "salt"]).select("tile", "side", "key", "simhash", "n", "counts")
-
-
-def verified(pairs: DataFrame, classes: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar: shared / (n + m - shared) >= 4 / 5, in whole numbers."""
-    need = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b"))).distinct().join(classes.select(
-        "key", F.col("first.id").alias("rep"), F.col("first.tag").alias("rep_tag")), "key")
+    ``similar`` names, of candidates for a row, those that are links; all are where it is not given.
+    """
+    side, bits, n = columns(table)
+    ones = np.bitwise_count(bits).astype(np.int64)
+    order = np.argsort(ones, kind="stable")
+    within = bool(side[0] == 2)
+    left, right = (order, order) if within else (order[side[order] == 0], order[side[order] == 1])
+    heights, label, found = ones[right], np.arange(len(bits)), []
+    for k, i in enumerate(left.tolist()):
+        low, high = np.searchsorted(heights, [ones[i] - RADIUS, ones[i] + RADIUS + 1])
+        hit = right[max(low, k + 1) if within else low:high]
+        hit = hit[label[hit] != label[i]]
+        hit = hit[in_reach(bits, n, i, hit)]
+        if similar is not None and len(hit):
+            hit = hit[similar(i, hit)]
+        if len(hit):
+            others, at = np.unique(label[hit], return_index=True)
+            found.append(np.stack([np.full(len(at), i), hit[at]]))
+            label[np.isin(label, others)] = label[i]
+    return np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+
+
+def verified(table: pa.Table) -> np.ndarray:
+    """The forest of pairs with shared / (n + m - shared) >= 4 / 5, counted on the sets, in whole numbers."""
+    hashes = [np.frombuffer(h, "<u8") for h in table.column("hashes").to_pylist()]
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    ends = np.cumsum(sizes)
+    token = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    present = np.zeros(int(token.max(initial=0)) + 1, bool)
+
+    def similar(i: int, hit: np.ndarray) -> np.ndarray:
+        mine = token[ends[i] - sizes[i]:ends[i]]
+        present[mine] = True
+        first = np.cumsum(sizes[hit]) - sizes[hit]
+        places = np.arange(int(sizes[hit].sum())) + np.repeat(ends[hit] - sizes[hit] - first, sizes[hit])
+        shared = np.add.reduceat(present[token[places]].astype(np.int64), first)
+        present[mine] = False
+        return 9 * shared >= 4 * (sizes[i] + sizes[hit])
+
+    return forest(table, similar)
+
+
+#: A tile or a pair of tiles: of a group the salts of its two parts.
+TILE = ["group", "low", "high"]
+
+
+def tiled(rows: DataFrame) -> DataFrame:
+    """Rows (group, salts, key, ...) in every pair of parts of their group that they belong to, the rows of a tile together."""
+    salt = F.pmod(F.xxhash64("key"), F.col("salts")).alias("salt")
+    rows = rows.select("*", salt).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("other"))
+    side = F.when(F.col("salts") == 1, 2).when(F.col("salt") == F.col("other"), 2).when(F.col("salt") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("*", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), side.alias("side"))
+    return rows.drop("salt", "other", "salts").repartition(*TILE).sortWithinPartitions(*TILE)
+
+
+def candidates(classes: DataFrame, tile_rows: int) -> DataFrame:
+    """(a, b): links whose components hold every pair in reach of each other that shares a min-hash key."""
+    rows = materialize(classes.select("key", "simhash", "n", F.explode("bands").alias("group")), "bands")
+    shared = rows.groupBy("group").count().where("count > 1").select("group", F.ceil(F.col("count") / tile_rows).alias("salts"))
+    found = mapped(tiled(rows.join(shared, "group")), by_tile(forest, small_tiles), "a binary, b binary")
+    return materialize(found.distinct(), "candidates")
+
+
+def links(classes: DataFrame, held: DataFrame, tile_rows: int) -> DataFrame:
+    """(node, root) of the components of verified links between ``classes`` (key, simhash, n, bands, first)."""
+    pairs = candidates(classes, tile_rows)
+    units = materialize(components(pairs), "units")
+    rows = classes.select("key", "simhash", "n", "first").join(units.withColumnRenamed("node", "key"), "key")
+    sizes = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_rows), F.ceil(F.sum("n") / TILE_SHINGLES)).alias("salts"))
+    need = rows.select("key", F.col("first.id").alias("rep"), F.col("first.tag").alias("rep_tag"))
     text = held.join(need, held.id.eqNullSafe(need.rep) & (held.tag == need.rep_tag)).select("key", "text").dropDuplicates(["key"])
-    known = materialize(mapped(text, sets, "key binary, hashes array<long>"), "sets")
-    a, b = (known.select(F.col("key").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
-    shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    return pairs.join(a, "a").join(b, "b").where(9 * shared >= 4 * (F.size("a_hashes") + F.size("b_hashes"))).select("a", "b")
-
-
-def links(classes: DataFrame, held: DataFrame, radius: int, tile_rows: int) -> DataFrame:
-    """(node, root) of the components of verified links between ``classes`` (key, simhash, n, counts, first)."""
-    tiles = materialize(tiled(classes, tile_rows), "tiles")
-    known = roots = None
-    for forest in (*range(1, FOREST_ROUNDS + 1), 0):
-        label = tiles.withColumn("label", F.col("key")) if roots is None else tiles.join(
-            roots, tiles.key == roots.node, "left").withColumn("label", F.coalesce("root", "key")).drop("node", "root")
-        pairs = label.groupBy("tile").applyInArrow(candidates(radius, forest), "a binary, b binary")
-        pairs = materialize(pairs.distinct(), "candidates")
-        if not pairs.limit(1).count():
-            break
-        new = verified(pairs, classes, held)
-        known = materialize(new if known is None else known.union(new), "near")
-        roots = materialize(components(known), "roots")
-    return classes.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0) if roots is None else roots
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    known = mapped(text, sets, "key binary, hashes binary")
+    rows = rows.join(sizes, "root").join(known, "key").select(F.xxhash64("root").alias("group"), "salts", "key", "simhash", "n", "hashes")
+    found = materialize(mapped(tiled(rows), by_tile(verified), "a binary, b binary"), "near")
+    return materialize(components(found), "roots")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row of each group of near copies, linked directly or over others: the one with the smallest id (of repeated ids the
     first by its columns).
 
@@ -181,11 +245,11 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius
                        F.xxhash64(*[F.col(c) for c in names]).alias("tag"))
     kind = held.schema["id"].dataType.simpleString()
     found = materialize(mapped(held.select("id", "tag", "text"), sketches(["id", "tag"]),
-                               f"id {kind}, tag long, key binary, simhash long, n long, counts binary"), "sketches")
+                               f"id {kind}, tag long, key binary, simhash long, n long, bands array<long>"), "sketches")
     classes = materialize(found.groupBy("key").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tag")).alias("first"),
-        *[F.first(c).alias(c) for c in ("simhash", "n", "counts")]), "classes")
-    roots = links(classes, held, radius, tile_rows)
+        *[F.first(c).alias(c) for c in ("simhash", "n", "bands")]), "classes")
+    roots = links(classes, held, tile_rows)
     chosen = (classes.join(roots, classes.key == roots.node, "left")
               .groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("first").alias("first")).select("first.id", "first.tag"))
     # (id, tag) names a row up to identical rows, of which one stays; texts are only shuffled again where there are some.

@@ -52,3 +52,47 @@ def test_chains_and_groups_keep_their_smallest_id(spark):
     assert likeness(rows[0][1], rows[-1][1]) < 0.2
     assert sorted(r.doc_id for r in keep_one(docs).collect()) == [7, 9, 100]
     assert keep_one(docs.limit(0)).count() == 0
+
+
+def exact(rows, smallest=0.8):
+    """Kept ids by all pairs of sets: one row, the one with the smallest id, of each component."""
+    sets = [(i, frozenset(shingles((t or "").encode()).tolist())) for i, t in rows]
+    root = {i: i for i, _ in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            shared = len(a & b)
+            if a == b or shared and shared >= smallest * (len(a) + len(b) - shared) - 1e-9:
+                a_, b_ = sorted((find(i), find(j)))
+                root[b_] = a_
+    return sorted(i for i in root if find(i) == i)
+
+
+@pytest.mark.parametrize("tile_rows", [4096, 60])
+def test_a_large_family_around_the_threshold_equals_all_pairs(spark, tile_rows):
+    """Hundreds of variants of one text, many pairs of which lie just above or just below 0.8; parts of the family meet in tiles."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(220)]
+    rows = []
+    for i in range(500):
+        now = list(base)
+        for at in rng.sample(range(220), rng.choice([2, 5, 8, 9, 10, 12])):
+            now[at] = rng.choice(words)
+        rows.append((3 * i + 1, " ".join(now)))
+    rows += [(5000 + i, " ".join(rng.choice(words) for _ in range(90))) for i in range(40)] + [(6000, rows[17][1]), (6001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = exact(rows)
+    assert 60 < len(want) < 480
+    assert sorted(r.doc_id for r in keep_one(docs, tile_rows=tile_rows).collect()) == want
+
+
+def test_test_tables_equal_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == exact(rows)
