@@ -2,7 +2,8 @@
 
 A block is one row of a stored table with a few thousand records in binary columns. A pass maps every block to partial sums of
 fixed size, adds those of a task inside the task, and adds those of all tasks per key after one shuffle; only the sums, whose
-size depends on the number of features and not of rows, reach the driver.
+size depends on the number of features and not of rows, reach the driver. The shuffle is left out while the sums of all tasks
+together are no more than a few megabytes.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from pyspark.sql import DataFrame
 
 from actuspark.session import materialize
 
-#: Records of a block.
-BLOCK = 8192
+#: Records of a block, and of a task at least: below that a pass is nothing but the start of its tasks.
+BLOCK, TASK_ROWS = 8192, 32768
+#: Bytes of sums that the driver takes from all tasks at once.
+FETCH = 32 << 20
 SUMS = "model int, part int, body binary"
 Arrays = Mapping[str, np.ndarray]
 
@@ -27,8 +30,8 @@ def numbers(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
         (0, batch.num_rows))
 
 
-def packed(df: DataFrame, pack: Callable[[pa.RecordBatch], Arrays], names: list[str], label: str) -> DataFrame:
-    """A stored table of blocks: ``n`` and the bytes of the arrays ``names`` that ``pack`` makes of up to ``BLOCK`` rows."""
+def packed(df: DataFrame, pack: Callable[[pa.RecordBatch], Arrays], names: list[str], label: str, rows: int) -> DataFrame:
+    """A stored table of blocks: ``n`` and the bytes of the arrays ``names`` that ``pack`` makes of up to ``BLOCK`` of the ``rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -39,7 +42,7 @@ def packed(df: DataFrame, pack: Callable[[pa.RecordBatch], Arrays], names: list[
                     [pa.array([part.num_rows], pa.int32()), *(pa.array([np.ascontiguousarray(made[c]).tobytes()]) for c in names)], ["n", *names])
 
     schema = ", ".join(["n int", *(f"{c} binary" for c in names)])
-    return materialize(df.mapInArrow(run, schema), label)
+    return materialize(df.coalesce(rows // TASK_ROWS + 1).mapInArrow(run, schema), label)
 
 
 def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -47,8 +50,12 @@ def records(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def total(blocks: DataFrame, sums: Callable[[dict], Iterator[tuple[int, int, np.ndarray]]]) -> dict[tuple[int, int], np.ndarray]:
-    """The arrays that ``sums`` gives for each (model, part) of a block, added up over all blocks."""
+def total(blocks: DataFrame, sums: Callable[[dict], Iterator[tuple[int, int, np.ndarray]]], rows: int,
+          size: int) -> dict[tuple[int, int], np.ndarray]:
+    """The arrays that ``sums`` gives for each (model, part) of a block, added up over all blocks.
+
+    ``rows``: records of all blocks. ``size``: numbers in all arrays of one block.
+    """
 
     def add(into: dict, key: tuple[int, int], body: np.ndarray) -> None:
         into[key] = into[key] + body if key in into else body
@@ -71,5 +78,10 @@ def total(blocks: DataFrame, sums: Callable[[dict], Iterator[tuple[int, int, np.
             add(found, (r["model"], r["part"]), np.frombuffer(r["body"]))
         yield batch(found)
 
-    added = blocks.mapInArrow(inside, SUMS).repartition("model", "part").mapInArrow(across, SUMS).toArrow()
-    return {(r["model"], r["part"]): np.frombuffer(r["body"]) for r in added.to_pylist()}
+    added = blocks.mapInArrow(inside, SUMS)
+    if (rows // TASK_ROWS + 1) * size * 8 > FETCH:
+        added = added.repartition("model", "part").mapInArrow(across, SUMS)
+    found: dict = {}
+    for r in added.toArrow().to_pylist():
+        add(found, (r["model"], r["part"]), np.frombuffer(r["body"]))
+    return found

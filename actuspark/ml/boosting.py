@@ -446,7 +446,7 @@ def fit_together(df: DataFrame, models: Sequence[Boosting], store_every: int = 1
     cuts = bin_cuts(rows, names, bins.pop())
     at = [roles.index((m.target, m.key, m.seed, m.validation_share)) for m in models]
     of = [targets.index(m.target) for m in models]
-    means = rows.agg(*[F.avg(F.when(F.col(f"_role{r}") == TRAIN, F.col(f"_t{t}"))) for r, t in zip(at, of)]).first()
+    n, *means = rows.agg(F.count("*"), *[F.avg(F.when(F.col(f"_role{r}") == TRAIN, F.col(f"_t{t}"))) for r, t in zip(at, of)]).first()
     state = [Progress(m, r, t, [features.index(f) for f in m.features], m.start(mean)) for m, r, t, mean in zip(models, at, of, means)]
     starts = np.array([[p.start] for p in state])
 
@@ -456,13 +456,14 @@ def fit_together(df: DataFrame, models: Sequence[Boosting], store_every: int = 1
         return {"codes": codes.astype(np.uint8), "targets": np.nan_to_num(numbers(part, target_names)),
                 "roles": numbers(part, role_names).astype(np.uint8), "scores": np.repeat(starts, part.num_rows, axis=1)}
 
-    blocks = packed(rows, pack, ["codes", "targets", "roles", "scores"], "boost")
+    blocks = packed(rows, pack, ["codes", "targets", "roles", "scores"], "boost", n)
     release(rows)
     active = {i: p for i, p in enumerate(state) if p.model.max_iter > 0 and p.columns and means[i] is not None}
     for p in active.values():
         p.begin()
     while active:
-        found = total(blocks, node_sums(len(features), [(i, p, p.trees[p.stored:]) for i, p in active.items()]))
+        found = total(blocks, node_sums(len(features), [(i, p, p.trees[p.stored:]) for i, p in active.items()]), n,
+                      sum(len(p.columns) * p.model.max_bins * 3 * len(p.nodes) for p in active.values()))
         for i, p in list(active.items()):
             if not p.feed({part: body for (model, part), body in found.items() if model == i}):
                 del active[i]

@@ -85,7 +85,7 @@ def newton(blocks: DataFrame, slopes: Slopes, weights: np.ndarray, n: int, penal
     ridge[0] = 0.0
 
     def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        body = total(blocks, block_sums(slopes, width, w))[0, 0] / n
+        body = total(blocks, block_sums(slopes, width, w), n, width * (width + 1) + 1)[0, 0] / n
         return (float(body[0] + ridge @ (w * w) / 2), body[1:width + 1] + ridge * w,
                 body[width + 1:].reshape(width, width) + np.diag(ridge))
 
@@ -125,7 +125,7 @@ def fit_linear(df: DataFrame, features: Sequence[str], target: str, slopes: Slop
         x = np.nan_to_num((numbers(part, names) - means[:, None]) / scales[:, None])
         return {"x": np.vstack([np.ones((1, part.num_rows)), x]), "y": numbers(part, ["_y"])[0] / unit}
 
-    blocks = packed(rows, pack, ["x", "y"], "linear")
+    blocks = packed(rows, pack, ["x", "y"], "linear", n)
     release(rows)
     first = np.zeros(len(names) + 1)
     first[0] = start(mean / unit)
