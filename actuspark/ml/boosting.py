@@ -82,6 +82,21 @@ class BoostedModel:
     loss: str
     validation_losses: list[float] = field(default_factory=list)
 
+    def mean(self, score: np.ndarray) -> np.ndarray:
+        return {"poisson": np.exp, "logistic": lambda s: 1 / (1 + np.exp(-s)), "squared_error": lambda s: s}[self.loss](score)
+
+    def steps(self, x: np.ndarray, trees: Sequence[int]) -> np.ndarray:
+        """The sum of the steps of some trees for each column of ``x`` (features, rows)."""
+        return moved(np.zeros(x.shape[1]), x, [self.trees[t] for t in trees])
+
+    def trees_by_feature(self) -> dict[int, list[int]]:
+        """The trees that split on a feature: only these see it change."""
+        index: dict[int, list[int]] = {}
+        for t, tree in enumerate(self.trees):
+            for f in sorted(set(tree.feature) - {-1}):
+                index.setdefault(f, []).append(t)
+        return index
+
     def transform(self, df: DataFrame, out: str = PREDICTION) -> DataFrame:
         score = ensemble_score(self.trees, self.start)(*[F.col(f).cast("double") for f in self.features])
         if self.loss == "logistic":

@@ -229,6 +229,30 @@ def test_importance_and_dependence(spark):
     assert sorted(pd_[pd_.feature == "x3"].value) == [0.0, 1.0, 2.0]
 
 
+class Opaque:
+    """A boosted model behind the general path: rows are copied and scored again."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def transform(self, df, out="prediction"):
+        return self.model.transform(df, out)
+
+
+@pytest.mark.parametrize("loss, target", [("poisson", "y"), ("logistic", "c")])
+def test_trees_are_explained_as_by_scoring_again(signal, loss, target):
+    df, _ = signal
+    model = Boosting(FEATURES, target, loss=loss, max_iter=8, learning_rate=0.3, min_leaf=100, validation_share=0.0).fit(df)
+    sample = explain.explain_sample(df.select("bene_id", F.col(target).alias("out"), *FEATURES, F.lit(1.0).alias("idle")), "bene_id", size=700)
+    inputs = (*FEATURES, "idle")
+    fast, slow = (explain.permutation_importance(m, sample, inputs, "out", "bene_id", 2).toPandas().set_index("feature")
+                  for m in (model, Opaque(model)))
+    assert set(fast.index) == set(inputs) and np.allclose(fast, slow.loc[fast.index], atol=1e-9)
+    fast, slow = (explain.partial_dependence(m, sample, ["x1", "x3"], FEATURES).toPandas().sort_values(["feature", "value"])
+                  for m in (model, Opaque(model)))
+    assert len(fast) == 40 and np.allclose(fast[["value", "avg_pred"]], slow[["value", "avg_pred"]])
+
+
 def test_input_shocks(spark):
     df = spark.createDataFrame([(100.0, 4.0), (300.0, 1.0)], "paid_total double, n_chronic double")
 
