@@ -30,6 +30,9 @@ PIECE = 1 << 18
 SEPARATOR = rb"[.!?]+[ \t]+|\n+"
 #: A blank between two visible characters always begins a word of the pattern, so a text may be cut there.
 CUT = regex.compile(r"(?<=\S) (?=\S)")
+#: The pattern takes a long run of blanks as one word, but for the last blank before a visible character. Its search tries every
+#: shorter run first, in steps that pile up, so such words are taken out of the text and encoded on their own.
+BLANKS = regex.compile(r"\s{1000,}")
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
@@ -42,16 +45,27 @@ def encoding(content: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
-def token_ends(text: str, content: bytes) -> np.ndarray:
-    """Where each token of a text ends, in bytes."""
-    encoder, sizes = encoding(content)
-    ids: list[int] = []
+def stretches(text: str) -> Iterator[tuple[str, bool]]:
+    """A text in pieces that the pattern parts anyway; True for a run of blanks that is one word."""
     at = 0
     while at < len(text):
         cut = CUT.search(text, at + PIECE) if at + PIECE < len(text) else None
         end = cut.start() if cut else len(text)
-        ids += encoder.encode_ordinary(text[at:end])
+        for run in BLANKS.finditer(text, at, end):
+            last = run.end() if run.end() == len(text) else run.end() - 1
+            yield text[at:run.start()], False
+            yield text[run.start():last], True
+            at = last
+        yield text[at:end], False
         at = end
+
+
+def token_ends(text: str, content: bytes) -> np.ndarray:
+    """Where each token of a text ends, in bytes."""
+    encoder, sizes = encoding(content)
+    ids: list[int] = []
+    for piece, one_word in stretches(text):
+        ids += encoder._encode_single_piece(piece) if one_word else encoder.encode_ordinary(piece)
     return np.cumsum(sizes[np.array(ids, np.int64)])
 
 
