@@ -1,11 +1,13 @@
 """Toxicity as a weighted finite-state pattern grammar over clauses.
 
-Five transducers read the words of a clause and are composed into one automaton: *insult* (a learned lexicon of words and of
-stems, each with the share of toxic documents among those that hold it), *threat*, *target*, *negation* and *reported speech*
-(small fixed lists). The state holds how many words ago a target or a negation was read, and whether the clause reports
-speech; an insult or threat emits a match of the kind that the state makes it. What a kind is worth against a plain insult is
-learned from the training rows too, so a negated or reported insult counts as much or as little as the labels say. A document
-scores by noisy-or over its matched clauses; one without a match gets the share of toxic documents among those.
+Five transducers read the words of a clause: *target*, *negation* and *reported speech* mark the words that they govern, *threat*
+marks a target soon after a threatening word, and *insult* turns the marks of an insulting word into a kind of match. Each is a
+table of states and classes of words (fixed lists, and for insults a learned lexicon of words and stems, each with the share of
+toxic documents among those that hold it). They are composed once into one table, which a text steps through.
+
+The weight of a match is that of the word times that of its kind, learned from the training rows, so a negated, a reported or an
+isolated insult counts as much or as little as the labels say. A clause counts with its best match, a document by noisy-or over
+its clauses; one without a match gets the share of toxic documents among those.
 """
 
 from __future__ import annotations
@@ -13,8 +15,9 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +36,8 @@ STEMS = (4, 5, 6, 7)
 STEM_WORDS = 5
 PIECE = 1 << 18
 
-WORD, CLAUSE = re.compile(r"[^\W\d_]+"), re.compile(r"[^.!?;:\n]+")
+WORD, END = re.compile(r"[^\W\d_]+"), re.compile(r"[.!?;:\n]")
+TOKEN, NO_LETTER = re.compile(r"[^\W\d_]+|[.!?;:\n]"), re.compile(r"[\W\d_]")
 # Word lists of the grammar, in English, German, French and Spanish.
 TARGETS = frozenset("you your yours he she they them him her du dich dir dein ihr euch sie tu toi te vous il elle ils elles tú "
                     "usted ustedes él ella ellos ellas".split())
@@ -43,6 +47,78 @@ REPORTS = frozenset("said says told wrote claimed quoted alleged sagte sagt schr
 THREATS = frozenset("kill hurt destroy shoot stab burn töten umbringen verletzen tuer détruire frapper matar destruir golpear".split())
 REACH = 3  # words that a target or negation governs
 
+#: Classes of words, and marks that transducers add to them.
+OTHER, TARGET, NEGATION, REPORT, THREAT, INSULT = range(6)
+AIMED, DENIED, QUOTED, MENACED = 8, 16, 32, 64
+KINDS = (None, "plain", "targeted", "negated", "reported", "threat", "reported threat")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """``steps[state][symbol]``: next state and what is written for the symbol."""
+
+    steps: tuple[dict[int, tuple[int, int]], ...]
+
+    def then(self, other: Transducer) -> Transducer:
+        """The transducer that reads what this one writes with ``other``; its states are the reachable pairs."""
+        number, todo, steps = {(0, 0): 0}, [(0, 0)], []
+        while todo:
+            a, b = todo.pop(0)
+            row = {}
+            for symbol, (a_next, written) in self.steps[a].items():
+                b_next, out = other.steps[b][written]
+                if (a_next, b_next) not in number:
+                    number[a_next, b_next] = len(number)
+                    todo.append((a_next, b_next))
+                row[symbol] = number[a_next, b_next], out
+            steps.append(row)
+        return Transducer(tuple(steps))
+
+    def run(self, symbols: Iterable[int]) -> list[int]:
+        state, out = 0, []
+        for symbol in symbols:
+            state, written = self.steps[state][symbol]
+            out.append(written)
+        return out
+
+
+def governing(trigger: int, mark: int) -> Transducer:
+    """Marks the ``REACH`` words after a word of class ``trigger``; the state is how many are left."""
+    return Transducer(tuple(
+        {s: (REACH if s & 7 == trigger else max(0, left - 1), s | mark if left else s) for s in range(128)} for left in range(REACH + 1)))
+
+
+def reported() -> Transducer:
+    """Marks all words after one of report."""
+    return Transducer(({s: (int(s & 7 == REPORT), s) for s in range(128)}, {s: (1, s | QUOTED) for s in range(128)}))
+
+
+def threatened() -> Transducer:
+    """Marks a target within reach of a threat that is not denied; each threat once."""
+    def step(left: int, s: int) -> tuple[int, int]:
+        if s & 7 == THREAT and not s & DENIED:
+            return REACH, s
+        return (0, s | MENACED) if s & 7 == TARGET and left else (max(0, left - 1), s)
+
+    return Transducer(tuple({s: step(left, s) for s in range(128)} for left in range(REACH + 1)))
+
+
+def insulting() -> Transducer:
+    """Writes the kind of match of a marked word, 0 for none."""
+    def kind(s: int) -> str | None:
+        if s & MENACED:
+            return "reported threat" if s & QUOTED else "threat"
+        if s & 7 != INSULT:
+            return None
+        return "reported" if s & QUOTED else "negated" if s & DENIED else "targeted" if s & AIMED else "plain"
+
+    return Transducer(({s: (0, KINDS.index(kind(s))) for s in range(128)},))
+
+
+#: The five, in the order in which they read.
+CASCADE = (governing(TARGET, AIMED), governing(NEGATION, DENIED), reported(), threatened(), insulting())
+COMPOSED = reduce(Transducer.then, CASCADE)
+
 
 @dataclass
 class Grammar:
@@ -62,50 +138,55 @@ class Grammar:
         return (not self.words.keys().isdisjoint(words) or not THREATS.isdisjoint(words)
                 or any(not self.stems.keys().isdisjoint({w[:n] for w in words}) for n in STEMS if self.stems))
 
+    def read(self, word: str) -> tuple[int, float]:
+        """Class of a word and the weight of its entry."""
+        if word in TARGETS:
+            return TARGET, self.threat  # a threat is complete, and weighed, at its target
+        if word in NEGATIONS:
+            return NEGATION, 0.0
+        if word in REPORTS:
+            return REPORT, 0.0
+        if word in THREATS:
+            return THREAT, 0.0
+        weight = self.insult(word)
+        return (INSULT, weight) if weight else (OTHER, 0.0)
+
+    def clauses(self, text: str) -> Iterator[list[tuple[str, float]]]:
+        """(kind, weight of the entry) of the matches of each clause that has some."""
+        if not any(self.touches(set(WORD.findall(piece))) for piece in pieces(text)):
+            return
+        steps, state, found = COMPOSED.steps, 0, []
+        for piece in pieces(text):  # a piece ends between words, and the state goes on
+            for token in TOKEN.findall(piece):
+                if END.match(token):
+                    if found:
+                        yield found
+                    state, found = 0, []
+                    continue
+                symbol, weight = self.read(token)
+                state, kind = steps[state][symbol]
+                if kind and weight:
+                    found.append((KINDS[kind], weight))
+        if found:
+            yield found
+
     def matches(self, text: str) -> Iterator[tuple[str, float]]:
-        """(kind, weight of the lexicon entry) of each match."""
-        for piece in pieces(text):
-            if not self.touches(set(WORD.findall(piece))):
-                continue
-            for clause in CLAUSE.findall(piece):
-                yield from self.clause(WORD.findall(clause))
-
-    def clause(self, words: list[str]) -> Iterator[tuple[str, float]]:
-        target = negation = REACH + 1
-        reported = False
-        open_threat = REACH + 1
-        for word in words:
-            target, negation, open_threat = target + 1, negation + 1, open_threat + 1
-            if word in TARGETS:
-                target = 0
-                if open_threat <= REACH:
-                    yield ("reported threat" if reported else "threat"), self.threat
-                    open_threat = REACH + 1
-            elif word in NEGATIONS:
-                negation = 0
-            elif word in REPORTS:
-                reported = True
-            elif word in THREATS and negation > REACH:
-                open_threat = 0
-            elif weight := self.insult(word):
-                kind = "reported" if reported else "negated" if negation <= REACH else "targeted" if target <= REACH else "plain"
-                yield kind, weight
+        for found in self.clauses(text):
+            yield from found
 
     def score(self, text: str) -> float:
         innocent = 1.0 - self.unmatched
-        for kind, weight in self.matches(text):
-            innocent *= 1.0 - min(0.999, weight * self.kinds.get(kind, 1.0))
+        for found in self.clauses(text):
+            innocent *= 1.0 - min(0.999, max(weight * self.kinds.get(kind, 1.0) for kind, weight in found))
         return 1.0 - innocent
 
 
 def pieces(text: str) -> Iterator[str]:
-    """A lower-cased text in pieces that end at a blank where there is one."""
+    """A lower-cased text in pieces that end before a character that is no letter."""
     text, at = text.lower(), 0
     while at < len(text):
-        end = at + PIECE
-        if end < len(text):
-            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
-            end = cut if cut > at else end
+        cut = NO_LETTER.search(text, at + PIECE)
+        end = cut.start() if cut else len(text)
         yield text[at:end]
         at = end
 
@@ -171,7 +252,7 @@ def weigh(grammar: Grammar, rows: DataFrame, rate: float) -> None:
         tally: dict[str, list[int]] = defaultdict(lambda: [0, 0])
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                for kind in {k for k, _ in grammar.matches(text)} or {"none"}:
+                for kind in {k for found in grammar.clauses(text) for k, _ in found} or {"none"}:
                     tally[kind][0] += 1
                     tally[kind][1] += toxic
         yield pa.RecordBatch.from_pylist([{"kind": k, "n": n, "pos": p} for k, (n, p) in tally.items()],
@@ -194,8 +275,8 @@ def scored(docs: DataFrame, grammar: Grammar, text: str = "text", carry: tuple[s
     """``carry``, with ``keep_text`` the text, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of each row.
 
     Null and empty texts have no match and get the score of such texts. Repeated rows come out as often as they come in, an
-    empty table gives an empty result, other columns may have any names. Long texts are read in pieces; a word or clause that
-    a piece's end cuts counts as two.
+    empty table gives an empty result, other columns may have any names. A text's words are held in pieces of about ``PIECE``
+    characters, between which the state of the grammar goes on.
     """
     base = docs.select(*[F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)], F.col(text).cast("string").alias("text"))
     names = [f"carry_{i}" for i in range(len(carry))] + ["text"] * keep_text
