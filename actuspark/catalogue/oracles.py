@@ -487,14 +487,31 @@ SELECT r.grp, SUM(w * p) / SUM(w * y) AS predictive_ratio,
   1 - SUM(w * (y - p * f) * (y - p * f)) / SUM(w * (y - my) * (y - my)) AS r2_norm,
   1 - SUM(w * abs(y - p * f)) / SUM(w * abs(y - my)) AS cpm_norm
 FROM replicates AS r JOIN m ON m.grp = r.grp GROUP BY r.grp"""
-VIEWS["weekly"] = "SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, value FROM events"
-_weeks = ("SELECT p.period AS grp, e.value AS v FROM weekly AS e, (SELECT DISTINCT period FROM weekly) AS p "
-          "WHERE e.period = (SELECT MIN(period) FROM weekly)")
-VIEWS["week_psi"] = (f"SELECT grp AS period, SUM(psi_contrib) AS psi FROM "
-                     f"({psi_sql(_weeks, 'SELECT period AS grp, value AS v FROM weekly')}) AS b GROUP BY 1")
+VIEWS["weekly"] = ("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, value, CAST(hour(ts) AS DOUBLE) AS hour, event_type, "
+                   "CAST(event_type = 'purchase' AS INT) AS bought FROM events")
+
+
+def _weeks(column: str) -> str:
+    first = (f"SELECT p.period AS grp, e.{column} AS v FROM weekly AS e, (SELECT DISTINCT period FROM weekly) AS p "
+             "WHERE e.period = (SELECT MIN(period) FROM weekly)")
+    return f"SELECT grp AS period, SUM(psi_contrib) AS v FROM ({psi_sql(first, f'SELECT period AS grp, {column} AS v FROM weekly')}) AS b GROUP BY 1"
+
+
+VIEWS["week_psi"] = _weeks("value")
+VIEWS["week_csi"] = _weeks("hour")
+VIEWS["week_auc"] = f"SELECT grp AS period, auc AS v FROM ({auc_sql('SELECT period AS grp, bought AS y, value AS p FROM weekly')}) AS a"
+VIEWS["week_means"] = "SELECT period, AVG(value) AS v FROM weekly GROUP BY 1"
+VIEWS["week_segments"] = """
+SELECT period, arg_max(r, (abs(r - 1), event_type)) AS v FROM (
+  SELECT s.period, s.event_type, s.m / b.m AS r FROM (SELECT period, event_type, AVG(value) AS m, COUNT(*) AS n FROM weekly GROUP BY ALL) AS s
+  JOIN (SELECT event_type, AVG(value) AS m FROM weekly WHERE period = (SELECT MIN(period) FROM weekly) GROUP BY ALL) AS b
+    ON b.event_type = s.event_type WHERE s.n >= 100) AS x GROUP BY 1"""
 VIEWS["week_values"] = """
-SELECT w.period, n, m / (SELECT AVG(value) FROM weekly WHERE period = (SELECT MIN(period) FROM weekly)) AS ratio, psi
-FROM (SELECT period, COUNT(*) AS n, AVG(value) AS m FROM weekly GROUP BY 1) AS w JOIN week_psi ON week_psi.period = w.period"""
+SELECT w.period, w.n, x.metric, x.value FROM (SELECT period, COUNT(*) AS n FROM weekly GROUP BY 1) AS w LEFT JOIN (
+  SELECT period, 'psi' AS metric, v AS value FROM week_psi UNION ALL SELECT period, 'csi', v FROM week_csi
+  UNION ALL SELECT period, 'ratio', v / (SELECT arg_min(v, period) FROM week_means) FROM week_means
+  UNION ALL SELECT m.period, 'segment_ratio', s.v FROM week_means AS m LEFT JOIN week_segments AS s ON s.period = m.period
+  UNION ALL SELECT m.period, 'auc', a.v FROM week_means AS m LEFT JOIN week_auc AS a ON a.period = m.period) AS x ON x.period = w.period"""
 
 VIEWS["explained"] = f"""
 SELECT *, row_number() OVER (ORDER BY bene_id) AS i FROM (
@@ -529,6 +546,13 @@ BODIES: dict[str, str] = {
     "scan_counts": " UNION ALL ".join(
         [f"SELECT 'bene_{y}' AS source, COUNT(*) AS n_rows FROM stg_bene WHERE FILE_YEAR = {y}" for y in CFG.years]
         + ["SELECT 'inpatient', COUNT(*) FROM stg_ip", "SELECT 'outpatient', COUNT(*) FROM stg_op"]),
+    "csv_round_trip": " UNION ALL ".join(
+        f"SELECT {q(name)} AS source, TRUE AS found, COUNT(*) AS n_rows, COUNT(DISTINCT {C.ID}) AS n_members, "
+        f"SUM(CAST({gap} IS NULL OR {gap} = '' AS INT)) AS n_gaps FROM {table}"
+        for name, gap, table in [*((f"bene_{y}", "BENE_DEATH_DT", f"stg_bene WHERE FILE_YEAR = {y}") for y in CFG.years),
+                                 ("inpatient", "CLM_ADMSN_DT", "stg_ip"), ("outpatient", "CLM_FROM_DT", "stg_op")])
+        + " UNION ALL SELECT 'carrier', FALSE, NULL, NULL, NULL",
+    "evidence_round_trip": "SELECT *, TRUE AS generated_data, 'GENERATED TEST SAMPLE - NOT REAL CLAIMS' AS data_source FROM dq_all",
     "stack_years": f"SELECT FILE_YEAR AS year, COUNT(*) AS n_rows, COUNT(DISTINCT {C.ID}) AS n_members FROM stg_bene GROUP BY 1",
     "lenient_cast": f"SELECT CLM_ID AS claim_id, SEGMENT AS segment, {lint('CLM_UTLZTN_DAY_CNT')} AS days_zero, "
                     f"{lint('CLM_UTLZTN_DAY_CNT', 'NULL')} AS days_null, {lint('ICD9_DGNS_CD_1')} AS code_zero, "
@@ -629,9 +653,21 @@ SELECT position, fpr, tpr FROM r WHERE d <= 199 OR position IN (SELECT position
 SELECT printf('F-%02d', row_number() OVER (ORDER BY rule_, order_)) AS id, area, severity, finding, evidence, s.*,
   CASE WHEN n_high >= 2 THEN {q(findings.RATINGS[0])} WHEN n_high = 1 THEN {q(findings.RATINGS[1])}
        WHEN n_medium > 0 THEN {q(findings.RATINGS[2])} ELSE {q(findings.RATINGS[3])} END AS rating FROM found, s""",
-    "monitoring_status": """SELECT period, n, 'psi' AS metric, psi AS value, CASE WHEN psi < 0.1 THEN 'Green' WHEN psi <= 0.25 THEN 'Amber'
-  ELSE 'Red' END AS status FROM week_values UNION ALL SELECT period, n, 'ratio', ratio, CASE WHEN ratio BETWEEN 0.95 AND 1.05 THEN 'Green'
-  WHEN ratio BETWEEN 0.90 AND 1.10 THEN 'Amber' ELSE 'Red' END FROM week_values""",
+    "workbook_kpis": f"""SELECT k.*, s.n_high, s.n_medium, s.n_low,
+  CASE WHEN n_high >= 2 THEN {q(findings.RATINGS[0])} WHEN n_high = 1 THEN {q(findings.RATINGS[1])}
+       WHEN n_medium > 0 THEN {q(findings.RATINGS[2])} ELSE {q(findings.RATINGS[3])} END AS rating, c.*
+FROM (SELECT COUNT(*) AS members, SUM(predicted_cost) AS predicted, SUM(actual_cost) AS actual, SUM(predicted_cost) / SUM(actual_cost) AS predictive_ratio,
+        SUM(actual_cost) / SUM(predicted_cost) AS norm_factor, pow(corr(actual_cost, predicted_cost), 2) AS rsq FROM roster) AS k,
+  (SELECT COUNT(*) FILTER (severity = 'High') AS n_high, COUNT(*) FILTER (severity = 'Medium') AS n_medium,
+     COUNT(*) FILTER (severity = 'Low') AS n_low FROM found) AS s,
+  (SELECT COUNT(*) AS checks, COUNT(*) FILTER (status = 'FAIL') AS checks_failed, COUNT(*) FILTER (status = 'WARN') AS checks_warned,
+     MAX(CASE WHEN check_id = 'DQ-18' THEN observed END) AS paid_move FROM dq_all) AS c""",
+    "monitoring_status": """SELECT period, n, metric, value, CASE WHEN value IS NULL THEN NULL
+  WHEN metric IN ('psi', 'csi') THEN CASE WHEN value < 0.1 THEN 'Green' WHEN value <= 0.25 THEN 'Amber' ELSE 'Red' END
+  WHEN metric = 'ratio' THEN CASE WHEN value BETWEEN 0.95 AND 1.05 THEN 'Green' WHEN value BETWEEN 0.90 AND 1.10 THEN 'Amber' ELSE 'Red' END
+  WHEN metric = 'segment_ratio' THEN CASE WHEN value BETWEEN 0.90 AND 1.10 THEN 'Green' WHEN value BETWEEN 0.85 AND 1.15 THEN 'Amber' ELSE 'Red' END
+  ELSE CASE WHEN value >= base - 0.02 THEN 'Green' WHEN value >= base - 0.05 THEN 'Amber' ELSE 'Red' END END AS status
+FROM week_values, (SELECT arg_min(v, period) AS base FROM week_auc) AS f""",
     "benchmark_comparison": "SELECT split_part(grp, '|', 1) AS model, split_part(grp, '|', 2) AS sample, * FROM ("
                             + reg_sql("SELECT * FROM duel_rows") + ") AS m",
     # persistence looks at one input only: shuffling the others changes nothing

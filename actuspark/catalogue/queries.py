@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from actuspark.operators import (
     bootstrap, classification, explain, quality, ranking, regression, segments, shaping, stability,
 )
 from actuspark.plans import claims, findings, starviews, validation
-from actuspark.session import materialize
-from actuspark.sources import readers
+from actuspark.session import checkpoint_root, materialize
+from actuspark.sources import readers, sinks
 
 CFG = starviews.STAR_CONFIG
 Y, LABEL, KEY, P, Q = C.TARGET, C.LABEL, "bene_id", "p", "q"
@@ -113,6 +115,33 @@ def scan_counts(spark, d):
     return readers.source_counts({**parts, "inpatient": inpatient(spark, d), "outpatient": outpatient(spark, d)})
 
 
+@query
+def csv_round_trip(spark, d):
+    """The raw tables written as CSV and loaded again; a source that is not there is reported and not read."""
+    files = readers.default_files(CFG)
+    sources = {f"bene_{y}": df for y, df in starviews.star_member_files(spark, d).items()} | {
+        "inpatient": inpatient(spark, d), "outpatient": outpatient(spark, d)}
+    root = f"{checkpoint_root(spark)}/raw-{uuid.uuid4().hex}"
+    sinks.write_sources(sources, root, files)
+    _, loaded = readers.load_raw(spark, root, CFG, files)
+    status = readers.source_status(spark, readers.source_paths(root, CFG, files | {"carrier": "no_such_file.csv"}))
+    gap = {"inpatient": "CLM_ADMSN_DT", "outpatient": "CLM_FROM_DT"}
+    counts = reduce(DataFrame.unionAll, [df.select(F.lit(name).alias("source"), C.ID, F.col(gap.get(name, "BENE_DEATH_DT")).alias("_g"))
+                                         for name, df in loaded.items()])
+    counts = counts.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(C.ID).alias("n_members"),
+                                          F.count(F.when(F.col("_g").isNull(), 1)).alias("n_gaps"))
+    return status.join(counts, "source", "left")
+
+
+@query
+def evidence_round_trip(spark, d):
+    """The data-quality evidence with its origin, written as JSON and read again."""
+    dq = sinks.provenance(quality.run_suite(starviews.staged_raw(spark, d), CFG.years), True)
+    root = f"{checkpoint_root(spark)}/evidence-{uuid.uuid4().hex}"
+    sinks.write_evidence({"dq": dq}, root)
+    return sinks.read_evidence(spark, root, "dq", dq.schema)
+
+
 @query
 def stack_years(spark, d):
     return members(spark, d).groupBy(F.col("FILE_YEAR").alias("year")).agg(
@@ -196,14 +225,19 @@ def model_base(spark, d):
     return base(spark, d)
 
 
+def _eligibility(spark, d) -> DataFrame:
+    """Members of the feature years with their eligibility: the waterfall needs no claims."""
+    return claims.with_eligibility(outcomes(spark, d).filter(F.col("year").isin(CFG.dev_year, CFG.oot_year)))
+
+
 @query
 def population_waterfall(spark, d):
-    return claims.population_waterfall(base(spark, d)).orderBy("feature_year", "step")
+    return claims.population_waterfall(_eligibility(spark, d)).orderBy("feature_year", "step")
 
 
 @query
 def waterfall_pivot(spark, d):
-    wide = shaping.pivot_periods(claims.population_waterfall(base(spark, d)), ["step", "rule"], "feature_year", "n",
+    wide = shaping.pivot_periods(claims.population_waterfall(_eligibility(spark, d)), ["step", "rule"], "feature_year", "n",
                                  [CFG.dev_year, CFG.oot_year])
     return wide.withColumnsRenamed({str(y): f"n_{y}" for y in (CFG.dev_year, CFG.oot_year)})
 
@@ -504,9 +538,8 @@ def summary_kpis(spark, d):
 
 # ---- findings and monitoring
 
-@query
-def findings_rating(spark, d):
-    """The rule set over persistence (as champion) against the cell-rate model, with one line per finding."""
+def _found(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Findings of the rule set over persistence (as champion) against the cell-rate model, and the data-quality checks."""
     parts = split(spark, d)
     models = fit_all(parts.train, {C.M0: NaivePersistence(), C.M1: CredibilityRate()})
     long = materialize(validation.with_normalised(
@@ -532,24 +565,43 @@ def findings_rating(spark, d):
             full, "n_chronic", P))),
         findings.standing(spark),
     ]), "evidence")
+    return found, dq
+
+
+@query
+def findings_rating(spark, d):
+    """One line per finding, with the counts by severity and the rating."""
+    found, _ = _found(spark, d)
     return ranking.attach(found, findings.rating(found), ())
 
 
+@query
+def workbook_kpis(spark, d):
+    return validation.workbook_kpis(summary_kpis(spark, d), *_found(spark, d))
+
+
 @query
 def monitoring_status(spark, d):
-    """Weekly monitoring of event values: PSI against the first week and the ratio of means to it."""
+    """Weekly monitoring of event values against the first week: PSI of the value, CSI of the hour, the ratio of means, that of the
+    worst event type, and the AUC of the value for purchases."""
     events = starviews.tables(spark, d, "events")["events"].select(
-        F.date_trunc("week", "ts").cast("date").cast("string").alias("period"), "value")
+        F.date_trunc("week", "ts").cast("date").cast("string").alias("period"), "value", F.hour("ts").cast("double").alias("hour"),
+        "event_type", (F.col("event_type") == "purchase").cast("int").alias("bought"))
     events = materialize(events, "events")
     first = events.agg(F.min("period")).first()[0]
-    shift = stability.psi_over_periods(events, "period", "value", first)
+    wide = stability.psi_over_periods(events, "period", "value", first)
     means = events.groupBy("period").agg(F.avg("value").alias("_mean"))
-    base = means.filter(F.col("period") == first).select(F.col("_mean").alias("_base"))
-    wide = ranking.attach(ranking.attach(shift, means, ["period"]), base, ())
-    items = F.explode(F.array(F.struct(F.lit("psi").alias("metric"), F.col("psi").alias("value")),
-                              F.struct(F.lit("ratio").alias("metric"), (F.col("_mean") / F.col("_base")).alias("value"))))
-    rows = wide.select("period", "n", items.alias("_x")).select("period", "n", "_x.metric", "_x.value")
-    return rows.withColumn("status", findings.traffic_light(F.col("metric"), F.col("value")))
+    areas = classification.auc(events, "bought", "value", ["period"]).select("period", "auc")
+    shift = stability.psi_over_periods(events, "period", "hour", first).select("period", F.col("psi").alias("csi"))
+    for more in (means, shift, findings.worst_segment(events, "period", "event_type", "value", first, 100), areas):
+        wide = ranking.join_groups(wide, more, ["period"])
+    wide = materialize(wide, "weeks")  # one row a week
+    base = wide.filter(F.col("period") == first).select(F.col("_mean").alias("_base"), F.col("auc").alias("_auc"))
+    wide = ranking.attach(wide, base, ())
+    values = {"psi": F.col("psi"), "csi": F.col("csi"), "ratio": F.col("_mean") / F.col("_base"), "segment_ratio": F.col("worst"), "auc": F.col("auc")}
+    items = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in values.items()]))
+    rows = wide.select("period", "n", "_auc", items.alias("_x")).select("period", "n", "_auc", "_x.metric", "_x.value")
+    return rows.withColumn("status", findings.traffic_light(F.col("metric"), F.col("value"), F.col("_auc")))
 
 
 # ---- bootstrap

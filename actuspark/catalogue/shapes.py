@@ -57,6 +57,7 @@ SHAPES: dict[str, str] = {
     "reconciliation": "year:i summary_ip:2 claims_ip:2 ratio_claims_to_summary:6 mean_paid:4 yoy_change:6",
     "yoy_trend": "year:i mean_paid:4 yoy_change:6",
     "dq_suite": _CHECK,
+    "evidence_round_trip": f"{_CHECK} generated_data:b data_source:s",
     "hash_split": "bene_id:s is_test:i",
     "hash_sample": "bene_id:s year:i target_paid:2",
     "model_split": "sample:s n:i n_high_cost:i threshold:4",
@@ -84,6 +85,9 @@ SHAPES: dict[str, str] = {
     "leakage_review": "forbidden_features:s max_abs_corr_feature:s max_abs_corr:6",
     "segment_calibration": _SEGMENT,
     "segment_breaches": f"{_SEGMENT} status:s",
+    "csv_round_trip": "source:s found:b n_rows:i n_members:i n_gaps:i",
+    "workbook_kpis": "members:i predicted:2 actual:2 predictive_ratio:6 norm_factor:6 rsq:6 n_high:i n_medium:i n_low:i rating:s checks:i "
+                     "checks_failed:i checks_warned:i paid_move:6",
     "segment_breaches_small": f"{_SEGMENT} status:s",
     "fairness": "dimension:s level:s n:i event_rate:6 auc:6 flag_rate_top:6 tpr_top:6",
     "ratio_crosstab": "age_band:s female_ratio:6 male_ratio:6 all_ratio:6 n:i actual_mean:4",

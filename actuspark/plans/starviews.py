@@ -130,7 +130,7 @@ TABLES = {
     "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
               "o_orderdate timestamp, o_orderpriority string",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_shipdate timestamp",
-    "events": "ts timestamp, value double",
+    "events": "ts timestamp, event_type string, value double",
 }
 
 

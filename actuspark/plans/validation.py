@@ -111,6 +111,14 @@ def summary_kpis(members: DataFrame) -> DataFrame:
              divide("actual", "predicted").alias("norm_factor"), "rsq")
 
 
+def workbook_kpis(kpis: DataFrame, found: DataFrame, dq: DataFrame) -> DataFrame:
+    """The headline numbers with findings by severity, failed and warned checks, and the last yearly move of paid amounts."""
+    status = lambda s: F.count(F.when(F.col("status") == s, 1))
+    checks = dq.agg(F.count(F.lit(1)).alias("checks"), status("FAIL").alias("checks_failed"), status("WARN").alias("checks_warned"),
+                    F.max(F.when(F.col("check_id") == "DQ-18", F.col("observed"))).alias("paid_move"))
+    return attach(attach(kpis, rules.rating(found), ()), checks, ())
+
+
 def fairness_table(oot: DataFrame, probability: str) -> DataFrame:
     # rows of unknown race count for the other dimensions and for the cut; their own level is null and skipped
     named = oot.withColumns({

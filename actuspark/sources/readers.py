@@ -37,6 +37,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(jpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jpath))
 
 
+def source_status(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """Which sources are there: (source, found), one row a path."""
+    rows = [(name, path_exists(spark, path)) for name, path in paths.items()]
+    return spark.createDataFrame(rows, "source string, found boolean")
+
+
 def require_sources(spark: SparkSession, paths: Mapping[str, str]) -> None:
     """Raise with the full list of missing inputs; pass silently when all are there."""
     missing = [p for p in paths.values() if not path_exists(spark, p)]

@@ -31,6 +31,17 @@ def write_evidence(evidence: Mapping[str, DataFrame], root: str) -> None:
         json_ready(df).write.mode("overwrite").option("ignoreNullFields", False).json(f"{root.rstrip('/')}/{name}")
 
 
+def read_evidence(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """An evidence table as it was written, with the types it had."""
+    return spark.read.schema(schema).json(f"{root.rstrip('/')}/{name}")
+
+
+def write_sources(sources: Mapping[str, DataFrame], root: str, files: Mapping[str, str]) -> None:
+    """Raw tables as CSV with a header, one folder a source, under the names that the loader looks for."""
+    for name, df in sources.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{root.rstrip('/')}/{files[name]}")
+
+
 def write_stage(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Replace a stored stage and continue from the stored table."""
     writer = df.write.mode("overwrite")
