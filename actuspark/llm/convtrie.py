@@ -1,6 +1,6 @@
 """The prefix trie of conversations that are rebuilt from the head of another conversation and a rest of their own.
 
-Fingerprints of turn sequences form a monoid: (length, sum of t_i * B^i) with a number t_i for the content of turn i, modulo four
+Fingerprints of turn sequences form a monoid: (length, sum of t_i * B^i) with a number t_i for the content of turn i, modulo three
 primes below 2^31; a sequence followed by another is (n + m, s + B^n * t). Prefixes of every conversation come from one
 distributed scan. A rebuilt prefix is a head of the base and a piece of the own turns; its fingerprint follows from three stored
 prefixes, (own[d] - own[h]) * B^(k - h) + base[k], so that no rebuilt text exists anywhere. Turns travel as SHA-256 digests of
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from actuspark.llm.common import constants, mapped
 from actuspark.session import materialize
 
-#: The four largest primes below 2^31.
-PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
+#: The three largest primes below 2^31: 93 bits.
+PRIMES = (2147483647, 2147483629, 2147483587)
 LANES = range(len(PRIMES))
 STRIDE, HEADS = 20, 4
 #: Ids of a joined piece of a node's list.
@@ -137,7 +137,6 @@ def plans(held: DataFrame, seed: int) -> DataFrame:
     point = F.struct("digest", "words", *[f"{x}{i}" for x in ("before", "after") for i in LANES])
     convs = held.groupBy("conv").agg(F.count("*").alias("n"), *[
         F.max(F.when(F.col("place") == j, point)).alias(f"head{j}") for j in range(HEADS - 1)])
-    convs = materialize(convs, "convs")
     base = convs.select(F.col("conv").alias("base"), F.col("n").alias("base_n"),
                         F.array_compact(F.array(*[f"head{j}" for j in range(HEADS - 1)])).alias("heads"))
     own = convs.withColumn("base", F.col("conv") - F.col("conv") % STRIDE).join(base, "base", "left")
@@ -159,14 +158,14 @@ def plans(held: DataFrame, seed: int) -> DataFrame:
 
 
 def packed(name: str, lanes: list[Column]) -> list[Column]:
-    """Two numbers for the four lanes of a fingerprint."""
-    return [F.shiftleft(lanes[2 * j], 31).bitwiseOR(lanes[2 * j + 1]).alias(f"{name}{j}") for j in range(2)]
+    """Two numbers for the three lanes of a fingerprint."""
+    return [F.shiftleft(lanes[0], 31).bitwiseOR(lanes[1]).alias(f"{name}0"), lanes[2].alias(f"{name}1")]
 
 
 def paths(held: DataFrame, plan: DataFrame) -> DataFrame:
     """A row for each conversation and depth: the fingerprints of this prefix (f) and of the one before (g), the last turn."""
     none = F.lit(None)
-    root = plan.select("conv", F.lit(0).cast("long").alias("depth"), *packed("f", [F.lit(0).cast("long")] * 4),
+    root = plan.select("conv", F.lit(0).cast("long").alias("depth"), *packed("f", [F.lit(0).cast("long") for _ in LANES]),
                        *[none.cast("long").alias(f"g{j}") for j in range(2)], none.cast("binary").alias("digest"),
                        F.lit(0).cast("long").alias("words"), (F.col("length") == 0).alias("ends"))
     heads = plan.select("conv", "length", F.posexplode("heads").alias("place", "turn"))

@@ -205,6 +205,6 @@ def test_automaton_is_minimal_and_refuses_what_one_pass_cannot_tell():
 
 
 def test_registered_columns(spark):
-    found = queries.queries()["op13_secret_scan"](spark, SF)
+    found = queries.queries()["op13_secret_scan"](spark, "/root/testdata/sf0.01")
     row = found.where(F.col("n_assign") > 0).first()
     assert row.spans.count("assign:") == row.n_assign and len(row.base_sha256) == 64
