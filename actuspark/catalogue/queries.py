@@ -136,7 +136,7 @@ def csv_round_trip(spark, d):
 @query
 def evidence_round_trip(spark, d):
     """The data-quality evidence with its origin, written as JSON and read again."""
-    dq = sinks.provenance(quality.run_suite(starviews.staged_raw(spark, d), CFG.years), True)
+    dq = sinks.provenance(quality.store_and_check(starviews.star_raw(spark, d), CFG.years), True)
     root = f"{checkpoint_root(spark)}/evidence-{uuid.uuid4().hex}"
     sinks.write_evidence({"dq": dq}, root)
     return sinks.read_evidence(spark, root, "dq", dq.schema)
@@ -315,7 +315,7 @@ def yoy_trend(spark, d):
 
 @query
 def dq_suite(spark, d):
-    return quality.run_suite(starviews.staged_raw(spark, d), CFG.years)
+    return quality.store_and_check(starviews.star_raw(spark, d), CFG.years)
 
 
 # ---- sampling, ranking, quantiles
@@ -549,7 +549,7 @@ def _found(spark, d) -> tuple[DataFrame, DataFrame]:
     full = regression.normalise(
         chance.transform(models[C.M0].transform(parts.oot, P), Q), Y, P, out="p_norm")
     full = materialize(full, "oot")
-    dq = materialize(quality.run_suite(starviews.staged_raw(spark, d), CFG.years), "evidence")
+    dq = materialize(quality.store_and_check(starviews.star_raw(spark, d), CFG.years), "evidence")
     champion = long.filter(F.col("model") == C.M0)
     row = findings.champion_row(metrics, C.M0, C.M1, CFG.oot_sample)
     inputs = claims.split(matrix(spark, d), CFG)

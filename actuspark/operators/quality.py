@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from actuspark import config as C
-from actuspark.functions.columns import blank, filled, lenient_int, lenient_real, year_of
+from actuspark.functions.columns import blank, filled, flag, lenient_int, lenient_real, year_of
 from actuspark.operators.sequences import period_change
 from actuspark.operators.shaping import repeated_keys, shares
+from actuspark.session import concurrently, materialize
 from actuspark.sources.readers import RawTables
 
 
@@ -56,6 +57,12 @@ def status(value: Column, threshold: Column, rule: Column) -> Column:
         .otherwise("INFO"))
 
 
+def store_and_check(raw: RawTables, years: tuple[int, ...]) -> DataFrame:
+    """The suite over tables that are not stored yet: each is computed once."""
+    tables, seen = stored(raw, years)
+    return run_suite(tables, years, seen=seen)
+
+
 def graded(observations: DataFrame, checks: list[Check]) -> DataFrame:
     """Checks with observed value and status. The status is decided before the value is rounded."""
     spark = observations.sparkSession
@@ -84,27 +91,44 @@ def duplicates(raw: RawTables) -> DataFrame:
     return out
 
 
-def member_shares(members: DataFrame) -> DataFrame:
-    """DQ-07 to DQ-09 in one scan of the member table."""
+def member_conditions() -> dict[str, Column]:
+    """DQ-07 to DQ-09."""
     age = F.col("FILE_YEAR") - year_of("BENE_BIRTH_DT")
     low = [lenient_real(f"MEDREIMB_{s}") < 0 for s in C.SETTINGS]
-    return shares(members, {
-        "DQ-07": blank("BENE_BIRTH_DT"), "DQ-08": ~age.between(18, 110), "DQ-09": low[0] | low[1] | low[2]})
+    return {"DQ-07": blank("BENE_BIRTH_DT"), "DQ-08": ~age.between(18, 110), "DQ-09": low[0] | low[1] | low[2]}
 
 
-def inpatient_shares(inpatient: DataFrame, years: tuple[int, ...]) -> DataFrame:
-    """DQ-10, DQ-11 and DQ-13 in one scan of the inpatient table."""
+def inpatient_conditions(years: tuple[int, ...]) -> dict[str, Column]:
+    """DQ-10, DQ-11 and DQ-13."""
     dated = filled("CLM_FROM_DT")
     early = lenient_int("CLM_THRU_DT") < lenient_int("CLM_FROM_DT")
     outside = ~F.substring("CLM_FROM_DT", 1, 4).isin(*[str(y) for y in years])
-    return shares(inpatient, {
-        "DQ-10": lenient_real("CLM_PMT_AMT") < 0,
-        "DQ-11": F.when(dated, early), "DQ-13": F.when(dated, outside)})
+    return {"DQ-10": lenient_real("CLM_PMT_AMT") < 0, "DQ-11": F.when(dated, early), "DQ-13": F.when(dated, outside)}
+
+
+def outpatient_conditions() -> dict[str, Column]:
+    """DQ-12 and DQ-14."""
+    return {"DQ-12": blank("CLM_FROM_DT"), "DQ-14": blank(C.DX_COLUMNS[0])}
+
 
+def stored(raw: RawTables, years: tuple[int, ...]) -> tuple[RawTables, DataFrame]:
+    """The three tables stored, and (check_id, observed) of all checks that look at single rows: DQ-01 to DQ-03, DQ-07 to DQ-14.
 
-def outpatient_shares(outpatient: DataFrame) -> DataFrame:
-    """DQ-12 and DQ-14 in one scan of the outpatient table."""
-    return shares(outpatient, {"DQ-12": blank("CLM_FROM_DT"), "DQ-14": blank(C.DX_COLUMNS[0])})
+    These are counted while the tables are written, so they cost no scan of their own.
+    """
+    volume = {f"DQ-{i:02d}": F.count(F.when(F.col("FILE_YEAR") == y, 1)).cast("double") for i, y in enumerate(years, start=1)}
+    share = lambda conditions: {check: F.avg(flag(c)) for check, c in conditions.items()}
+    plan = [("stg_bene", raw.members, volume | share(member_conditions())), ("stg_ip", raw.inpatient, share(inpatient_conditions(years))),
+            ("stg_op", raw.outpatient, share(outpatient_conditions()))]
+
+    def write(label: str, df: DataFrame, values: dict[str, Column]) -> tuple[DataFrame, dict[str, float | None]]:
+        seen = Observation(label)
+        table = materialize(df.observe(seen, *[c.alias(check) for check, c in values.items()]), label)
+        return table, seen.get
+
+    done = concurrently([lambda one=one: write(*one) for one in plan])
+    rows = [(check, value) for _, values in done for check, value in values.items()]
+    return RawTables(*[table for table, _ in done]), raw.members.sparkSession.createDataFrame(rows, "check_id string, observed double")
 
 
 def long_checks(wide: DataFrame) -> DataFrame:
@@ -116,8 +140,8 @@ def long_checks(wide: DataFrame) -> DataFrame:
 
 def share_checks(raw: RawTables, years: tuple[int, ...]) -> DataFrame:
     """DQ-07 to DQ-14 as (check_id, observed)."""
-    return (long_checks(member_shares(raw.members)).unionByName(long_checks(inpatient_shares(raw.inpatient, years)))
-            .unionByName(long_checks(outpatient_shares(raw.outpatient))))
+    return (long_checks(shares(raw.members, member_conditions())).unionByName(
+        long_checks(shares(raw.inpatient, inpatient_conditions(years)))).unionByName(long_checks(shares(raw.outpatient, outpatient_conditions()))))
 
 
 def orphans(inpatient: DataFrame, members: DataFrame) -> DataFrame:
@@ -169,16 +193,20 @@ def yearly_trend(members: DataFrame) -> DataFrame:
     return period_change(means, "year", "mean_paid", "yoy_change")
 
 
-def run_suite(raw: RawTables, years: tuple[int, ...], recon: DataFrame | None = None) -> DataFrame:
-    """All eighteen checks as (check_id, category, description, observed, threshold, rule, status)."""
+def run_suite(raw: RawTables, years: tuple[int, ...], recon: DataFrame | None = None, seen: DataFrame | None = None) -> DataFrame:
+    """All eighteen checks as (check_id, category, description, observed, threshold, rule, status).
+
+    ``seen``: values of the checks on single rows from :func:`stored`; without it they are counted by scans.
+    """
     recon = reconciliation(raw.inpatient, raw.members) if recon is None else recon
     check_of_year = F.element_at(
         F.create_map(*[x for i, y in enumerate(years, start=1) for x in (F.lit(y), F.lit(f"DQ-{i:02d}"))]),
         F.col("year"))
+    single = [seen] if seen is not None else [
+        volumes(raw.members).select(check_of_year.alias("check_id"), F.col("n_rows").cast("double").alias("observed")), share_checks(raw, years)]
     parts = [
-        volumes(raw.members).select(check_of_year.alias("check_id"), F.col("n_rows").cast("double").alias("observed")),
+        *single,
         duplicates(raw).select("check_id", F.col("n_duplicates").cast("double").alias("observed")),
-        share_checks(raw, years),
         orphans(raw.inpatient, raw.members).select(F.lit("DQ-15").alias("check_id"), F.col("share").alias("observed")),
         after_death(raw.inpatient, raw.members).select(
             F.lit("DQ-16").alias("check_id"), F.col("share").alias("observed")),

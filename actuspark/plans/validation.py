@@ -264,10 +264,11 @@ def validate(parts: claims.Split, models: Models, cfg: C.ClaimsConfig, dq: DataF
 def run_all(raw: RawTables, cfg: C.ClaimsConfig = C.ClaimsConfig(), budget: BoostingBudget = BoostingBudget(),
             **options) -> dict[str, DataFrame]:
     """From staged raw tables to all evidence: features, data quality, models, validation, findings."""
+    raw, seen = quality.stored(raw, cfg.years)
     base = materialize(claims.model_base(raw, cfg), "base")
     matrix = materialize(claims.feature_matrix(claims.eligible(base), cfg), "matrix")
     recon = materialize(quality.reconciliation(raw.inpatient, raw.members), "evidence")
-    dq = materialize(quality.run_suite(raw, cfg.years, recon), "evidence")
+    dq = materialize(quality.run_suite(raw, cfg.years, recon, seen), "evidence")
     parts = claims.split(matrix, cfg)
     ev = validate(parts, fit_models(parts.train, cfg, budget), cfg, dq, budget, **options)
     wide = pivot_periods(claims.population_waterfall(base), ["step", "rule"], "feature_year", "n",

@@ -11,7 +11,7 @@ from actuspark.catalogue.shapes import SHAPES
 SF = "/root/testdata/sf0.001"
 QUICK = ["member_year", "lenient_cast", "yyyymmdd_parse", "readmissions", "visits", "code_groups", "population_waterfall",
          "dq_suite", "quantiles", "global_rank", "reg_metrics", "clf_metrics", "psi_score", "segment_calibration",
-         "monitoring_status", "bootstrap_auc"]
+         "monitoring_status", "bootstrap_auc", "bootstrap_auc_relative", "boosting_steps", "saturated_fits", "csv_round_trip"]
 
 
 def test_every_query_has_a_shape():
