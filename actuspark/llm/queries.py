@@ -127,4 +127,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_periodic_runs": sql.PERIODIC_RUNS, "op12_conversation_trie": sql.CONVERSATION_TRIE, "op13_secret_scan": sql.SECRET_SCAN}
+    return {"op8_decontaminate": sql.DECONTAMINATE, "op11_periodic_runs": sql.PERIODIC_RUNS, "op12_conversation_trie": sql.CONVERSATION_TRIE, "op13_secret_scan": sql.SECRET_SCAN}

@@ -84,6 +84,30 @@ LEFT JOIN nodes p ON p.depth = c.depth - 1 AND p.path = c.path[1:c.depth - 1]
 """
 
 
+#: Words of letters, digits and everything beyond ASCII, capitals of ASCII lowered.
+_PLAIN = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+DECONTAMINATE = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_PLAIN} AS w FROM documents),
+items AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s + 1:s + k], ' ') AS win
+  FROM (SELECT *, least(len(w), 13) AS k, unnest(range(greatest(1, len(w) - 12))) AS s FROM items WHERE len(w) > 0)
+),
+places AS (
+  SELECT r, k, s, array_to_string(w[s + 1:s + k], ' ') AS win
+  FROM (SELECT r, w, k, unnest(range(len(w) - k + 1)) AS s FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+),
+hits AS (SELECT p.r, p.s, p.k, i.item_id FROM places p JOIN windows i ON p.k = i.k AND p.win = i.win),
+covered AS (SELECT r, count(DISTINCT i) AS n FROM (SELECT r, unnest(range(s, s + k)) AS i FROM hits) GROUP BY r),
+named AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS list FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256,
+       coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN covered c USING (r) LEFT JOIN named m USING (r)
+"""
+
+
 def either_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 
