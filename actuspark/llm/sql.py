@@ -108,6 +108,61 @@ FROM docs LEFT JOIN covered c USING (r) LEFT JOIN named m USING (r)
 """
 
 
+def water(family: list[str], level: str) -> str:
+    """CTEs ``<level>_nodes`` and ``<level>_given``: the level L of each family at which its children, each giving at most its
+    supply and otherwise its weight times L, give the family's budget."""
+    path = ", ".join([*family, level])
+    keys = f"PARTITION BY {', '.join(family)}" if family else ""
+    budget = f"(SELECT {', '.join(family)}, given AS budget FROM {family[-1]}_given)" if family else "(SELECT least(budget, supply) AS budget FROM whole)"
+    join = f"JOIN {budget} AS b USING ({', '.join(family)})" if family else f"CROSS JOIN {budget} AS b"
+    on = f"USING ({', '.join(family)})" if family else "ON TRUE"
+    pick = f"{', '.join(family)}, " if family else ""
+    return f"""
+{level}_nodes AS (
+  SELECT n.*, b.budget, supply / weight AS ratio FROM (
+    SELECT {path}, sum(tokens * epochs)::DOUBLE AS supply, coalesce((SELECT max(weight) FROM weights WHERE level = '{level}' AND node = leaves.{level}), 1.0) AS weight
+    FROM leaves, config GROUP BY {path}, epochs) AS n {join}
+),
+{level}_steps AS (
+  SELECT *, (budget - coalesce(sum(supply) OVER ({keys} ORDER BY ratio, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(weight) OVER ({keys} ORDER BY ratio, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS height FROM {level}_nodes
+),
+{level}_water AS (SELECT {pick}arg_min(height, (ratio, {level})) FILTER (WHERE supply > weight * height) AS surface FROM {level}_steps {'GROUP BY ' + ', '.join(family) if family else ''}),
+{level}_given AS (
+  SELECT {path}, CASE WHEN surface IS NULL OR supply <= weight * surface THEN supply ELSE weight * surface END AS given FROM {level}_nodes LEFT JOIN {level}_water {on}
+)"""
+
+
+def mixing(weights: list[tuple[str, str, float]], share: float, epochs: int, seed: int) -> str:
+    """The mix of ``documents`` dealt to three domains by the MD5 of their source."""
+    rows = ", ".join(f"('{level}', '{node}', {weight}::DOUBLE)" for level, node, weight in weights)
+    order = f"('0x' || substr(md5('{seed}:' || epoch || ':' || place), 1, 8))::BIGINT"
+    return f"""
+WITH config AS (SELECT {epochs} AS epochs), weights(level, node, weight) AS (VALUES {rows}),
+docs AS (
+  SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS place, 'd' || ((('0x' || substr(md5(coalesce(source, '')), 1, 4))::BIGINT) % 3) AS domain,
+         coalesce(lang, '') AS language, coalesce(source, '') AS source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\r]+')), 0)::BIGINT AS n_tokens
+  FROM documents
+),
+leaves AS (SELECT domain, language, source, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY ALL),
+whole AS (SELECT sum(tokens) * {share} AS budget, sum(tokens)::DOUBLE * {epochs} AS supply FROM leaves),
+{water([], 'domain')},{water(['domain'], 'language')},{water(['domain', 'language'], 'source')},
+plan AS (
+  SELECT domain, language, source, tokens, floor(given + 1e-6)::BIGINT AS given FROM leaves JOIN source_given USING (domain, language, source)
+  WHERE tokens > 0 AND floor(given + 1e-6) > 0
+),
+turns AS (
+  SELECT d.*, unnest(range(1, given // tokens + 2)) AS epoch, given // tokens AS full_epochs, given % tokens AS rest
+  FROM docs d JOIN plan USING (domain, language, source)
+),
+placed AS (
+  SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY domain, language, source, epoch ORDER BY {order}, place, n_tokens
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM turns
+)
+SELECT doc_id, domain, language, source, n_tokens, epoch::INTEGER AS epoch FROM placed WHERE epoch <= full_epochs OR used < rest
+"""
+
+
 def either_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 
