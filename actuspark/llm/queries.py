@@ -127,4 +127,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontaminate": sql.DECONTAMINATE, "op10_mixing": sql.mixing(WEIGHTS, **MIX), "op11_periodic_runs": sql.PERIODIC_RUNS, "op12_conversation_trie": sql.CONVERSATION_TRIE, "op13_secret_scan": sql.SECRET_SCAN}
+    return {"op3_url_filters": sql.url_filters(URL_RULES), "op8_decontaminate": sql.DECONTAMINATE, "op10_mixing": sql.mixing(WEIGHTS, **MIX), "op11_periodic_runs": sql.PERIODIC_RUNS, "op12_conversation_trie": sql.CONVERSATION_TRIE, "op13_secret_scan": sql.SECRET_SCAN}

@@ -108,6 +108,45 @@ FROM docs LEFT JOIN covered c USING (r) LEFT JOIN named m USING (r)
 """
 
 
+def url_filters(rules: list[tuple[str, str, str]], damping: float = 0.85, threshold: float = 0.5, rounds: int = 60) -> str:
+    """Rules by host suffix and path, else trust and distrust summed over walks of up to ``rounds`` links.
+
+    The query's own sums stop at its tolerance, so ranks agree to that where hosts link to each other in circles.
+    """
+    rows = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in rules)
+    start = 1 - damping
+
+    def walk(name: str, seeds: str, source: str, target: str) -> str:
+        return f"""
+{name}_edges AS (SELECT {source} AS a, {target} AS b, n / sum(n) OVER (PARTITION BY {source}) AS weight FROM links),
+{name}_walk AS (
+  SELECT host, 0 AS step, {seeds} / greatest((SELECT sum({seeds}) FROM hosts), 1) * {start!r}::DOUBLE AS mass FROM hosts WHERE {seeds} > 0
+  UNION ALL SELECT b, step + 1, sum(mass * weight * {damping}::DOUBLE) FROM {name}_walk JOIN {name}_edges ON a = host WHERE step < {rounds} GROUP BY b, step
+),
+{name} AS (SELECT host, sum(mass) AS mass FROM {name}_walk GROUP BY host)"""
+
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE rules(h, p, verdict) AS (VALUES {rows}),
+rests AS (SELECT row_number() OVER () AS r, page_id, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT r, page_id, html, {lower.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+fits AS (
+  SELECT parts.r, h || p AS rule, verdict FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY parts.r ORDER BY length(h || p) DESC, h || p) = 1
+),
+judged AS (SELECT parts.*, rule, verdict AS ruled FROM parts LEFT JOIN fits USING (r)),
+hosts AS (SELECT host, count(*) FILTER (WHERE ruled = 'allow') AS good, count(*) FILTER (WHERE ruled = 'block') AS bad FROM judged GROUP BY host),
+links AS (
+  SELECT host AS src, dst, count(*) AS n FROM (
+    SELECT host, {lower.format("unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*[\"'']?(?:https?:)?//([^/?#\"''\\s>]+)', 1))")} AS dst FROM parts)
+  WHERE host <> '' AND host <> dst GROUP BY ALL
+),{walk('trusted', 'good', 'src', 'dst')},{walk('distrusted', 'bad', 'dst', 'src')}
+SELECT page_id, j.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.mass, 0) > {threshold} * (coalesce(t.mass, 0) + coalesce(d.mass, 0))
+       THEN 'block' ELSE 'allow' END) AS verdict, coalesce(t.mass, 0.0)::DOUBLE AS trust, coalesce(d.mass, 0.0)::DOUBLE AS distrust
+FROM judged j LEFT JOIN trusted t ON t.host = j.host LEFT JOIN distrusted d ON d.host = j.host
+"""
+
+
 def water(family: list[str], level: str) -> str:
     """CTEs ``<level>_nodes`` and ``<level>_given``: the level L of each family at which its children, each giving at most its
     supply and otherwise its weight times L, give the family's budget."""
