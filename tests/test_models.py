@@ -265,3 +265,27 @@ def test_input_shocks(spark):
         {"up": {"paid_total": F.col("paid_total") * 1.1}, "more": explain.plus_one("n_chronic")}).collect()}
     assert got["up"] == pytest.approx(40 / 450) and got["more"] == pytest.approx(20 / 450)
     assert set(explain.standard_shocks()) and C.TARGET not in C.FEATURES
+
+
+def test_only_ends_and_splits_of_nodes_reach_the_driver(signal, monkeypatch):
+    """Also from several tasks with a shuffle between, which gives the same trees."""
+    from actuspark.ml import boosting
+
+    df, _ = signal
+    df, plan, sent = df.repartition(8), [BoostedCost(FEATURES, "y", max_iter=3, min_leaf=20), BoostedClassifier(FEATURES, "c", max_iter=3, min_leaf=20)], []
+    whole = boosting.total
+
+    def watched(*args):
+        found = whole(*args)
+        sent.append(max(len(body) for body in found.values()))
+        return found
+
+    monkeypatch.setattr(boosting, "total", watched)
+    alone = fit_together(df, plan)
+    monkeypatch.setattr(boosting, "PASS_ROWS", 1000)
+    spread = fit_together(df, plan)
+    assert max(sent) <= 11
+    for a, b in zip(alone, spread):
+        assert [(t.feature, t.threshold, t.left) for t in a.trees] == [(t.feature, t.threshold, t.left) for t in b.trees]
+        assert np.allclose([s for t in a.trees for s in t.step], [s for t in b.trees for s in t.step], rtol=1e-9)
+        assert sum(t.leaves for t in a.trees) > 6
