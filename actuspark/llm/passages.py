@@ -288,6 +288,8 @@ PAIRS_AT_ONCE = 512
 CANDIDATES_AT_ONCE = 1 << 18
 #: Contexts of whole signatures that are compared at once; a signature of more is taken alone.
 CONTEXTS_AT_ONCE = 1 << 13
+#: Contexts that are compared at once after the leaders.
+REST_AT_ONCE = 1 << 8
 
 
 class Contexts:
@@ -377,11 +379,13 @@ class Contexts:
 
 
 def verify(least: int):
-    """Compare the contexts of each signature with leaders: the first context that no leader was alike becomes the next one.
+    """Compare the contexts of each signature, first with leaders: the first that no leader was alike becomes the next one.
 
-    A leader is compared with all contexts of its signature that hold one of its probes, leaders or not, so whatever is alike to
-    anything is either a leader that met it or was met by one. Each round takes all contexts that come first among the open
-    holders of their probes, all signatures of the bucket at once.
+    A leader is compared with all contexts of its signature that hold one of its probes, leaders or not. Each round takes all
+    contexts that come first among the open holders of their probes, all signatures of the bucket at once. Two contexts that
+    different leaders met may be alike all the same, and one may be alike at more offsets than its leader told: so every context
+    whose offsets are not all known, and every one outside the largest class of its signature, is compared with all holders of its
+    probes too. Left out are only pairs of one class that can learn no more offsets.
     """
 
     need = SIMILARITY * 2 * least / (1 + SIMILARITY)
@@ -433,20 +437,53 @@ def verify(least: int):
         open_, bits = np.zeros(len(rows), bool), np.zeros(len(rows), U64)
         open_[row] = True
         first = np.flatnonzero(np.concatenate([[True], np.diff(row) != 0]))
-        while open_.any():
-            least_open = np.minimum.reduceat(np.where(open_[holders], holders, len(rows)), starts)
-            ahead = np.minimum.reduceat(least_open[at], first)
-            leader = row[first][open_[row[first]] & (ahead >= row[first])]
-            open_[leader] = False
-            chosen = np.isin(row, leader)
+        ends = (contexts[:, :least] > 0) & (contexts[:, least - 1:] > 0)
+        all_bits = np.bitwise_or.reduce(ends.astype(U64) << np.arange(least, dtype=U64), axis=1)
+        met_pairs: list[np.ndarray] = []
+
+        def compare(chosen: np.ndarray) -> Iterator[np.ndarray]:
             for a, b in held.candidates(row[chosen], probe[chosen]):
                 repeats = (held.twice[a] | held.twice[b]).any()
                 near = alike(contexts[a], contexts[b], (before[a], before[b]) if repeats else None, least)
                 met = near > 0
-                open_[b[met]] = False
                 np.bitwise_or.at(bits, a, near)
                 np.bitwise_or.at(bits, b, near)
                 links.update((x, y) for x, y in zip(names[b[met]].tolist(), names[a[met]].tolist()) if x != y)
+                met_pairs.append(np.stack([a[met], b[met]]))
+                yield b[met]
+
+        compared = np.zeros(len(rows), bool)
+        while open_.any():
+            least_open = np.minimum.reduceat(np.where(open_[holders], holders, len(rows)), starts)
+            ahead = np.minimum.reduceat(least_open[at], first)
+            leader = row[first][open_[row[first]] & (ahead >= row[first])]
+            open_[leader] = False
+            compared[leader] = True
+            for met in compare(np.isin(row, leader)):
+                open_[met] = False
+        # A class is joined over contexts of one signature only, and over equal texts.
+        text = np.unique(names, return_inverse=True)[1]
+        family = families(rows)
+        node = np.unique(np.stack([family, text]), axis=1, return_inverse=True)[1]
+        pairs = np.concatenate([np.zeros((2, 0), np.int64), *met_pairs], axis=1)
+        root = np.arange(node.max() + 1)
+        joined, to = forest(node[pairs[0]], node[pairs[1]], len(root))
+        root[joined] = to
+        classes, number, size = np.unique(np.stack([family, root[node]]), axis=1, return_inverse=True, return_counts=True)
+        order = np.lexsort((size, classes[0]))
+        largest = order[np.flatnonzero(np.append(np.diff(classes[0][order]) != 0, True))]
+        outside = ~np.isin(number, largest)
+        while True:
+            rest = np.zeros(len(rows), bool)
+            rest[row] = True
+            rest = np.flatnonzero(rest & ~compared & (outside | (bits != all_bits)))
+            if not len(rest):
+                break
+            # Each batch tells offsets of others too, which then need no comparison of their own.
+            ahead = rest[:: len(rest) // REST_AT_ONCE + 1]
+            compared[ahead] = True
+            for _ in compare(np.isin(row, ahead)):
+                pass
         kind = np.array([NEAR], "<u8").tobytes()
         return [(padded(names[i]), 0, kind + rows["minor"][i].tobytes() + bits[i].tobytes()) for i in np.flatnonzero(bits)]
 

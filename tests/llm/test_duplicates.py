@@ -224,3 +224,17 @@ def test_near_passages_of_repetitive_and_empty_tables(spark):
     assert [rows[i].n_repeated for i in range(6)] == [80, 70, 81, 82, 0, 0]
     assert rows[0].component_id == rows[1].component_id == 0 and rows[2].component_id == rows[3].component_id == 2
     assert near_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_links_between_texts_that_different_leaders_met(spark):
+    """Chains of texts of 50 words, each alike to its neighbours only: no link may depend on who was compared first."""
+    rng, texts, ends = random.Random(11), [], []
+    for c in range(60):
+        text = [f"c{c}w{rng.randrange(10**6)}" for _ in range(50)]
+        ends.append(len(texts))
+        for place in (None, 8, 16, 24, 32, 40):
+            if place:
+                text = text[:place] + [f"e{c}x{place}"] + text[place + 1:]
+            texts.append(" ".join(text))
+    rows = {r.doc_id: r.component_id for r in near_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(rows[i] == e for e in ends for i in range(e, e + 6)) >= 0.99 * len(texts)
