@@ -25,6 +25,16 @@ def test_lenient_real(spark):
     assert values(spark, texts, "string", X.lenient_real("x")) == [0.0, None, 12.5, 0.0, 0.5, -3.0, 1000.0, 7.0]
 
 
+def test_plain_casts_give_what_the_pattern_gives(spark):
+    texts = ["12", "12 ", "0x1F", "0X1p3", "1d", "2.5f", "12L", "1e400", "Infinity", "-inf", "NaN", "\x0112", "1.", "1e", "12 34", "007",
+             "99999999999999999999"]
+    inf = float("inf")
+    assert values(spark, texts, "string", X.lenient_real("x")) == [
+        12.0, 12.0, 0.0, 0.0, 1.0, 2.5, 12.0, inf, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 12.0, 7.0, 1e20]
+    assert values(spark, texts, "string", X.lenient_int("x", "null")) == [
+        12, 12, 0, 0, 1, 2, 12, 1, None, None, None, None, 1, 1, 12, 7, None]
+
+
 def test_calendar_day_rolls_over_and_rejects(spark):
     texts = ["20090431", "20090230", "20090432", "20091301", "20090400", "", None, "20080229", "2009"]
     got = [None if d is None else d.isoformat() for d in values(spark, texts, "string", X.calendar_day("x"))]
