@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from actuspark import config as C
 from actuspark.ml.baselines import CredibilityRate, NaivePersistence
-from actuspark.ml.boosting import BoostedClassifier, BoostedCost, Boosting, bin_cuts, fit_together
+from actuspark.ml.boosting import BoostedClassifier, BoostedCost, Boosting, FlatTree, bin_cuts, fit_together, landed
 from actuspark.ml.linear import LogisticClassifier, TweedieGLM
 from actuspark.ml.registry import score_all
 from actuspark.operators import explain
@@ -27,6 +27,30 @@ def signal(spark):
     return spark.createDataFrame(pdf).cache(), pdf
 
 
+def test_rows_end_where_a_walk_of_each_row_ends():
+    """Also in trees of more nodes than a byte counts, in trees of one leaf and for rows without a value."""
+    draw = np.random.default_rng(7)
+    for splits in (0, 1, 14, 200):
+        feature, threshold, left, right, leaves = [-1], [0.0], [0], [0], [0]
+        for _ in range(splits):
+            at = leaves.pop(draw.integers(len(leaves)))
+            feature[at], threshold[at] = int(draw.integers(3)), float(draw.integers(9))
+            left[at], right[at] = len(feature), len(feature) + 1
+            leaves += [left[at], right[at]]
+            for column in (feature, threshold, left, right):
+                column += [-1 if column is feature else 0] * 2
+        tree = FlatTree(tuple(feature), tuple(threshold), tuple(left), tuple(right), (0.0,) * len(feature))
+        codes = draw.integers(0, 10, (3, 300))
+        for x in (codes.astype(np.uint8), np.where(draw.random(codes.shape) < 0.1, -np.inf, codes)):
+            ends = []
+            for row in x.T:
+                node = 0
+                while feature[node] >= 0:
+                    node = left[node] if row[feature[node]] <= threshold[node] else right[node]
+                ends.append(node)
+            assert landed(tree, x).tolist() == ends
+
+
 def test_naive_persistence(spark):
     df = spark.createDataFrame([("a", 100.0, 150.0), ("b", 0.0, 50.0), ("c", 300.0, 400.0)],
                                "bene_id string, paid_total double, target_paid double")
