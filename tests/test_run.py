@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actuspark import config as C
+from actuspark.catalogue.queries import queries
 from actuspark.ml.registry import BoostingBudget
 from actuspark.operators import quality
 from actuspark.plans import claims, findings, starviews, validation
@@ -54,6 +55,27 @@ def test_loaded_tables_equal_the_views(spark, raw_folder):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_order_lines_are_read_once_for_both_claim_tables(spark, monkeypatch):
+    read, tables = [], starviews.tables
+    monkeypatch.setattr(starviews, "tables", lambda spark, d, *names: read.extend(names) or tables(spark, d, *names))
+    raw = starviews.staged_raw(spark, SF)
+    assert read.count("lineitem") == 1
+    queries()["csv_round_trip"](spark, SF)
+    assert read.count("lineitem") == 2
+    monkeypatch.undo()
+    for mine, kind in ((raw.inpatient, "inpatient"), (raw.outpatient, "outpatient")):
+        plain = starviews.star_claims(spark, SF, kind)
+        assert mine.dtypes == plain.dtypes
+        assert mine.exceptAll(plain).count() == 0 and plain.exceptAll(mine).count() == 0
+
+
+def test_findings_store_the_raw_tables_once(spark, monkeypatch):
+    read, tables = [], starviews.tables
+    monkeypatch.setattr(starviews, "tables", lambda spark, d, *names: read.extend(names) or tables(spark, d, *names))
+    queries()["findings_rating"](spark, SF)
+    assert read.count("lineitem") == 1 and read.count("customer") == 1
+
+
 def test_evidence_sink_writes_null_for_infinity(spark, tmp_path):
     df = spark.createDataFrame([(1, float("-inf"), float("nan"), 2.5)], "bin int, lower double, x double, y double")
     sinks.write_evidence({"psi": df}, str(tmp_path))
