@@ -110,9 +110,16 @@ class PassageAsker(Asker):
                 for d, r in zip(*forest(rank[entries["doc"]], rank[entries["doc"][head]], len(keys)))]
 
 
+def distinct_of(x: np.ndarray) -> np.ndarray:
+    """The different numbers, ascending. Sorting is several times quicker here than the hash table of ``np.unique``."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, root) of each of ``n`` nodes that the edges a-b link to a smaller one, directly or over others."""
-    edges = np.unique(np.stack([a, b])[:, a != b].astype(np.int64), axis=1)
+    a, b = (x[a != b].astype(np.int64) for x in (a, b))
+    edges = np.stack(np.divmod(distinct_of(np.minimum(a, b) * n + np.maximum(a, b)), max(n, 1)))
     label = np.arange(n)
     while True:
         least = np.minimum(label[edges[0]], label[edges[1]])
@@ -255,48 +262,50 @@ def earlier(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def alike(leaders: np.ndarray, others: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None, least: int) -> np.ndarray:
-    """For each pair of contexts a bit for each offset at which their stretches, taken as sets, are similar enough.
-
-    ``before``: ``earlier`` of both; None if no context holds a token twice, so that each place has one partner at most.
-    """
-    n, width = others.shape
-    place, offset = np.arange(width, dtype=np.int8), np.arange(least, dtype=np.int8)
-    tokens = np.where(others > 0, others, np.uint32(2))  # even, as no token is
-    equal = tokens[:, :, None] == leaders[:, None, :]
-    if before is None:
-        where = equal.argmax(axis=2)
-        low = np.maximum(np.maximum(where, place) - least + 1, 0)
-        high = np.minimum(np.minimum(where, place), least - 1)
-        row, at = np.nonzero((np.take_along_axis(leaders, where, 1) == tokens) & (low <= high))
-        marks = np.bincount(row * (least + 1) + low[row, at], minlength=n * (least + 1))
-        marks -= np.bincount(row * (least + 1) + high[row, at] + 1, minlength=n * (least + 1))
-        common, total = np.cumsum(marks.reshape(n, least + 1), axis=1)[:, :least], 2 * least
-    else:
-        count = np.zeros((n, width, width + 1), np.uint8)
-        np.cumsum(equal, axis=2, dtype=np.uint8, out=count[:, :, 1:])
-        band = (offset <= place[:, None]) & (place[:, None] - offset < least)
-        own, other = ((x[:, :, None] < offset) & band for x in before)
-        total = own.sum(axis=1, dtype=np.uint8).astype(np.int16) + other.sum(axis=1, dtype=np.uint8)
-        common = (other & (count[:, :, least:] > count[:, :, :least])).sum(axis=1, dtype=np.uint8).astype(np.int16)
-    ends = (others > 0) & (leaders > 0)
-    near = ends[:, :least] & ends[:, least - 1:] & (common >= SIMILARITY * (total - common))
-    return np.bitwise_or.reduce(near.astype(U64) << offset.astype(U64), axis=1)
-
-
-PAIRS_AT_ONCE = 512
+PAIRS_AT_ONCE = 2048
 CANDIDATES_AT_ONCE = 1 << 18
+#: Cells of the table of the leaders' tokens.
+CELLS_AT_ONCE = 1 << 18
+#: Pairs that were found alike and are held before only their classes stay.
+MET_AT_ONCE = 1 << 20
 #: Contexts of whole signatures that are compared at once; a signature of more is taken alone.
 CONTEXTS_AT_ONCE = 1 << 13
 #: Contexts that are compared at once after the leaders.
 REST_AT_ONCE = 1 << 8
 
 
+def counted(words: np.ndarray) -> np.ndarray:
+    """How many of each column's words have a bit: (words, columns) to (columns, 64). Adders work on whole words, three at a time."""
+    out, weight, n = np.zeros((words.shape[1], 64), np.uint8), 0, words.shape[1]
+    while len(words):
+        carries = [words[:0]]
+        while len(words) > 1:
+            k = len(words) // 3
+            if k:
+                x, y, z, rest = words[:k], words[k: 2 * k], words[2 * k: 3 * k], words[3 * k:]
+                odd = x ^ y
+                carries.append((x & y) | (odd & z))
+                words = np.concatenate([odd ^ z, rest])
+            else:
+                carries.append(words[:1] & words[1:])
+                words = words[:1] ^ words[1:]
+        out += np.unpackbits(words[0].astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little") << np.uint8(weight)
+        words, weight = np.concatenate(carries), weight + 1
+    return out
+
+
+def packed(flags: np.ndarray) -> np.ndarray:
+    """Up to 64 flags of each row as one number."""
+    wide = np.zeros((len(flags), 8), np.uint8)
+    wide[:, : -(-flags.shape[1] // 8)] = np.packbits(flags, axis=1, bitorder="little")
+    return wide.view("<u8")[:, 0]
+
+
 class Contexts:
     """The contexts of a bucket by signature, and which of them hold a token.
 
-    A stretch of ``least`` tokens around c has ``least // 2`` of them on one side of c. A similar stretch lacks a fifth of its
-    tokens at most, so of that side's rarest tokens, one more than this fifth, it holds one. Those of either side are the probes of
+    A stretch of ``least`` tokens around c has ``least // 2`` of them on one side of c. A similar stretch lacks ``lack`` of its
+    tokens at most, none of them c's, so of that side's other rarest tokens, one more than these, it holds one. Those of either side are the probes of
     a context: whatever is alike to it holds a probe, and a line that many share is no probe unless nothing else is there.
     """
 
@@ -315,28 +324,66 @@ class Contexts:
         once = np.concatenate([[True], (np.diff(run) != 0) | (np.diff(r) != 0)])
         self.holders, self.many = r[once], np.bincount(run[once])
         self.begin = np.concatenate([[0], np.cumsum(self.many)])
-        self.sets = np.sort(self.run.astype(np.int32), axis=1)
-        again = (self.sets[:, 1:] == self.sets[:, :-1]) & (self.sets[:, 1:] >= 0)
-        self.sets[:, 1:][again] = -1
-        self.repeats = again.sum(axis=1)
-        self.twice = self.repeats > 0
-
-    def shared(self) -> np.ndarray:
-        """How many places of each context hold a token that another context of its signature holds too."""
-        return ((self.run >= 0) & (self.many[self.run] > 1)).sum(axis=1)
+        # Tokens that several contexts hold, numbered within their signature; a last number stands for all others.
+        shared = self.many > 1
+        of, number = g[new][shared], np.cumsum(shared) - 1
+        self.names = np.searchsorted(of, group, side="right") - np.searchsorted(of, group)
+        known = (self.run >= 0) & shared[self.run]
+        name = np.where(known, number[self.run] - np.searchsorted(of, group)[:, None], self.names[:, None])
+        # A place lies in the stretches from some offset to some offset; the last place of a token stands for all of them.
+        place = np.arange(width)
+        low, high = np.maximum(place - least + 1, 0).astype(U64), np.minimum(place, least - 1).astype(U64)
+        inside = (U64(2) << high) - (U64(1) << low)
+        before = earlier(contexts)
+        last = contexts > 0
+        row, at = np.nonzero(before >= 0)
+        last[row, before[row, at]] = False
+        masks = np.where(last, inside, U64(0))
+        row, at = np.nonzero(last)
+        back = at
+        while len(row):
+            back = before[row, back]
+            row, at, back = (x[back >= 0] for x in (row, at, back))
+            masks[row, at] |= inside[back]
+        ends = (contexts[:, :least] > 0) & (contexts[:, least - 1:] > 0)
+        self.masks, self.name = np.ascontiguousarray(masks.T), np.ascontiguousarray(name.T.astype(np.int32))
+        self.distinct = counted(self.masks)
+        # What a similar stretch has in common with one of so many tokens follows from the sum of both, and no stretch of the
+        # signature has fewer than the fewest. Where not as many are held by another context too, nothing is similar.
+        distinct, heads = self.distinct[:, :least].astype(np.int64), np.flatnonzero(np.diff(group, prepend=group[0] - 1))
+        fewest = np.minimum.reduceat(np.where(ends, distinct, width), heads)[np.cumsum(np.diff(group, prepend=group[0]) != 0)]
+        need = np.maximum(SIMILARITY * distinct, SIMILARITY / (1 + SIMILARITY) * (distinct + fewest)) - 1e-9
+        held = counted(np.where(self.name < self.names, self.masks, U64(0)))[:, :least]
+        possible = ends & (held >= need)
+        self.possible, self.lack = packed(possible), np.where(possible, distinct - need, 0).max(axis=1).astype(np.int64)
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For each pair of contexts a bit for each offset at which their stretches, taken as sets, are similar enough.
+
+        ``a`` is ascending: a table holds the masks of these contexts by token.
+        """
+        leader, of = np.unique(a, return_inverse=True)
+        base = np.concatenate([[0], np.cumsum(self.names[leader] + 1)])
+        table = np.zeros(base[-1], U64)
+        masks, name = self.masks[:, leader], self.name[:, leader]
+        place, i = np.nonzero((masks > 0) & (name < self.names[leader]))
+        table[base[i] + name[place, i]] = masks[place, i]
+        common = counted(table[base[of] + self.name.take(b, axis=1)] & self.masks.take(b, axis=1)).astype(np.int16)
+        near = common >= SIMILARITY * (self.distinct[a].astype(np.int16) + self.distinct[b] - common)
+        return packed(near) & self.possible[a] & self.possible[b]
 
     def probes(self) -> tuple[np.ndarray, np.ndarray]:
         """(context, run) of the probes that another context holds too, by context."""
         none, middle, side = np.iinfo(np.int64).max, self.least - 1, self.least // 2
-        lack = int((1 - SIMILARITY) * self.least + 1e-9)
+        many = self.lack[:, None] + 1
         found = []
         for part in (self.run[:, middle - side: middle], self.run[:, middle + 1: middle + 1 + side]):
-            key = np.sort(np.where(part >= 0, self.many[part] << 40 | part, none), axis=1)
+            key = np.sort(np.where((part >= 0) & (part != self.run[:, middle, None]), self.many[part] << 40 | part, none), axis=1)
             key[:, 1:][key[:, 1:] == key[:, :-1]] = none
-            key = np.sort(key, axis=1)[:, : lack + 1]
+            key = np.sort(key, axis=1)
             usable = (part >= 0).all(axis=1)
-            few = usable & (key[:, -1] == none)
-            row, at = np.nonzero((usable & ~few)[:, None] & (key < none))
+            few = usable & ((key < none).sum(axis=1) < many[:, 0])
+            row, at = np.nonzero((usable & ~few)[:, None] & (np.arange(side) < many))
             found.append((row, key[row, at] & ((1 << 40) - 1)))
             # A side of few tokens: all tokens of the context, c only where a stretch may hold nothing else.
             own = self.run[few, middle][:, None]
@@ -345,13 +392,13 @@ class Contexts:
             found.append((np.flatnonzero(few)[row], self.run[few][row, at]))
         row, run = (np.concatenate(x) for x in zip(*found))
         several = self.many[run] > 1
-        return tuple(np.unique(np.stack([row[several], run[several]]), axis=1))
+        return np.divmod(np.unique(row[several] * len(self.many) + run[several]), max(len(self.many), 1))
 
-    def candidates(self, row: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(leader, other) for the others that hold a probe of a leader and enough of its tokens.
+    def candidates(self, row: np.ndarray, run: np.ndarray, turn: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(leader, other) for the others that hold a probe of a leader.
 
-        A stretch has ``least`` different tokens, less those that its context repeats; those in common are ``SIMILARITY`` of the
-        larger of two at least, and of the union, which follows from the sum of both.
+        ``turn``: when a context was a leader, 0 for never. Of two that are alike each holds a probe of the other, so whoever was a
+        leader in an earlier turn has met this one, and two of the same turn need to meet once.
         """
         size = np.cumsum(self.many[run])
         first = np.flatnonzero(np.concatenate([[True], np.diff(row) != 0]))
@@ -360,22 +407,19 @@ class Contexts:
             many = self.many[run[at]]
             left = np.repeat(row[at], many)
             right = self.holders[np.repeat(self.begin[run[at]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
-            pair = np.unique(left * self.n + right)
-            left, right = pair // self.n, pair % self.n
-            left, right = left[left != right], right[left != right]
-            enough = [np.zeros(0, bool)]
-            for k in range(0, len(left), PAIRS_AT_ONCE):
-                a, b = left[k: k + PAIRS_AT_ONCE], right[k: k + PAIRS_AT_ONCE]
-                both = np.sort(np.concatenate([self.sets[a], self.sets[b]], axis=1), axis=1)
-                common = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(axis=1)
-                larger = self.least - np.minimum(self.repeats[a], self.repeats[b])
-                total = 2 * self.least - self.repeats[a] - self.repeats[b]
-                enough.append((common > 0) & (common >= SIMILARITY * larger - 1e-9) & ((1 + SIMILARITY) * common >= SIMILARITY * total - 1e-9))
-            left, right = left[np.concatenate(enough)], right[np.concatenate(enough)]
-            twice = self.twice[left] | self.twice[right]
-            for which in (np.flatnonzero(~twice), np.flatnonzero(twice)):
-                for k in range(0, len(which), PAIRS_AT_ONCE):
-                    yield left[which[k: k + PAIRS_AT_ONCE]], right[which[k: k + PAIRS_AT_ONCE]]
+            fresh = (turn[right] == 0) | ((turn[right] == turn[left]) & (left < right))
+            left, right = np.divmod(distinct_of(left[fresh] * self.n + right[fresh]), self.n)
+            cells = np.cumsum(np.where(np.diff(left, prepend=-1) != 0, self.names[left] + 1, 0)) // CELLS_AT_ONCE
+            cuts = np.flatnonzero((np.diff(cells) != 0) | (np.arange(1, len(left)) % PAIRS_AT_ONCE == 0)[: max(len(left) - 1, 0)]) + 1
+            if len(left):
+                yield from zip(np.split(left, cuts), np.split(right, cuts))
+
+
+def alike(leaders: np.ndarray, others: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None, least: int) -> np.ndarray:
+    """:meth:`Contexts.alike` of pairs given as rows of two arrays. ``before``, what ``earlier`` tells of both, is not needed."""
+    pair = np.arange(len(leaders))
+    held = Contexts(np.repeat(pair, 2), np.stack([leaders, others], axis=1).reshape(2 * len(pair), -1), least)
+    return held.alike(2 * pair, 2 * pair + 1)
 
 
 def verify(least: int):
@@ -388,8 +432,6 @@ def verify(least: int):
     probes too. Left out are only pairs of one class that can learn no more offsets.
     """
 
-    need = SIMILARITY * 2 * least / (1 + SIMILARITY)
-
     def families(rows: np.ndarray) -> np.ndarray:
         return np.cumsum(np.concatenate([[0], np.diff(rows["major"]) != 0]))
 
@@ -419,13 +461,11 @@ def verify(least: int):
 
     def answers(rows: np.ndarray, names: np.ndarray, links: set[tuple[bytes, bytes]]) -> list[tuple[bytes, int, bytes]]:
         held = Contexts(families(rows), rows["context"], least)
-        enough = held.twice | (held.shared() >= need)
-        rows, names = rows[enough], names[enough]
+        rows, names = rows[held.possible > 0], names[held.possible > 0]
         if not len(rows):
             return []
-        held = Contexts(families(rows), rows["context"], least)
-        contexts = np.ascontiguousarray(rows["context"])
-        before = earlier(contexts).astype(np.int8)
+        family = families(rows)
+        held = Contexts(family, rows["context"], least)
         row, probe = held.probes()
         if not len(row):
             return []
@@ -437,38 +477,39 @@ def verify(least: int):
         open_, bits = np.zeros(len(rows), bool), np.zeros(len(rows), U64)
         open_[row] = True
         first = np.flatnonzero(np.concatenate([[True], np.diff(row) != 0]))
-        ends = (contexts[:, :least] > 0) & (contexts[:, least - 1:] > 0)
-        all_bits = np.bitwise_or.reduce(ends.astype(U64) << np.arange(least, dtype=U64), axis=1)
-        met_pairs: list[np.ndarray] = []
+        # A class is joined over contexts of one signature only, and over equal texts.
+        known, text = np.unique(names, return_inverse=True)
+        nodes, node = np.unique(family * len(known) + text, return_inverse=True)
+        met: list[np.ndarray] = []
+        turn = np.zeros(len(rows), np.int64)
+
+        def joined() -> np.ndarray:
+            """(node, root) of all that were found alike so far."""
+            met[:] = [np.stack(forest(*np.concatenate([np.zeros((2, 0), np.int64), *met], axis=1), len(nodes)))]
+            return met[0]
 
         def compare(chosen: np.ndarray) -> Iterator[np.ndarray]:
-            for a, b in held.candidates(row[chosen], probe[chosen]):
-                repeats = (held.twice[a] | held.twice[b]).any()
-                near = alike(contexts[a], contexts[b], (before[a], before[b]) if repeats else None, least)
-                met = near > 0
+            for a, b in held.candidates(row[chosen], probe[chosen], turn):
+                near = held.alike(a, b)
+                a, b, near = (x[near > 0] for x in (a, b, near))
                 np.bitwise_or.at(bits, a, near)
                 np.bitwise_or.at(bits, b, near)
-                links.update((x, y) for x, y in zip(names[b[met]].tolist(), names[a[met]].tolist()) if x != y)
-                met_pairs.append(np.stack([a[met], b[met]]))
-                yield b[met]
+                met.append(np.stack([node[a], node[b]]))
+                if len(met) > MET_AT_ONCE // PAIRS_AT_ONCE:
+                    joined()
+                yield b
 
-        compared = np.zeros(len(rows), bool)
         while open_.any():
             least_open = np.minimum.reduceat(np.where(open_[holders], holders, len(rows)), starts)
             ahead = np.minimum.reduceat(least_open[at], first)
             leader = row[first][open_[row[first]] & (ahead >= row[first])]
             open_[leader] = False
-            compared[leader] = True
-            for met in compare(np.isin(row, leader)):
-                open_[met] = False
-        # A class is joined over contexts of one signature only, and over equal texts.
-        text = np.unique(names, return_inverse=True)[1]
-        family = families(rows)
-        node = np.unique(np.stack([family, text]), axis=1, return_inverse=True)[1]
-        pairs = np.concatenate([np.zeros((2, 0), np.int64), *met_pairs], axis=1)
-        root = np.arange(node.max() + 1)
-        joined, to = forest(node[pairs[0]], node[pairs[1]], len(root))
-        root[joined] = to
+            turn[leader] = turn.max() + 1
+            for other in compare(np.isin(row, leader)):
+                open_[other] = False
+        root = np.arange(len(nodes))
+        child, parent = joined()
+        root[child] = parent
         classes, number, size = np.unique(np.stack([family, root[node]]), axis=1, return_inverse=True, return_counts=True)
         order = np.lexsort((size, classes[0]))
         largest = order[np.flatnonzero(np.append(np.diff(classes[0][order]) != 0, True))]
@@ -476,14 +517,16 @@ def verify(least: int):
         while True:
             rest = np.zeros(len(rows), bool)
             rest[row] = True
-            rest = np.flatnonzero(rest & ~compared & (outside | (bits != all_bits)))
+            rest = np.flatnonzero(rest & (turn == 0) & (outside | (bits != held.possible)))
             if not len(rest):
                 break
             # Each batch tells offsets of others too, which then need no comparison of their own.
             ahead = rest[:: len(rest) // REST_AT_ONCE + 1]
-            compared[ahead] = True
+            turn[ahead] = turn.max() + 1
             for _ in compare(np.isin(row, ahead)):
                 pass
+        ends = known[nodes[joined()] % len(known)]
+        links.update((x, y) for x, y in zip(*ends.tolist()) if x != y)
         kind = np.array([NEAR], "<u8").tobytes()
         return [(padded(names[i]), 0, kind + rows["minor"][i].tobytes() + bits[i].tobytes()) for i in np.flatnonzero(bits)]
 
