@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from actuspark.llm.common import U64, Rolling, cover, mapped, mix, runs, slices, sliding_min, text_key
 from actuspark.llm.components import components
 from actuspark.llm.decontaminate import combined, words
-from actuspark.llm.suffixes import ANSWER, BUCKET_ROWS, COMPARE, ENTRY, FLUSH_ROWS, LEAST_BUCKETS, PACKET, REPEATED, Asker, groups, padded, salt
+from actuspark.llm.suffixes import (
+    ANSWER, BUCKET_ROWS, COMPARE, FLUSH_ROWS, LEAST_BUCKETS, PACKET, REPEATED, Asker, arrived, groups, padded, salt,
+)
 from actuspark.session import materialize
 
 SHINGLE, HASHES, SIMILARITY, LEAST_WORDS = 5, 4, 0.8, 50
@@ -161,7 +163,7 @@ def judge(table: pa.Table) -> pa.Table:
         if bucket < 0:
             found.append((k, int(np.frombuffer(content, "<u8", 1)[0]), content[8:]))
         else:
-            part = np.frombuffer(content, ENTRY).copy()
+            part = arrived(content)
             part["doc"] += len(keys)
             keys += [k[i:i + 16] for i in range(0, len(k), 16)]
             parts.append(part)

@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from actuspark.llm.passages import NEAR, PACKET, Contexts, context_type, verify
+from actuspark.llm.suffixes import ENTRY, arrived, shipped
 
 
 def test_a_large_family_of_near_copies_is_compared_once_and_whole():
@@ -34,3 +35,16 @@ def test_a_large_family_of_near_copies_is_compared_once_and_whole():
     got = {int.from_bytes(r["body"][8:16], "little"): int.from_bytes(r["body"][16:24], "little") for r in found if r["body"][0] == NEAR}
     assert got == {i: int(w) for i, w in enumerate(want) if w}
     assert sum(pairs) <= 300 * 299 // 2
+
+
+def test_entries_travel_whole_in_fewer_bytes():
+    rng = np.random.default_rng(1)
+    for n, most in ((0, 1), (1, 1), (1000, 70_000), (1003, 60_000)):  # documents beyond two bytes, and not
+        part = np.zeros(n, ENTRY)
+        part["major"], part["minor"] = rng.integers(0, 2**63, (2, n))
+        part["doc"], part["many"] = rng.integers(most // 2, most, n), rng.integers(0, 2, n)
+        if n:
+            part["doc"][-1] = most - 1
+        body = shipped(part)
+        assert (arrived(body) == part).all() and len(arrived(body)) == n
+        assert len(body) <= 8 + (21 if most > 1 << 16 else 19) * n
