@@ -27,7 +27,7 @@ def test_tasks_of_a_pass_get_as_many_rows_each_however_the_rows_lay(spark):
     rows = spark.range(0, 4000, 1, 1).select(F.col("id").cast("double").alias("x"))
     pack = lambda part: {"x": blocks.numbers(part, ["x"])}
     table = blocks.packed(rows, pack, ["x"], "test", 4000, 4)
-    held = blocks.kept(table)
+    held = blocks.kept(table, lambda part: {"n": sum(r["n"] for r in part), "x": b"".join(bytes(r["x"]) for r in part)})
     counts = [c for c in held.mapPartitions(lambda part: [sum(r["n"] for r in part)]).collect() if c]
     assert len(counts) == 4 and max(counts) - min(counts) <= 4
     found = blocks.total(held, lambda r: iter([(0, r["n"] % 2, np.frombuffer(r["x"]).sum(keepdims=True))]), 4000, 0, lambda i, part, body: body, 4, 2)
@@ -69,3 +69,29 @@ def test_the_order_of_sums_does_not_decide_between_equal_splits():
     model = boosting.BoostedCost(("a", "b", "c"))
     assert boosting.best_split(sums, model).feature == 0
     assert boosting.best_split(sums[::-1], model).feature == 1
+
+
+def test_joined_records_have_the_sums_of_their_parts():
+    draw, widths = np.random.default_rng(9), [3, 2, 5]
+    held = boosting.bundles(widths)
+    p = boosting.Progress(boosting.BoostedCost(("a", "b", "c")), 0, 0, [0, 1, 2], 0.0, 0)
+    p.tree, p.nodes = boosting.FlatTree((-1,), (0,), (0,), (0,), (0.0,)), [0]
+
+    def record(n):
+        codes = np.stack([draw.integers(0, w, n) for w in widths]).astype(np.uint8)
+        return {"n": n, "codes": codes.tobytes(), "packs": boosting.bundled(codes, widths, held).tobytes(), "targets": draw.gamma(2, 9, n).tobytes(),
+                "roles": draw.choice([boosting.TRAIN, boosting.VALID], n).astype(np.uint8).tobytes(), "scores": draw.normal(3, 0.1, n).tobytes()}
+
+    def sums(some):
+        found = {}
+        for one in some:
+            for i, part, body in boosting.node_sums(3, widths, held, [(0, p, [])])(one):
+                found[part] = found.get(part, 0) + body
+        return found
+
+    parts = [record(n) for n in (40, 7, 90)]
+    whole = boosting.joined(3)(parts)
+    assert whole["n"] == 137
+    apart, together = sums(parts), sums([whole])
+    assert set(apart) == set(together) == {-1, 0}
+    assert all(np.allclose(apart[k], together[k], rtol=1e-12) for k in apart)
